@@ -1,21 +1,132 @@
-"""The queries of this subpackage: each applies an operator to its whole table."""
+"""The queries of this subpackage: each applies an operator to its whole table, with its production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lotmark.llm import minhash
+from lotmark.llm import bpe, itq, linededup, minhash, mixing, secrets, sharding, topk, toxicity, warc
 from lotmark.llm.common import table
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text, digests the ids, decodes them, digests the result."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), keep=["doc_id"])
+    digested = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_sha256(F.col("ids")).alias("ids_sha256"), "ids")
+    decoded = bpe.decode(digested, vocabulary_path())
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates themselves stay out of the result; their digests stand for them."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    return found.select("doc_id", "pos", "nth", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "secret")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 16)
+
+
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, table(spark, sf_dir, "labels")).select("doc_id", "severity", "rejected")
+
+
+def decayed(pages: DataFrame) -> DataFrame:
+    """A replica with damage for the audit to find: in one page of 211, by id, the middle character is another."""
+    middle = "int(length(html) div 2)"
+    damaged = f"concat(substr(html, 1, {middle}), '#', substr(html, {middle} + 2))"
+    return pages.withColumn("html", F.expr(f"if(page_id % 211 = 7, {damaged}, html)"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(warc.layout(pages), warc.layout(decayed(pages)))
+
+
+OP8 = """
+WITH replica AS (
+  SELECT page_id, url, html, 0 AS side FROM pages
+  UNION ALL
+  SELECT page_id, url, CASE WHEN page_id % 211 = 7 THEN concat(substr(html, 1, CAST(length(html) // 2 AS INT)), '#', substr(html, CAST(length(html) // 2 AS INT) + 2)) ELSE html END, 1 FROM pages
+), made AS (
+  SELECT side, page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', CAST(page_id AS VARCHAR), '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+    'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS r
+  FROM replica
+), digested AS (
+  SELECT side, page_id, strlen(r) AS length, sha256(r) AS digest, row_number() OVER (PARTITION BY side ORDER BY page_id NULLS FIRST, sha256(r)) - 1 AS rnk FROM made
+), laid AS (
+  SELECT side, rnk // 1024 AS file, rnk % 1024 AS record, page_id, length, digest,
+    coalesce(sum(length) OVER (PARTITION BY side, rnk // 1024 ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM digested
+)
+SELECT a.file, CAST(a.record AS INT) AS record, a.page_id, CAST(a.off AS BIGINT) AS "offset", a.length, a.digest, b.digest AS their_digest
+FROM laid a JOIN laid b ON a.side = 0 AND b.side = 1 AND a.file = b.file AND a.record = b.record
+WHERE a.digest <> b.digest OR a.off <> b.off OR a.length <> b.length
+"""
+
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
 
+OP10 = """
+WITH cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), w AS (
+  SELECT doc_id, unnest(range(0, greatest(len(ls) - 2, 0))) AS pos, ls FROM cut WHERE len(ls) >= 3
+), seen AS (
+  SELECT doc_id, pos, ls[pos + 1 : pos + 3] AS run FROM w
+  WHERE NOT (trim(ls[pos + 1]) = '' AND trim(ls[pos + 2]) = '' AND trim(ls[pos + 3]) = '')
+), later AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM seen) WHERE nth > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM later) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS INT) AS n_lines, CAST(coalesce(len(gone), 0) AS INT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), i -> NOT list_contains(gone, i)), i -> ls[i + 1]), chr(10)), '') END) AS text_sha256
+FROM cut LEFT JOIN gone USING (doc_id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_topk": op3_topk,
+    "op4_secrets": op4_secrets,
+    "op5_sharding": op5_sharding,
+    "op6_itq": op6_itq,
+    "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
+    "op10_lines": op10_lines,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_warc": OP8, "op10_lines": OP10}
