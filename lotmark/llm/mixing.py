@@ -47,8 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     ranked = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(ranked.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("_level", level)
-    per = per.withColumn("_level", F.min(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level"))).over(every))
+    per = per.withColumn("_level", level).withColumn("_rank", F.row_number().over(ranked))
+    first = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.struct("_rank", "_level"))).over(every)
+    per = per.withColumn("_level", first["_level"])
     target = F.least("cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))
     return per.select("source", "source_no", "source_size", target.alias("target"))
 

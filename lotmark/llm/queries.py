@@ -112,7 +112,7 @@ WITH cut AS (
   SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM later) GROUP BY doc_id
 )
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS INT) AS n_lines, CAST(coalesce(len(gone), 0) AS INT) AS n_removed,
-  sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), i -> NOT list_contains(gone, i)), i -> ls[i + 1]), chr(10)), '') END) AS text_sha256
+  sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]), chr(10)), '') END) AS text_sha256
 FROM cut LEFT JOIN gone USING (doc_id)
 """
 
