@@ -3,9 +3,12 @@
 P(grade > k) = sigmoid(w . x - t_k): one weight vector for all thresholds t_1 < t_2 < t_3, so the score is a
 single severity and the grades share what is learnt. The expected severity is the sum of these probabilities.
 
+Features are the words of a text and the first letters of its words, which catch inflected and compound
+forms. No feature has a negative weight: nothing that a text adds makes it less severe.
+
 It is fitted on a bounded sample of labelled documents, those with the smallest hashes of their id. Labels
-say toxic or not; a toxic document's grade, 1 to 3, is the third of the toxic sample that its share of
-telling words falls in, where telling words are those that toxic documents have far more often.
+say toxic or not; a toxic document's grade, 1 to 3, is the third of the toxic sample that its amount of
+telling features falls in, where telling features are those that toxic documents have far more often.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotmark.llm import common
 
@@ -25,26 +29,53 @@ from lotmark.llm import common
 SAMPLE, WORDS = 6_000, 4_000
 #: Documents of the sample that have a word, at least.
 LEAST_DOCS = 5
+#: How much more often toxic documents have a feature, as a logarithm, at least; and what makes it telling.
+LEAST_ODDS, TELLING_ODDS = 1.0, 2.0
 GRADES = 4
+#: Lengths of the beginnings of words that are features.
+PREFIXES = (4, 5, 6, 7)
+#: Words that a task remembers.
+CACHE = 500_000
+#: Penalties of the two passes of the fit, times the root of the sample's size and times its size, as chance
+#: agreement with the labels shrinks with it; and the share of the largest weight that makes a feature stay.
+SPARSITY, RIDGE, SUPPORT = 0.03, 0.06, 0.02
 #: Expected severity from which a document is rejected.
-REJECT = 0.5
+REJECT = 0.3
 WORD = regex.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Model:
-    """thresholds ascending; words with weight 0 are left out."""
+    """thresholds ascending; features with weight 0 are left out."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (50.0, 51.0, 52.0)
 
 
-def counts(text: str | None, known: dict[str, float] | None = None) -> dict[str, int]:
-    """The words of a text in lower case, or those of them that are known, with their counts."""
+def features(word: str) -> list[str]:
+    return [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
+
+
+class Known(dict):
+    """Of each word, those of its features that are known."""
+
+    def __init__(self, known: dict[str, float] | None):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> list[str]:
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = out = [f for f in features(word) if self.known is None or f in self.known]
+        return out
+
+
+def counts(text: str | None, known: Known) -> dict[str, int]:
+    """The features of a text, in lower case, that are known, with their counts."""
     out: dict[str, int] = {}
     for w in WORD.findall(text.lower()) if text else []:
-        if known is None or w in known:
-            out[w] = out.get(w, 0) + 1
+        for f in known[w]:
+            out[f] = out.get(f, 0) + 1
     return out
 
 
@@ -56,28 +87,47 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_grades(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, sparsity: float = 0.003, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated proximal gradient: the mean loss over documents and thresholds, plus
-    `sparsity` times the weights' absolute values."""
+def _descend(rows, cols, x, grade, width, sparsity=0.0, ridge=0.0, steps=1500):
+    """Weights and thresholds by accelerated proximal gradient, on the mean loss over documents and thresholds."""
     n = len(grade)
     above = (grade[:, None] > np.arange(GRADES - 1)[None, :]).astype(float)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
     w, t = np.zeros(width), -np.log(share / (1 - share))
     vw, vt, momentum = w, t, 1.0
-    norm = np.bincount(rows, weights=x * x, minlength=n)
-    rate = 4.0 / (np.percentile(norm, 90) + 1)
+    # the step is the inverse of the loss's largest curvature, found by power iteration
+    v, size = np.ones(width + 1), 1.0
+    for _ in range(30):
+        z = np.bincount(rows, weights=v[:-1][cols] * x, minlength=n) + v[-1]
+        v = np.append(np.bincount(cols, weights=z[rows] * x, minlength=width), z.sum()) / n
+        size = np.linalg.norm(v)
+        v = v / size
+    rate = 1 / (0.3 * size + ridge)
     for _ in range(steps):
         score = np.bincount(rows, weights=vw[cols] * x, minlength=n)
         error = _sigmoid(score[:, None] - vt[None, :]) - above
-        gw = np.bincount(cols, weights=error.mean(axis=1)[rows] * x, minlength=width) / n
+        gw = np.bincount(cols, weights=error.mean(axis=1)[rows] * x, minlength=width) / n + ridge * vw
         new_w = vw - rate * gw
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * sparsity, 0)
-        new_t = np.sort(vt + rate * error.mean(axis=0) * norm.mean())
+        new_w = np.maximum(new_w - rate * sparsity, 0)
+        new_t = np.sort(vt + rate * error.mean(axis=0))
         new_momentum = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         vw = new_w + (momentum - 1) / new_momentum * (new_w - w)
         vt = new_t + (momentum - 1) / new_momentum * (new_t - t)
         w, t, momentum = new_w, new_t, new_momentum
-    return w, t
+    return w, np.sort(t)
+
+
+def fit_grades(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds. A first pass with a penalty on the weights' absolute values chooses the words, a
+    second fits these alone, almost without penalty, as the first pulls weights towards 0."""
+    w, _ = _descend(rows, cols, x, grade, width, sparsity=SPARSITY / np.sqrt(len(grade)))
+    chosen = np.flatnonzero(np.abs(w) >= max(SUPPORT * np.abs(w).max(initial=0), 1e-9))
+    place = np.full(width, -1)
+    place[chosen] = np.arange(len(chosen))
+    here = place[cols] >= 0
+    small, t = _descend(rows[here], place[cols[here]], x[here], grade, len(chosen), ridge=RIDGE / len(grade), steps=6000)
+    out = np.zeros(width)
+    out[chosen] = small
+    return out, t
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Model:
@@ -93,9 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(None)
         for batch in batches:
             for part in common.chunks(batch):
-                found = [counts(t) for t in part.column("text").to_pylist()]
+                found = [counts(t, known) for t in part.column("text").to_pylist()]
                 at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -108,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
                 )
 
     seen = common.checkpoint(texts.mapInArrow(run, "doc_id long, toxic int, word string, n long"))
-    totals = seen.groupBy("doc_id", "toxic").agg(F.sum("n").alias("length")).toPandas()
+    totals = seen.select("doc_id", "toxic").distinct().toPandas()
     n1 = int(totals["toxic"].sum())
     n0 = len(totals) - n1
     if not n0 or not n1:
@@ -116,22 +167,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     per_word = seen.groupBy("word").agg(F.sum("toxic").alias("d1"), F.count("*").alias("d"))
     odds = F.log((F.col("d1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("d") - F.col("d1") + 0.5) / F.lit(n0 + 1.0))
     per_word = per_word.where(F.col("d") >= LEAST_DOCS).select("word", "d", odds.alias("odds"))
-    known = per_word.orderBy(F.desc(F.abs("odds") * F.sqrt("d")), "word").limit(words)
+    known = per_word.where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("d")), "word").limit(words)
     known = known.toPandas().reset_index(names="col")
     use = spark.createDataFrame(known[["word", "col"]].astype({"col": int}), "word string, col int") if len(known) else None
     if use is None:
         return Model()
     cells = seen.join(F.broadcast(use), "word").groupBy("doc_id", "col").agg(F.sum("n").alias("n")).toPandas()
     place = {d: i for i, d in enumerate(sorted(totals["doc_id"]))}
-    length, toxic = np.ones(len(place)), np.zeros(len(place), dtype=int)
-    for d, y, n in totals.itertuples(index=False):
-        length[place[d]], toxic[place[d]] = max(1, n), y
+    toxic = np.zeros(len(place), dtype=int)
+    toxic[totals["doc_id"].map(place)] = totals["toxic"]
     cells = cells.sort_values(["doc_id", "col"])
     rows, cols, n = cells["doc_id"].map(place).to_numpy(), cells["col"].to_numpy(), cells["n"].to_numpy()
-    telling = known["odds"].to_numpy() > 2
-    share = np.bincount(rows, weights=n * telling[cols], minlength=len(place)) / length
-    cuts = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, share), 0)
+    # of features that occur in the same documents, one stays: the longest
+    mark = np.random.default_rng(1).integers(1, 1 << 62, size=len(place))
+    docs_of = np.zeros(len(known), dtype=np.int64)
+    np.bitwise_xor.at(docs_of, cols, mark[rows])
+    by_length = np.argsort(-known["word"].str.len().to_numpy(), kind="stable")
+    _, first = np.unique(docs_of[by_length], return_index=True)
+    stays = np.zeros(len(known), dtype=bool)
+    stays[by_length[first]] = True
+    rows, cols, n = rows[stays[cols]], cols[stays[cols]], n[stays[cols]]
+    telling = known["odds"].to_numpy() > TELLING_ODDS
+    told = np.bincount(rows, weights=value(n) * telling[cols], minlength=len(place))
+    cuts = np.quantile(told[toxic == 1], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, told), 0)
     w, t = fit_grades(rows, cols, value(n), grade, len(known))
     return Model({word: float(v) for word, v in zip(known["word"], w, strict=True) if v}, tuple(map(float, t)))
 
@@ -144,14 +203,13 @@ def score(docs: DataFrame, model: Model, name: str = "severity") -> DataFrame:
     docs = docs.drop(name)
     weights, thresholds = model.weights, np.array(model.thresholds)
     texts = docs.schema.names.index("text")
-    from pyspark.sql import types as T
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(weights)
         for batch in batches:
             for part in common.chunks(batch):
                 z = np.zeros(part.num_rows)
                 for i, text in enumerate(part.column(texts).to_pylist()):
-                    for w, n in counts(text, weights).items():
+                    for w, n in counts(text, known).items():
                         z[i] += weights[w] * value(n)
                 severity = _sigmoid(z[:, None] - thresholds[None, :]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(severity)], names=[*part.schema.names, name])
