@@ -201,15 +201,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
     `keep` stay (all, if None); a column that is named as `ids` is replaced. Rows neither move nor merge.
     """
     keep = [c for c in docs.columns if c not in (text, ids)] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = T.StructType([*source.drop("_text").schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    body = common.free("_text", keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
+    schema = T.StructType([*source.drop(body).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for part in common.chunks(batch, "_text"):
-                offsets, flat = encoder.encode(part.column("_text").to_pylist())
-                yield _attached(part, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), ids, "_text")
+            for part in common.chunks(batch, body):
+                offsets, flat = encoder.encode(part.column(body).to_pylist())
+                yield _attached(part, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), ids, body)
 
     common.small_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)

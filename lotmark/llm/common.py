@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it while a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size, if it is above BATCH_ROWS."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -29,16 +29,31 @@ KEY_BITS = 16
 TABLES = 8
 BLOCK_ROWS = 1024
 STEPS = 30
+#: Cosine from which vectors of the sample count as one.
+SAME = 0.95
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def distinct(sample: np.ndarray, cosine: float = SAME) -> np.ndarray:
+    """The unit vectors of the sample that are near no earlier one, compared in blocks."""
+    keep = np.ones(len(sample), dtype=bool)
+    for start in range(0, len(sample), 1000):
+        near = sample[start : start + 1000] @ sample[: start + 1000].T >= cosine
+        keep[start : start + 1000] = ~np.tril(near, start - 1).any(axis=1)
+    return sample[keep]
+
+
 def rotations(sample: np.ndarray, bits: int, steps: int = STEPS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection [d, bits]). Each group of at most d bits is the principal directions of the sample, turned
-    by a rotation that is fitted, step by step, to the signs it gives."""
-    mean = sample.mean(axis=0)
+    by a rotation that is fitted, step by step, to the signs it gives.
+
+    The sample counts each group of near vectors once, or a large group would be cut up to balance the codes. With
+    fewer groups than dimensions nothing is left to balance, and the codes are signs about the origin."""
+    sample = distinct(sample)
+    mean = sample.mean(axis=0) if len(sample) > sample.shape[1] else np.zeros(sample.shape[1])
     centred = sample - mean
     d = sample.shape[1]
     _, vectors = np.linalg.eigh(centred.T @ centred)

@@ -43,18 +43,24 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     text. Rows that are equal in doc_id and text are one document and all lose the same lines. Texts that are
     null or have fewer lines than a window stay as they are (n_lines of a null text is 0). A text may lose
     all its lines and is then empty. n_chars, where docs has it, is made anew for texts that lose lines. An
-    empty table gives an empty result; other columns pass through.
+    empty table gives an empty result; other columns pass through, but for n_lines and n_removed.
     """
-    marks = covered(docs, size).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
+    marks = covered(docs, size).toDF("id", "hash", "gone")
+    rest = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
     # the lines take the text's place in the shuffle, and joined again they are the text
-    here = docs.withColumn("_text_hash", F.xxhash64("text")).withColumn("_lines", F.split("text", "\n")).drop("text")
-    same = here["doc_id"].eqNullSafe(marks["_id"]) & (here["_text_hash"] == marks["_hash"])
-    out = here.join(marks, same, "left").drop("_id", "_hash", "_text_hash")
-    out = out.withColumn("n_lines", F.expr("if(_lines is null, 0, size(_lines))"))
-    out = out.withColumn("n_removed", F.expr("if(gone is null, 0, size(gone))"))
-    left = "transform(array_except(sequence(0, size(_lines) - 1), gone), i -> _lines[i])"
-    out = out.withColumn("text", F.expr(f"array_join(if(gone is null, _lines, {left}), '\n')"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    here = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    out = here.join(marks, F.expr("row.doc_id <=> id and text_hash = hash"), "left")
+    left = "transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i])"
+    text = F.expr(f"array_join(if(gone is null, lines, {left}), '\n')")
+    out = out.select(
+        "row",
+        text.alias("text"),
+        F.expr("if(lines is null, 0, size(lines))").alias("n_lines"),
+        F.expr("if(gone is null, 0, size(gone))").alias("n_removed"),
+    )
+    columns = {c: F.col("row").getField(c) for c in rest} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        made = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, made).otherwise(columns["n_chars"])
+    names = [c for c in docs.columns if c in columns]
+    return out.select(*[columns[c].alias(c) for c in names], "n_lines", "n_removed")

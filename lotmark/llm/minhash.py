@@ -232,5 +232,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep, with the same columns."""
     kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
     return docs.join(kept, same, "left_semi")

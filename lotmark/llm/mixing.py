@@ -97,17 +97,16 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, m
     # equal rows share an entry; each of them then takes its own place in it
     entry = ["doc_id", "text_hash", "source"]
     planned = planned.groupBy(*entry).agg(F.sort_array(F.collect_list(F.struct("full", "part")), asc=False).alias("uses"))
-    names = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    twins = Window.partitionBy("doc_id", "_hash", "source").orderBy(F.lit(0))
-    rows = rows.withColumn("_twin", F.row_number().over(twins))
-    p = planned.select(*[F.col(c).alias(f"_{c}") for c in entry], "uses")
-    same = rows["doc_id"].eqNullSafe(p["_doc_id"]) & (rows["_hash"] == p["_text_hash"]) & rows["source"].eqNullSafe(p["_source"])
-    used = rows.join(p, same).withColumn("_use", F.get("uses", F.col("_twin") - 1)).where("_use is not null")
-    lengths = F.expr("concat(array_repeat(-1L, int(_use.full)), if(_use.part > 0, array(_use.part), array()))")
-    used = used.withColumn("_words", F.explode(lengths))
-    shown = {"text": F.when(F.col("_words") < 0, F.col("text")).otherwise(first_words(F.col("text"), F.col("_words")))}
-    out = used.withColumns(shown)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("hash"))
+    twins = Window.partitionBy("row.doc_id", "hash", "row.source").orderBy(F.lit(0))
+    rows = rows.withColumn("twin", F.row_number().over(twins))
+    used = rows.join(planned, F.expr("row.doc_id <=> doc_id and hash = text_hash and row.source <=> source"))
+    used = used.select("row", F.expr("get(uses, twin - 1)").alias("use")).where("use is not null")
+    lengths = F.expr("concat(array_repeat(-1L, int(use.full)), if(use.part > 0, array(use.part), array()))")
+    used = used.select("row", F.explode(lengths).alias("n"))
+    whole, text = F.col("n") < 0, F.col("row.text")
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.when(whole, text).otherwise(first_words(text, F.col("n")))}
+    if "n_chars" in columns:
+        made = F.length(columns["text"]).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(made)
+    return used.select(*[columns[c].alias(c) for c in docs.columns])

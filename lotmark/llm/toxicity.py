@@ -203,6 +203,7 @@ def score(docs: DataFrame, model: Model, name: str = "severity") -> DataFrame:
     docs = docs.drop(name)
     weights, thresholds = model.weights, np.array(model.thresholds)
     texts = docs.schema.names.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(weights)
         for batch in batches:
