@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lotmark.plans import intake, records, relations, scoring, streams, text  # noqa: F401  they register their queries
+from lotmark.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
 FLAGSHIP = "a03_buyer_top_bidders"
