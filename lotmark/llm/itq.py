@@ -93,8 +93,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, tables: int = TABL
     spark = vectors.sparkSession
     common.small_batches(spark)
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    chosen = rows.where(USABLE).select(F.size("embedding").alias("dims"), "embedding", F.xxhash64("vec_id").alias("_h"))
-    chosen = chosen.orderBy("_h").limit(sample).toPandas()
+    chosen = common.sampled(rows.where(USABLE), sample, "vec_id").select(F.size("embedding").alias("dims"), "embedding").toPandas()
     bits = tables * key_bits
     models = {}
     for d, group in chosen.groupby("dims"):

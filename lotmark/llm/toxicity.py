@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     spark = docs.sparkSession
     common.small_batches(spark)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it can be broadcast
+    chosen = common.sampled(marks, sample, "doc_id")  # bounded, so it can be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

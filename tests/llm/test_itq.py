@@ -7,7 +7,9 @@ import math
 import numpy as np
 import pytest
 
-from lotmark.llm import itq, queries
+from pyspark.sql import functions as F
+
+from lotmark.llm import common, itq, queries
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string, bucket string, keys string"
 
@@ -96,3 +98,10 @@ def test_whole_table_recall(spark, small):
     want, got = sum(map(len, links.values())), sum(r.n_links for r in out.values())
     assert got <= want and got >= 0.98 * want
     assert all(out[v].n_links <= len(links[i]) for i, (v, _, _) in enumerate(rows))
+
+
+def test_samples_are_the_smallest_hashes(spark):
+    df = spark.range(5000).withColumnRenamed("id", "vec_id")
+    want = [r.vec_id for r in df.orderBy(F.xxhash64("vec_id")).limit(100).collect()]
+    assert [r.vec_id for r in common.sampled(df, 100, "vec_id").collect()] == want
+    assert common.sampled(df, 4000, "vec_id").count() == 4000 and common.sampled(df.limit(0), 5, "vec_id").count() == 0
