@@ -12,7 +12,8 @@
 
 So every two documents that share a bucket, directly or through others, are confirmed on full sets, and
 nothing is dropped in a large bucket. A pair at similarity s shares a bucket with probability
-1 - (1 - s^7)^18: 0.999 at 0.85.
+1 - (1 - s^rows)^bands, for the bands of the limit: 18 of 7 rows at 0.85, which gives 0.999; 21 of 6 rows
+at 0.80, which gives 0.998.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE = 5
 ROWS = 7
 BANDS = 18
 BINS = ROWS * BANDS
+#: The least probability with which a pair at the limit shares a bucket.
+FOUND = 0.998
 #: Members of a block and the shingles they hold together, about.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 400_000
@@ -75,6 +78,15 @@ def shingle_sets(texts: list[str | None], size: int, cache: WordHashes) -> list[
     return out
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for a limit: the longest bands, of ROWS at most, that find pairs at the limit with FOUND."""
+    for rows in range(ROWS, 1, -1):
+        bands = BINS // rows
+        if 1 - (1 - (percent / 100) ** rows) ** bands >= FOUND:
+            return bands, rows
+    return BINS, 1
+
+
 def densifiers(bins: int, attempts: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, bins, size=(attempts, bins))
 
@@ -199,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     * Repeated rows, and rows that share a doc_id, are one document with several rows: all get their rows.
     * An empty table gives an empty result; extra columns are ignored; documents of any length are hashed whole.
     """
-    sketches = common.checkpoint(sketch(docs))
+    sketches = common.checkpoint(sketch(docs, *banding(percent)))
     live = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node"))
     heads = live.join(classes, ["n_shingles", "h1", "h2"]).where("doc_id = node").dropDuplicates(["node", "h1"])

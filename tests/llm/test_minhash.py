@@ -106,6 +106,23 @@ def test_other_limits(spark, percent):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, docs.items()), percent).collect()} == component
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_limit_are_found(spark, percent):
+    # k shingles of 5 words in common and n to each alone: similarity k / (k + 2n), at the limit or just above
+    k, n = {80: (120, 15), 85: (119, 10)}[percent]
+    rng, docs = random.Random(5), {}
+    for i in range(2000):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(k + 4)]
+        docs[2 * i], docs[2 * i + 1] = (" ".join(words + [f"{side}{rng.randrange(50_000)}" for _ in range(n)]) for side in "xy")
+    component = {}
+    for i in range(0, 4000, 2):  # random words make no document like another pair's
+        component |= brute({i: docs[i], i + 1: docs[i + 1]}, percent)[1]
+    assert len(set(component.values())) == 2000
+    out = minhash.near_duplicates(frame(spark, docs.items()), percent).collect()
+    missed = sum(r.component_id != component[r.doc_id] for r in out)
+    assert missed <= 0.004 * 2000
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     jumps = minhash.densifiers(minhash.BINS, 4096)
