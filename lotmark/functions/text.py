@@ -78,10 +78,26 @@ def allowed(url: Column, hosts: list[str]) -> Column:
     return F.coalesce(scheme.isin("http", "https") & port.isin("", "80", "443") & any_host, F.lit(False))
 
 
-def stem(path: Column) -> Column:
-    """The last part of a path without its suffix, in lower case; of archive members, the member's."""
-    leaf = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), "([^/]*)$", 1)
-    return F.lower(collapse(F.regexp_replace(leaf, "\\.[A-Za-z0-9]{1,5}$", "")))
+@F.pandas_udf(T.StringType())
+def casefold(values: pd.Series) -> pd.Series:
+    """Spark's lower() keeps apart what casefold makes equal, such as ß and ss."""
+    return values.map(lambda s: None if s is None else s.casefold())
+
+
+#: What names of attachments end in.
+ENDINGS = "(?U)(?:[_\\-\\s]*(?:附件材料|附件资料|附件|attachments?|annex|files?))+$"
+
+
+def stems(path: Column) -> Column:
+    """The stems of a path's folders, archives and file, each once: without suffix, endings such as _附件 or -attachment,
+    punctuation and case; of archive members, those of every layer. Empty stems are left out."""
+
+    def normal(part: Column) -> Column:
+        name = F.regexp_replace(F.regexp_replace(part, "(?s)^(.+)\\.[^.]+$", "$1"), ENDINGS, "")
+        return F.regexp_replace(name, "[^\\p{L}\\p{N}_]+", "")
+
+    parts = F.split(F.replace(casefold(path), F.lit("\\"), F.lit("/")), "!?/")
+    return F.array_remove(F.array_distinct(F.transform(parts, normal)), "")
 
 
 def source_uuid(path: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmark.functions import codes, money
-from lotmark.functions.text import header_key, stem
+from lotmark.functions.text import header_key, stems
 
 #: Headers of item tables by field, the preferred ones first.
 ITEM_HEADERS = {
@@ -84,10 +84,20 @@ def participants(cells: DataFrame) -> DataFrame:
 
 
 def attach(notices: DataFrame, attachments: DataFrame) -> DataFrame:
-    """(path, notice): the notice of each attachment by equal stems; null where none or several notices have the stem."""
-    keyed = notices.select(stem(F.col("path")).alias("stem"), F.col("path").alias("notice"))
-    unique = keyed.groupBy("stem").agg(F.count("*").alias("n"), F.min("notice").alias("notice")).where("n = 1 and stem <> ''")
-    return attachments.select("path", stem(F.col("path")).alias("stem")).join(unique.drop("n"), "stem", "left").select("path", "notice")
+    """(path, notice): one row per row of attachments, with the only notice that shares a stem of its path with it; null
+    where none or several notices do. Stems that all notices have count for nothing; a single notice gets everything.
+
+    Each stem is one row before the join, so a stem of many notices and many attachments makes no pairs."""
+    named = notices.groupBy(F.col("path").alias("notice")).agg(F.count("*").alias("copies"))
+    total = named.agg(F.sum("copies").alias("total"), F.min("notice").alias("only"))
+    keyed = named.select("notice", "copies", F.explode(stems(F.col("notice"))).alias("stem"))
+    per = keyed.groupBy("stem").agg(F.sum("copies").alias("n"), F.min("notice").alias("notice"))
+    per = per.join(F.broadcast(total.select("total")), F.col("n") < F.col("total")).select("stem", "n", "notice")
+    exploded = attachments.select("path").distinct().select("path", F.explode(stems(F.col("path"))).alias("stem"))
+    met = exploded.join(per, "stem").groupBy("path").agg(F.max("n").alias("n"), F.min("notice").alias("a"), F.max("notice").alias("b"))
+    met = met.where("n = 1 and a = b").select("path", F.col("a").alias("match"))
+    out = attachments.select("path").join(met, "path", "left").crossJoin(F.broadcast(total))
+    return out.select("path", F.expr("if(total = 1, only, match)").alias("notice"))
 
 
 def metadata(docs: DataFrame, labels: dict[str, str]) -> DataFrame:

@@ -68,3 +68,21 @@ def attachments(m):
     notices = m.table("orders").where("o_orderkey < 700").select(F.expr("concat('in/', o_orderkey, '/Notice  ', o_orderkey % 500, '.html')").alias("path"))
     files = m.table("supplier").select(F.expr("concat('files/notice ', s_suppkey, '.zip')").alias("path"))
     return intake.attach(notices, files)
+
+
+ORDER_NOTICE = "concat('in/', o_orderkey, '/Notice  ', o_custkey, ' ', o_orderpriority, '_附件.html')"
+ORDER_ARCHIVE = "concat('files/NOTICE-', o_custkey, '-', o_orderpriority, '.zip!/a', o_orderkey, '.pdf')"
+ORDER_FOLDER = "concat('in/', o_orderkey, '/spec.pdf')"
+
+
+@query(
+    "j24_order_attachments",
+    f"""SELECT {ORDER_ARCHIVE} AS path, CASE WHEN count(*) OVER (PARTITION BY o_custkey, o_orderpriority) = 1 THEN {ORDER_NOTICE} END AS notice FROM orders
+UNION ALL SELECT {ORDER_FOLDER}, {ORDER_NOTICE} FROM orders""",
+)
+def order_attachments(m):
+    """A notice per order. Archives are named by customer and priority, which several orders may share; folders by order."""
+    orders = m.table("orders")
+    notices = orders.select(F.expr(ORDER_NOTICE).alias("path"))
+    files = orders.select(F.explode(F.array(F.expr(ORDER_ARCHIVE), F.expr(ORDER_FOLDER))).alias("path"))
+    return intake.attach(notices, files)

@@ -173,6 +173,22 @@ def test_nested_tables_and_items(spark):
     assert [(r.category, r.quantity, r.quantity_unit, r.total_price, r.package_code) for r in one] == [("a b", 2, "台", 15000, "default")]
 
 
+def test_attachments_by_stems_of_whole_paths(spark):
+    def attached(notices: list, files: list) -> dict:
+        frames = (spark.createDataFrame([(p,) for p in paths], "path string") for paths in (notices, files))
+        return dict(map(tuple, intake.attach(*frames).collect()))
+
+    notices = ["in/n1.html", "in\\N-2 公告.html", "in/n3/x.htm", "in/n4/x.htm", "in/straße.html"]
+    files = {
+        "n1_附件.zip": "in/n1.html", "n1/spec.pdf": "in/n1.html", "n1.zip!/deep/a.pdf": "in/n1.html", "b.zip!/n1 - Attachments_files.zip!/a": "in/n1.html", "n2公告-annex.doc": notices[1],
+        "n3/x.pdf": None, "n3/y.pdf": "in/n3/x.htm", "in/none.pdf": None, "n1/n3.pdf": None, "附件.zip": None, "STRASSE.pdf": "in/straße.html", "": None,
+    }
+    assert attached(notices, list(files)) == files
+    assert attached(["in/n1.html"], ["other.pdf", "n1.zip"]) == {"other.pdf": "in/n1.html", "n1.zip": "in/n1.html"}
+    assert attached([], ["other.pdf"]) == {"other.pdf": None}
+    assert attached(["in/n1.html"] * 2 + ["in/n2.html"], ["n1.zip", "n2.zip"]) == {"n1.zip": None, "n2.zip": "in/n2.html"}
+
+
 def test_catalog(spark, tmp_path):
     root, ident = str(tmp_path / "sets"), "0" * 32
     catalog.create(root, ident, {"t": spark.range(3)})
