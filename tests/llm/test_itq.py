@@ -100,6 +100,46 @@ def test_whole_table_recall(spark, small):
     assert all(out[v].n_links <= len(links[i]) for i, (v, _, _) in enumerate(rows))
 
 
+def planted(seed: int, dims: int = 64) -> list[tuple]:
+    """Rows at cosines of 0.98 to 0.99 with others: pairs in five labels, and groups of up to 40 around a centre in label 0,
+    which holds a third of the rows. The other rows are strangers."""
+    rng = np.random.default_rng(seed)
+
+    def turned(x, cosine):
+        y = rng.normal(size=dims)
+        y -= (y @ x) * x
+        return cosine * x + math.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+    def direction():
+        x = rng.normal(size=dims)
+        return x / np.linalg.norm(x)
+
+    found = []
+    for label in range(1, 6):
+        for _ in range(150):
+            x = direction()
+            found += [(x, label), (turned(x, rng.uniform(0.98, 0.99)), label)]
+        found += [(direction(), label) for _ in range(100)]
+    for size in (2, 5, 12, 40) * 8:
+        x = direction()  # two members at cosine a with the centre are at about a * a with each other
+        found += [(turned(x, math.sqrt(rng.uniform(0.98, 0.99))), 0) for _ in range(size)]
+    found += [(direction(), 0) for _ in range(1000 - 8 * 59)]
+    return [(i, x.astype("float32").tolist(), label) for i, (x, label) in enumerate(found)]
+
+
+def test_recall_at_the_limit(spark):
+    rows = planted(11)
+    labels = [r[2] for r in rows]
+    assert labels.count(0) * 3 >= len(rows)
+    links, _ = brute(rows)
+    out = {r.vec_id: r.n_links for r in itq.near_duplicates(frame(spark, rows)).collect()}
+    for kind in (lambda label: label == 0, lambda label: label > 0):
+        want = sum(len(links[i]) for i, label in enumerate(labels) if kind(label))
+        got = sum(out[i] for i, label in enumerate(labels) if kind(label))
+        assert want >= 1000 and 0.9 * want <= got <= want
+    assert all(out[i] <= len(links[i]) for i in out)
+
+
 def test_samples_are_the_smallest_hashes(spark):
     df = spark.range(5000).withColumnRenamed("id", "vec_id")
     want = [r.vec_id for r in df.orderBy(F.xxhash64("vec_id")).limit(100).collect()]
