@@ -1,4 +1,4 @@
-"""Gold against predictions: alignment, counts, metrics, duplicates, agreement."""
+"""Gold against predictions: alignment, counts, metrics, duplicates, differences."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Gold against predictions, duplicates, agreement and run summaries."""
+"""Gold against predictions, duplicates, differences and latencies."""
 
 from __future__ import annotations
 
@@ -107,6 +107,16 @@ def conflicts(m):
     return evaluation.conflicts(docs, other, "doc_id", "n_chars")
 
 
+@query(
+    "u05_all_conflicts",
+    """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS v FROM documents)
+SELECT doc_id, a.n_chars AS first_value, b.v AS second_value FROM documents a JOIN b USING (doc_id) WHERE a.n_chars IS DISTINCT FROM b.v""",
+)
+def all_conflicts(m):
+    docs = m.table("documents")
+    return evaluation.conflicts(docs, docs.withColumn("n_chars", F.expr("if(doc_id % 5 = 0, n_chars + 1, n_chars)")), "doc_id", "n_chars")
+
+
 @query("a34_latencies", "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
 def latencies(m):
     return evaluation.latencies(m.table("events"), ["event_type"], "value")

@@ -143,6 +143,25 @@ def grounded(m):
     return m.table("documents").select("doc_id", text.grounded(F.substring("text", 11, 40), F.col("text")).alias("grounded"))
 
 
+QUOTES = "SELECT doc_id, d.text, unnest(['own', 'changed', 'foreign']) AS origin, unnest([substr(d.text, 11, 40), concat(substr(d.text, 11, 20), '#~', substr(d.text, 31, 20)), substr(b.text, 11, 40)]) AS quote FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
+
+
+@query(
+    "p17_quotes",
+    f"""WITH q AS ({QUOTES}), k AS (SELECT doc_id, origin, regexp_replace(text, '{SPACES}', '', 'g') AS text, regexp_replace(quote, '{SPACES}', '', 'g') AS quote FROM q)
+SELECT doc_id, origin, coalesce(quote <> '' AND contains(text, quote), false) AS grounded FROM k""",
+)
+def quotes(m):
+    """Three quotes a document: of its own text, of its own with a change in the middle, and of a benchmark text."""
+    n = m.table("benchmark").agg(F.count("*").alias("n"))
+    docs = m.table("documents").crossJoin(F.broadcast(n)).withColumn("item_id", F.expr("doc_id % n"))
+    both = docs.join(m.table("benchmark").select("item_id", F.col("text").alias("other")), "item_id", "left")
+    changed = F.expr("substr(text, 11, 20) || '#~' || substr(text, 31, 20)")
+    made = {"own": F.substring("text", 11, 40), "changed": changed, "foreign": F.substring("other", 11, 40)}
+    each = both.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(k).alias("origin"), q.alias("quote")) for k, q in made.items()])).alias("q"))
+    return each.select("doc_id", "q.origin", text.grounded(F.col("q.quote"), F.col("text")).alias("grounded"))
+
+
 @query("f26_source_uuids", "SELECT s_suppkey, concat(lpad(CAST(s_suppkey AS VARCHAR), 8, '0'), '-0000-4000-8000-00000000000a') AS uuid FROM supplier")
 def source_uuids(m):
     path = F.concat(F.lit("in/"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.lit("-0000-4000-8000-00000000000a_notice.zip!/inner.docx"))

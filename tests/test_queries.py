@@ -18,6 +18,16 @@ def test_runs_without_sql(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
 
 
+def test_quotes_and_conflicts_cover_all_documents(spark, small):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    quotes = registry.QUERIES["p17_quotes"](spark, small).collect()
+    assert sorted(r.doc_id for r in quotes) == sorted(i for i in docs for _ in range(3))
+    assert any(r.grounded for r in quotes if r.origin == "own") and not any(r.grounded for r in quotes if r.origin == "changed")
+    assert any(not r.grounded for r in quotes if r.origin == "foreign")
+    found = {r.doc_id for r in registry.QUERIES["u05_all_conflicts"](spark, small).collect()}
+    assert found == {i for i, r in docs.items() if i % 5 == 0 and r.n_chars is not None} and any(i % 2 for i in found)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["organization_id", "buyer_id", "projects", "organization_name", "place"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
