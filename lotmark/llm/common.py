@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmark.operators.linking import checkpoint, components  # noqa: F401
+
 #: Rows of an Arrow batch. Spark's default of 10,000 holds too much memory where texts are long.
 BATCH_ROWS = 1000
 #: Bytes of text that a Python task works on at a time.
@@ -37,18 +38,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir.
-
-    Only where the session names no folder, as in tests on one machine, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lotmark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -93,29 +82,6 @@ def running(df: DataFrame, within: list[str], order: list[str | Column], sums: t
     return out.drop("_range", "_n0", *[f"_{c}0" for c in sums])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a long, b long): rows (node, component) for every node but the smallest of each.
-
-    Alternates large-star and small-star steps: every node's neighbours move to its smallest neighbour. Each
-    round's edges are checkpointed; only a count and a checksum come to the driver. A component of n nodes
-    takes O(log n) rounds or so, and no task holds a component.
-    """
-    star = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    star, last = checkpoint(star), None
-    for _ in range(rounds):
-        both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(star.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.expr("if(lo = m, hi, lo)").alias("hi"), F.col("m").alias("lo"))
-        star = checkpoint(small.distinct())
-        now = tuple(star.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first())
-        if now == last:
-            return star.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-        last = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
 def chunks(batch: pa.RecordBatch | pa.Table, column: str = "text") -> Iterator[pa.RecordBatch | pa.Table]:
     """Slices of the batch with about CHUNK_BYTES of text each, one row at least."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)

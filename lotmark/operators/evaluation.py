@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmark.operators.linking import checkpoint, components
+
 
 def counts(df: DataFrame, keys: list[str], gold: Column, predicted: Column) -> DataFrame:
     """tp, fp, fn, tn of two boolean columns."""
@@ -72,8 +74,9 @@ def align(gold: DataFrame, predicted: DataFrame, scope: str, fields: list[str])
     """scope, gold_no, predicted_no, weight: one-to-one pairs that share the most equal fields in each scope.
 
     Both sides have scope, `no` and the fields; null equals nothing. Equal rows are paired first, by joins: as the weight is a number of
-    equal fields, some best alignment has these pairs. What is left of a scope, the rows that differ, goes to one
-    Python call.
+    equal fields, some best alignment has these pairs. What is left of a scope, the rows that differ, is split into
+    components: rows of both sides that equal values of a field link, directly or through others. No pair
+    across components has a weight, so each is one Python call of its own.
     """
     filled = sum((F.col(f"g.{f}").isNotNull().cast("int") for f in fields), F.lit(0))
     nth = Window.partitionBy(scope, *fields).orderBy("no")
@@ -86,7 +89,18 @@ def align(gold: DataFrame, predicted: DataFrame, scope: str, fields: list[str])
     cells = F.array(*[F.col(f).cast("string") for f in fields]).alias("cells")
     left_g = gold.join(exact.select(scope, F.col("gold_no").alias("no")), [scope, "no"], "left_anti").select(scope, "no", cells)
     left_p = predicted.join(exact.select(scope, F.col("predicted_no").alias("no")), [scope, "no"], "left_anti").select(scope, "no", cells)
-    left_p = left_p.toDF(*left_p.columns)  # columns of its own, where both sides come from one frame
+    # both sides as nodes; a value that both sides have links its rows to the smallest of them
+    nodes = left_g.withColumn("side", F.lit(0)).unionByName(left_p.withColumn("side", F.lit(1))).withColumn("node", F.xxhash64("side", scope, "no"))
+    nodes = checkpoint(nodes)
+    values = nodes.select("node", "side", scope, F.posexplode("cells").alias("field", "value")).where("value is not null")
+    hubs = values.groupBy(scope, "field", "value").agg(F.min("node").alias("hub"), F.min("side").alias("first"), F.max("side").alias("last")).where("first < last")
+    met = values.alias("v").join(hubs.alias("h"), F.col(f"v.{scope}").eqNullSafe(F.col(f"h.{scope}")) & F.expr("v.field = h.field and v.value = h.value"))
+    edges = checkpoint(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    linked = components(edges)
+    linked = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
+    parts = checkpoint(nodes.join(linked, "node"))
+    left_g, left_p = (parts.where(F.col("side") == n).select(scope, "component", "no", "cells") for n in (0, 1))
+    left_p = left_p.toDF(*left_p.columns)  # columns of its own, as both sides come from one frame
 
     def run(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         g, p = g.sort_values("no"), p.sort_values("no")
@@ -100,7 +114,7 @@ def align(gold: DataFrame, predicted: DataFrame, scope: str, fields: list[str])
         return pd.DataFrame(rows, columns=[scope, "gold_no", "predicted_no", "weight"])
 
     kind = dict(gold.dtypes)[scope]
-    rest = left_g.groupBy(scope).cogroup(left_p.groupBy(scope)).applyInPandas(run, f"{scope} {kind}, gold_no long, predicted_no long, weight long")
+    rest = left_g.groupBy(scope, "component").cogroup(left_p.groupBy(scope, "component")).applyInPandas(run, f"{scope} {kind}, gold_no long, predicted_no long, weight long")
     return exact.unionByName(rest)
 
 

@@ -116,6 +116,21 @@ def test_alignment_over_scopes(spark):
         assert sum(w[r.gold_no, r.predicted_no] for r in mine) == want == sum(r.weight for r in mine)
 
 
+def test_alignment_solves_a_large_scope_in_parts(spark, monkeypatch):
+    # one scope of 4,000 differing rows a side: neighbours 2i and 2i + 1 share values, others share none
+    make = lambda side: [(1, n, f"a{n // 2}", f"b{n}", f"{side}{n}") for n in range(4000)] + [(1, 9000, None, None, None)]
+    g, p = (spark.createDataFrame(make(side), "scope long, no long, a string, b string, c string") for side in "gp")
+    whole = evaluation.assignment
+
+    def small(weights):
+        assert max(weights.shape) <= 2
+        return whole(weights)
+
+    monkeypatch.setattr(evaluation, "assignment", small)
+    out = evaluation.align(g, p, "scope", ["a", "b", "c"]).collect()
+    assert sorted((r.gold_no, r.predicted_no, r.weight) for r in out) == [(n, n, 2) for n in range(4000)]
+
+
 def test_metrics_without_denominators(spark):
     row = evaluation.metrics(spark.createDataFrame([(0, 0, 0, 5)], "tp long, fp long, fn long, tn long")).first()
     assert (row.precision, row.recall, row.f1, row.accuracy, row.weighted) == (None, None, None, 1.0, None)
