@@ -81,9 +81,16 @@ WITH replica AS (
   SELECT side, rnk // 1024 AS file, rnk % 1024 AS record, page_id, length, digest,
     coalesce(sum(length) OVER (PARTITION BY side, rnk // 1024 ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM digested
+), level1 AS (
+  SELECT side, file, record // 16 AS node, CAST(min(off) AS BIGINT) AS s, CAST(max(off + length) AS BIGINT) AS e, sha256(string_agg(concat_ws(':', record, CAST(off AS BIGINT), CAST(off + length AS BIGINT), digest), chr(10) ORDER BY record)) AS digest FROM laid GROUP BY ALL
+), level2 AS (
+  SELECT side, file, level1.node // 16 AS node, min(s) AS s, max(e) AS e, sha256(string_agg(concat_ws(':', level1.node, level1.s, level1.e, level1.digest), chr(10) ORDER BY level1.node)) AS digest FROM level1 GROUP BY side, file, level1.node // 16
+), roots AS (
+  SELECT side, file, sha256(string_agg(concat_ws(':', node, s, e, digest), chr(10) ORDER BY node)) AS digest FROM level2 GROUP BY side, file
 )
-SELECT a.file, CAST(a.record AS INT) AS record, a.page_id, CAST(a.off AS BIGINT) AS "offset", a.length, a.digest, b.digest AS their_digest
+SELECT a.file, CAST(a.record AS INT) AS record, a.page_id, CAST(a.off AS BIGINT) AS "offset", a.length, a.digest, b.digest AS their_digest, x.digest AS root, y.digest AS their_root
 FROM laid a JOIN laid b ON a.side = 0 AND b.side = 1 AND a.file = b.file AND a.record = b.record
+JOIN roots x ON x.side = 0 AND x.file = a.file JOIN roots y ON y.side = 1 AND y.file = a.file
 WHERE a.digest <> b.digest OR a.off <> b.off OR a.length <> b.length
 """
 

@@ -55,38 +55,51 @@ def layout(pages: DataFrame) -> DataFrame:
 
 
 def tree(laid: DataFrame) -> list[DataFrame]:
-    """The levels of the trees, (file, node, start, end, digest), from the records to the roots."""
-    levels = [laid.select("file", F.col("record").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "digest")]
+    """The levels of the trees, (file, node, start, end, digest), from the records, which have a page_id too, to the roots.
+
+    Each level is stored once, 1/16 of the one below it, so that an audit reads levels and builds none.
+    """
+    levels = [laid.select("file", F.col("record").alias("node"), "page_id", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "digest")]
     for _ in range(LEVELS):
         line = F.concat_ws(":", "node", "start", "end", "digest")
         child = levels[-1].select("file", F.expr(f"int(node div {FANOUT})").alias("up"), "start", "end", F.struct("node", line.alias("line")).alias("child"))
         lines = F.array_join(F.array_sort(F.collect_list("child"))["line"], "\n")
         up = child.groupBy("file", "up").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(lines, 256).alias("digest"))
-        levels.append(up.withColumnRenamed("up", "node"))
+        levels.append(common.checkpoint(up.withColumnRenamed("up", "node")))
     return levels
 
 
+def differing(mine: DataFrame, other: DataFrame, under: DataFrame | None) -> DataFrame:
+    """The nodes of a level, all or those under the given (file, up), that the replicas don't have alike: x, y structs."""
+    pack = lambda t: t.select("file", "node", F.struct(*[c for c in t.columns if c not in ("file", "node")]).alias("v"))
+    sides = [pack(t) for t in (mine, other)]
+    if under is not None:
+        sides = [t.withColumn("up", F.expr(f"int(node div {FANOUT})")).join(under, ["file", "up"], "left_semi").drop("up") for t in sides]
+    x, y = (t.withColumnRenamed("v", name) for t, name in zip(sides, "xy", strict=True))
+    both = x.join(y, ["file", "node"], "full")
+    return both.where("not (x.digest <=> y.digest and x.start <=> y.start and x.end <=> y.end)")
+
+
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """The records at which two laid-out replicas differ: file, record, page_id, offset, length, digest and their_digest.
+    """The records at which two laid-out replicas differ: file, record, page_id, offset, length, digest and their_digest,
+    root and their_root.
 
-    A record that one replica lacks has a null digest on that side, and the place that the other gives it.
+    Roots are compared first; each step down joins two stored levels under the stored branches that differed above.
+    A record that one replica lacks has a null digest on that side, and the place that the other gives it; so has a
+    file that one lacks a null root.
     """
     a, b = tree(ours), tree(theirs)
-    branch = both = None
-    for mine, other in zip(reversed(a), reversed(b), strict=True):
-        if branch is not None:
-            mine, other = (t.withColumn("up", F.expr(f"int(node div {FANOUT})")).join(branch, ["file", "up"], "left_semi") for t in (mine, other))
-        x, y = mine.alias("x"), other.alias("y")
-        both = x.join(y, ["file", "node"], "full").where("not (x.digest <=> y.digest and x.start <=> y.start and x.end <=> y.end)")
-        branch = both.select("file", F.col("node").alias("up"))
-    places = ours.select("file", F.col("record").alias("node"), "page_id").union(theirs.select("file", "record", "page_id"))
-    named = places.join(branch.withColumnRenamed("up", "node"), ["file", "node"], "left_semi").groupBy("file", "node").agg(F.min("page_id").alias("page_id"))
-    return both.join(named, ["file", "node"]).select(
+    roots = found = common.checkpoint(differing(a[-1], b[-1], None))
+    for mine, other in zip(reversed(a[:-1]), reversed(b[:-1]), strict=True):
+        found = common.checkpoint(differing(mine, other, found.select("file", F.col("node").alias("up"))))
+    tops = roots.select("file", F.col("x.digest").alias("root"), F.col("y.digest").alias("their_root"))
+    out = found.select(
         "file",
         F.col("node").alias("record"),
-        "page_id",
+        F.least("x.page_id", "y.page_id").alias("page_id"),
         F.coalesce("x.start", "y.start").alias("offset"),
         F.coalesce(F.col("x.end") - F.col("x.start"), F.col("y.end") - F.col("y.start")).alias("length"),
         F.col("x.digest").alias("digest"),
         F.col("y.digest").alias("their_digest"),
     )
+    return out.join(tops, "file")
