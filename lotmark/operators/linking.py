@@ -25,13 +25,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: every node's neighbours move to its smallest neighbour. Each
     round's edges are checkpointed; only a count and a checksum come to the driver. A component of n nodes
-    takes O(log n) rounds or so, and no task holds a component.
+    takes O(log n) rounds or so. All edges of a hub have its key in the join with the smallest neighbours;
+    these are stored before it, so that both sides of the join are plain shuffles and adaptive execution
+    can split a hub's edges over tasks.
     """
     star = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     star, last = checkpoint(star), None
     for _ in range(rounds):
         both = star.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(star.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.expr("if(lo = m, hi, lo)").alias("hi"), F.col("m").alias("lo"))
