@@ -11,7 +11,6 @@ read. Every block sends its k best of each query, so k rows a query and block ar
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +30,13 @@ LEAST_ROWS = 2_048
 
 
 class ImpactIndex:
-    """Segments of postings for integer vectors x [n, d]; ids ascending."""
+    """Segments of postings for integer vectors x [n, d] in order of id. A row's number, which is its own, tells it from
+    others of its id."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, numbers: np.ndarray | None = None):
         by = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[by], x[by].astype(np.float64)
+        self.numbers = self.ids if numbers is None else numbers[by]
         n, d = x.shape
         low, high = self.x.min(axis=0), self.x.max(axis=0)
         level = np.minimum(((self.x - low) * SEGMENTS / np.maximum(high - low, 1)).astype(np.int16), SEGMENTS - 1)
@@ -52,7 +53,7 @@ class ImpactIndex:
         self.most[full] = np.maximum.reduceat(ordered, self.start[full])
 
     def best(self, query: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and scores of the k best, ties to smaller ids, without the id `own`."""
+        """The places in the index and the scores of the k best, ties to smaller ids, without the row `own`."""
         n, d = self.x.shape
         q = np.repeat(query.astype(np.float64), SEGMENTS)
         ends = np.stack([q * self.least, q * self.most])
@@ -61,7 +62,7 @@ class ImpactIndex:
         gain = upper - np.repeat(base, SEGMENTS)  # the impact, never negative
         segments = np.argsort(-gain, kind="stable")
         segments = segments[self.count[segments] > 0]
-        taken = self.ids == own if own is not None else np.zeros(n, dtype=bool)
+        taken = self.numbers == own if own is not None else np.zeros(n, dtype=bool)
         acc = np.zeros(n)
         want = min(k, n - int(taken.sum()))
         # rounds of about equally many postings
@@ -88,7 +89,7 @@ class ImpactIndex:
                 break  # proven: no other candidate reaches the k-th best
         scores = self.x[possible] @ query
         top = np.lexsort((self.ids[possible], -scores))[:k]
-        return self.ids[possible][top], scores[top].astype(np.int64)
+        return possible[top], scores[top].astype(np.int64)
 
 
 def scaled(vectors: DataFrame) -> DataFrame:
@@ -103,44 +104,39 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     The score is the inner product of the components as floor(1024 * x); exact while it stays below 2^53.
     Vectors that are null or empty, or hold null or non-finite components, take no part, nor do rows with a
-    null vec_id. Vectors are compared within their number of dimensions. Repeated rows are candidates of
-    their own, and one query; rows that share a vec_id but not the vector are queries of their own. The rows
-    of a query's own vec_id are not its candidates. An empty table
-    gives an empty result; extra columns are ignored.
+    null vec_id. Vectors are compared within their number of dimensions. A row is a candidate for every other
+    row, also for one of its own id: rows that share a vec_id, equal or not, are queries and candidates of their
+    own, so a query_id comes as often as it has rows. An empty table gives an empty result; extra columns are
+    ignored.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
-    usable = common.checkpoint(scaled(vectors).withColumn("dims", F.size("x")))
+    usable = common.checkpoint(scaled(vectors).withColumn("dims", F.size("x")).withColumn("number", F.monotonically_increasing_id()))
     n = usable.count()
     tasks = max(spark.sparkContext.defaultParallelism, 1)
     blocks = max(1, -(-n // BLOCK_ROWS), min(tasks, -(-n // LEAST_ROWS)))
-    data = usable.select(F.expr(f"int(pmod(xxhash64(vec_id, x), {blocks}))").alias("block"), "dims", F.lit(0).alias("side"), "vec_id", "x")
-    asked = usable.where(f"vec_id % {int(every)} = 0").dropDuplicates(["vec_id", "x"])
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", F.lit(1).alias("side"), "vec_id", "x")
-    dealt = data.union(asked).repartition(2 * blocks, "block", "dims").sortWithinPartitions("block", "dims", "side")
+    data = usable.select(F.expr(f"int(pmod(xxhash64(number), {blocks}))").alias("block"), "dims", F.lit(0).alias("side"), "number", "vec_id", "x")
+    asked = usable.where(f"vec_id % {int(every)} = 0")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dims", F.lit(1).alias("side"), "number", "vec_id", "x")
+    # one block a task
+    dealt = data.union(asked).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "dims", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, held = None, (None, None)
         for t in common.grouped(batches, ["block", "dims", "side"]):
             key = (t.column("block")[0].as_py(), t.column("dims")[0].as_py())
-            ids = np.asarray(t.column("vec_id"))
+            numbers, ids = np.asarray(t.column("number")), np.asarray(t.column("vec_id"))
             x = np.asarray(t.column("x").combine_chunks().flatten()).reshape(len(ids), key[1])
             if t.column("side")[0].as_py() == 0:
-                index, held = ImpactIndex(ids, x), key
+                index, held = ImpactIndex(ids, x, numbers), key
             elif held == key:
-                found = [(i, q, *index.best(q.astype(np.float64), k, int(i))) for i, q in zip(ids, x, strict=True)]
-                counts = [len(f[2]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([f[0] for f in found], counts), pa.int64()),
-                        pa.array(np.repeat([zlib.crc32(f[1].tobytes()) for f in found], counts), pa.int64()),
-                        pa.array(np.concatenate([f[2] for f in found]), pa.int64()),
-                        pa.array(np.concatenate([f[3] for f in found]), pa.int64()),
-                    ],
-                    names=["query_id", "which", "vec_id", "score"],
-                )
-
-    found = dealt.mapInArrow(run, "query_id long, which long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
+                found = [index.best(q.astype(np.float64), k, int(i)) for i, q in zip(numbers, x, strict=True)]
+                counts = [len(f[0]) for f in found]
+                at = np.concatenate([f[0] for f in found])
+                columns = [np.repeat(numbers, counts), np.repeat(ids, counts), index.ids[at], np.concatenate([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["number", "query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "number long, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("rank", F.row_number().over(ranked)).where(f"rank <= {int(k)}")
     return found.select("query_id", "rank", "vec_id", "score")

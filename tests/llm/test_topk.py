@@ -45,7 +45,15 @@ def test_few_rows(spark, rows):
 def test_repeated_rows(spark):
     rows = [(100, [1.0, 0.0])] * 2 + [(1, [1.0, 1.0])] * 2 + [(None, [9.0, 9.0])]
     out = sorted(tuple(r) for r in topk.search(frame(spark, rows)).collect())
-    assert out == [(100, 1, 1, 1024 * 1024), (100, 2, 1, 1024 * 1024)]
+    one = 1024 * 1024  # each row of id 100 is a query, and the other one's candidate
+    assert out == sorted([(100, 1, 1, one), (100, 2, 1, one), (100, 3, 100, one)] * 2)
+
+
+def test_rows_that_share_an_id_but_not_the_vector(spark):
+    rows = [(100, [1.0, 0.0]), (100, [3.0, 0.0]), (1, [2.0, 0.0])]
+    out = sorted(tuple(r) for r in topk.search(frame(spark, rows)).collect())
+    one = 1024 * 1024
+    assert out == sorted([(100, 1, 100, 3 * one), (100, 2, 1, 2 * one), (100, 1, 1, 6 * one), (100, 2, 100, 3 * one)])
 
 
 def test_index_is_exact_for_any_data():
@@ -54,7 +62,8 @@ def test_index_is_exact_for_any_data():
         x = rng.integers(-spread, spread + 1, size=(n, d))
         index = topk.ImpactIndex(np.arange(n), x)
         for q in rng.integers(-spread, spread + 1, size=(8, d)):
-            ids, scores = index.best(q.astype(float), 10, 3)
+            at, scores = index.best(q.astype(float), 10, 3)
+            ids = index.ids[at]
             want = sorted((-int(x[i] @ q), i) for i in range(n) if i != 3)[:10]
             assert [(-int(s), int(i)) for i, s in zip(ids, scores, strict=True)] == want
 
