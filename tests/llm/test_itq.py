@@ -145,3 +145,16 @@ def test_samples_are_the_smallest_hashes(spark):
     want = [r.vec_id for r in df.orderBy(F.xxhash64("vec_id")).limit(100).collect()]
     assert [r.vec_id for r in common.sampled(df, 100, "vec_id").collect()] == want
     assert common.sampled(df, 4000, "vec_id").count() == 4000 and common.sampled(df.limit(0), 5, "vec_id").count() == 0
+
+
+def test_ids_that_repeat_with_another_label_or_vector(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 5), (2, [1.0, 0.01], 0), (1, [0.0, 1.0], 0), (3, [0.01, 1.0], 0)]
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in itq.near_duplicates(frame(spark, rows)).collect())
+    assert out == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_keys_follow_the_number_of_vectors():
+    assert itq.keys(100, 0.98) == itq.keys(60_000, 0.98) == (8, 16)
+    tables, bits = itq.keys(10**9, 0.98)
+    same = (1 - math.acos(0.98) / math.pi) ** bits
+    assert bits == 30 and 1 - (1 - same) ** tables >= 0.96
