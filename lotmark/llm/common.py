@@ -17,6 +17,8 @@ from lotmark.operators.linking import checkpoint, components  # noqa: F401
 BATCH_ROWS = 1000
 #: Bytes of text that a Python task works on at a time.
 CHUNK_BYTES = 4_000_000
+#: Rows of keys that may be broadcast; a longer list is joined by a shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,11 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, which holds keys, with a hint to broadcast it if it has BROADCAST_ROWS at most. It is counted, so it should be stored."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def sampled(df: DataFrame, size: int, key: str) -> DataFrame:
     """The `size` rows with the smallest hashes of the key, which should be unique.
 

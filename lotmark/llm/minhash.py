@@ -3,15 +3,17 @@
 1. A pass over the texts makes each document's set of hashed word shingles, its densified signature, and
    from that the keys of the bands. Only these leave the task.
 2. Documents with equal sets fall into one class, so any number of copies costs one row from here on.
-3. Classes that meet in a band's bucket get star-shaped candidate edges: each to the bucket's smallest. A
-   bucket of n gives n - 1 edges. Components of these edges are candidate clusters.
-4. Members of a cluster are sorted by set size and cut into blocks; pairs of blocks whose sizes allow a link
-   are compared on full sets in a task, as matrix products. A task returns one edge a member at most: to
-   the smallest member that it reaches inside the task.
+3. Classes that meet in a band's bucket get star-shaped candidate edges: each to the bucket's hub, its smallest.
+   A bucket of n gives n - 1 edges. All of them are confirmed on full sets, a hub against blocks of its
+   members. In most buckets that connects everybody, and they are done.
+4. In the others, what the hub's component lacks is compared with all of the bucket: members are cut into
+   blocks, and pairs of blocks that hold such a member, and whose sizes allow a link, are compared in a task as
+   matrix products. A task returns one edge a member at most: to the smallest that it reaches in there.
+   Buckets with the same members are compared once.
 5. Components of the confirmed edges are the result.
 
-So every two documents that share a bucket, directly or through others, are confirmed on full sets, and
-nothing is dropped in a large bucket. A pair at similarity s shares a bucket with probability
+So any two documents that share a bucket are compared on full sets or known to be connected, and nothing is
+dropped in a large bucket; documents that only third ones bring together are not compared. A pair at similarity s shares a bucket with probability
 1 - (1 - s^rows)^bands, for the bands of the limit: 18 of 7 rows at 0.85, which gives 0.999; 21 of 6 rows
 at 0.80, which gives 0.998.
 """
@@ -32,6 +34,8 @@ SHINGLE = 5
 ROWS = 7
 BANDS = 18
 BINS = ROWS * BANDS
+#: The limit of similarity, unless a call names another.
+PERCENT = 80
 #: The least probability with which a pair at the limit shares a bucket.
 FOUND = 0.998
 #: Members of a block and the shingles they hold together, about.
@@ -144,7 +148,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SH
 
     common.small_batches(docs.sparkSession)
     narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -171,6 +175,24 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
     return (100 * inter >= percent * union) & (union > 0)
 
 
+def confirm_stars(dealt: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
+    """Edges (a, b) of links between a hub, b, and its members; dealt: (hub, block, node, text), sorted, with the hub in each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for t in common.grouped(batches, ["hub", "block"]):
+            node, hub = np.asarray(t.column("node")), int(t.column("hub")[0].as_py())
+            sets = shingle_sets(t.column("text").to_pylist(), size, cache)
+            centre = next((s for s, n in zip(sets, node, strict=True) if n == hub), np.empty(0, dtype=np.uint64))
+            both = np.array([len(np.intersect1d(s, centre, assume_unique=True)) for s in sets])
+            union = np.array([len(s) for s in sets]) + len(centre) - both
+            hit = (node != hub) & (union > 0) & (100 * both >= percent * union)
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(np.full(int(hit.sum()), hub))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def confirm(members: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     """Edges (a, b) of links inside each pair of blocks; members: (cluster, b1, b2, block, node, text)."""
 
@@ -200,7 +222,13 @@ def confirm(members: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def in_blocks(members: DataFrame, within: str, order: list[str]) -> DataFrame:
+    """members, which have n_shingles and node, with `block`: BLOCK_ROWS rows and about BLOCK_SHINGLES shingles each."""
+    placed = common.running(members, [within], order, ("n_shingles",))
+    return placed.withColumn("block", F.expr(f"rank div {BLOCK_ROWS} + n_shingles_before div {BLOCK_SHINGLES}")).drop("rank", "n_shingles_before")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their sets of shingles of five
@@ -211,38 +239,61 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     * Repeated rows, and rows that share a doc_id, are one document with several rows: all get their rows.
     * An empty table gives an empty result; extra columns are ignored; documents of any length are hashed whole.
     """
+    same_set = ["n_shingles", "h1", "h2"]
     sketches = common.checkpoint(sketch(docs, *banding(percent)))
     live = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node"))
-    heads = live.join(classes, ["n_shingles", "h1", "h2"]).where("doc_id = node").dropDuplicates(["node", "h1"])
-    heads = common.checkpoint(heads.select("node", "n_shingles", "text_hash", "bands"))
-    buckets = heads.select("node", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = buckets.join(hubs.select("bucket", "hub"), "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    near = common.components(star)
-    near = near.union(near.select(F.col("component").alias("node"), "component").distinct())
-    members = near.join(heads.select("node", "n_shingles", "text_hash"), "node").withColumnRenamed("component", "cluster")
-    members = common.running(members, ["cluster"], ["n_shingles", "node", "text_hash"], ("n_shingles",))
-    members = members.withColumn("block", F.expr(f"rank div {BLOCK_ROWS} + n_shingles_before div {BLOCK_SHINGLES}"))
-    members = common.checkpoint(members.select("cluster", "node", "n_shingles", "text_hash", "block"))
-    blocks = members.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    one, two = blocks.alias("x"), blocks.alias("y")
-    pairs = one.join(two, "cluster").where(f"x.block <= y.block and 100 * x.most >= {percent} * y.least")
-    pairs = pairs.select("cluster", F.col("x.block").alias("b1"), F.col("y.block").alias("b2"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text", F.xxhash64("text").alias("text_hash"))
-    dealt = common.block_pairs(members, ["cluster"], pairs).join(texts, ["node", "text_hash"])
-    dealt = dealt.select("cluster", "b1", "b2", "block", "node", "text").repartition(common.partitions(docs), "cluster", "b1", "b2")
-    edges = confirm(dealt.sortWithinPartitions("cluster", "b1", "b2"), percent)
+    first = live.groupBy(*same_set).agg(F.min("doc_id").alias("first_id"))
+    heads = live.join(first, same_set).where("doc_id = first_id").dropDuplicates(same_set)
+    heads = common.checkpoint(heads.select(*same_set, "first_id", "text_hash", "bands").withColumn("node", F.monotonically_increasing_id()))
+    buckets = heads.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    hubs = common.checkpoint(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    met = common.checkpoint(buckets.join(hubs, "bucket"))
+    wanted = common.checkpoint(met.select("node").distinct().join(heads.select("node", "first_id", "text_hash"), "node"))
+    texts = docs.select(F.col("doc_id").alias("first_id"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = common.checkpoint(texts.join(common.small(wanted), ["first_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]))
+    # hubs against their members
+    star = in_blocks(met.where("node <> hub").select("hub", "node", "n_shingles").distinct(), "hub", ["node"]).select("hub", "block", "node")
+    star = common.checkpoint(star)
+    sides = star.union(star.select("hub", "block", F.col("hub").alias("node")).distinct())
+    dealt = sides.join(texts, "node").select("hub", "block", "node", "text").repartition(common.partitions(docs), "hub", "block")
+    edges = common.checkpoint(confirm_stars(dealt.sortWithinPartitions("hub", "block"), percent))
     found = common.components(edges)
-    classes = classes.join(found, "node", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "node").alias("component"))
-    out = sketches.drop("bands").join(classes, ["n_shingles", "h1", "h2"], "left")
-    component = F.expr("if(n_shingles > 0 and doc_id is not null, component, doc_id)")
-    out = out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"))
+    # what the hub's component lacks, against all of the bucket
+    state = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = F.max(F.when(F.col("node") == F.col("hub"), F.col("component")))
+    mark = F.xxhash64("node")
+    mixed = state.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y"), F.min("component").alias("lo"), F.max("component").alias("hi"), main.alias("main"))
+    mixed = common.checkpoint(mixed.where("lo < hi").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.min("main").alias("main")).select("bucket", "main"))
+    if not mixed.isEmpty():
+        members = state.join(mixed, "bucket").select(F.col("bucket").alias("cluster"), (F.col("component") != F.col("main")).cast("int").alias("rest"), "n_shingles", "node")
+        members = common.checkpoint(in_blocks(members, "cluster", ["rest", "n_shingles", "node"]))
+        blocks = members.groupBy("cluster", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.max("rest").alias("rest"))
+        one, two = blocks.alias("x"), blocks.alias("y")
+        pairs = one.join(two, "cluster").where(f"x.block <= y.block and x.rest + y.rest > 0 and 100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least")
+        pairs = pairs.select("cluster", F.col("x.block").alias("b1"), F.col("y.block").alias("b2"))
+        dealt = common.block_pairs(members.select("cluster", "node", "block"), ["cluster"], pairs).join(texts, "node")
+        dealt = dealt.select("cluster", "b1", "b2", "block", "node", "text").repartition(common.partitions(docs), "cluster", "b1", "b2")
+        more = confirm(dealt.sortWithinPartitions("cluster", "b1", "b2"), percent)
+        found = common.components(found.toDF("a", "b").unionByName(more))
+    placed = heads.select(*same_set, "node", "first_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    placed = placed.join(least, "component").select(*same_set, "least_id")
+    out = sketches.drop("bands").join(placed, same_set, "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.expr("if(n_shingles > 0 and doc_id is not null, least_id, doc_id)").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the documents that near_duplicates() doesn't keep, with the same columns."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
-    return docs.join(kept, same, "left_semi")
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without the documents that near_duplicates() doesn't keep, with the same columns.
+
+    Rows that are equal in doc_id and text are one document, of which one row stays; rows with a null doc_id all stay.
+    """
+    id_, hash_ = (common.free(c, docs.columns) for c in ("_id", "_hash"))
+    found = near_duplicates(docs, percent).where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    # those that go and those that repeat are fewer than those that stay: they alone meet the texts
+    found = common.checkpoint(found.where("not kept or n > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), "kept"))
+    hashed = docs.withColumn("_h" + hash_, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(id_)) & (F.col("_h" + hash_) == F.col(hash_))
+    others = hashed.join(common.small(found), same, "left_anti")
+    repeated = hashed.join(common.small(found.where("kept").drop("kept")), same, "left_semi").dropDuplicates(["doc_id", "_h" + hash_])
+    return others.union(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

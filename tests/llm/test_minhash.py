@@ -20,7 +20,7 @@ def shingles(text: str | None) -> set:
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(docs: dict[int, str | None], percent: int = 85) -> tuple[dict, dict]:
+def brute(docs: dict[int, str | None], percent: int = 80) -> tuple[dict, dict]:
     sets = {i: shingles(t) for i, t in docs.items()}
     group = {i: i for i in docs}
 
@@ -45,8 +45,8 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "en", "s", 0, "", "", 1) for i, t in docs], SCHEMA)
 
 
-def check(out, docs: dict) -> None:
-    sizes, component = brute(docs)
+def check(out, docs: dict, percent: int = 80) -> None:
+    sizes, component = brute(docs, percent)
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out} == {(i, sizes[i], component[i], component[i] == i) for i in docs}
 
 
@@ -86,6 +86,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert all(r.component_id == 3 for r in out if r.doc_id == 5 and r.n_shingles == 2 and not r.kept)
 
 
+def test_copies_of_a_row_leave_one(spark):
+    rows = [(5, "a b c d e f g")] * 40 + [(7, "a b c d e f g"), (5, "quite another text of seven words"), (None, "x y z"), (None, "x y z")]
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([(5, "a b c d e f g"), (5, "quite another text of seven words"), (None, "x y z"), (None, "x y z")], key=str)
+
+
+def test_ids_of_another_type(spark):
+    texts = {"b": "one two three four five six", "a": "one two three four five six", "c": "something else altogether in here now"}
+    out = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in out} == {("a", "a", True), ("b", "a", False), ("c", "c", True)}
+
+
+def test_chains_whose_ends_are_unlike(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 4)
+    words = [f"w{i}" for i in range(200)]
+    docs = {i: " ".join(words[i * 6 : i * 6 + 120]) for i in range(12)}  # neighbours are alike, ends aren't
+    _, component = brute(docs)
+    out = minhash.near_duplicates(frame(spark, docs.items())).collect()
+    assert set(component.values()) == {0} and {r.component_id for r in out} == {0}
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).collect() == []
     assert minhash.keep_one(frame(spark, [])).collect() == []
@@ -99,7 +120,7 @@ def test_keep_one_keeps_the_smallest_and_all_columns(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in docs if component[i] == i}
 
 
-@pytest.mark.parametrize("percent", [80, 100])
+@pytest.mark.parametrize("percent", [85, 100])
 def test_other_limits(spark, percent):
     docs = made(4, 10, 5, 120)
     _, component = brute(docs, percent)
@@ -137,4 +158,4 @@ def test_densified_signatures_estimate_similarity():
 
 def test_whole_table(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    check(queries.op9_minhash(spark, small).collect(), docs)
+    check(queries.op9_minhash(spark, small).collect(), docs, 85)
