@@ -6,9 +6,10 @@ single severity and the grades share what is learnt. The expected severity is th
 Features are the words of a text and the first letters of its words, which catch inflected and compound
 forms. No feature has a negative weight: nothing that a text adds makes it less severe.
 
-It is fitted on a bounded sample of labelled documents, those with the smallest hashes of their id. Labels
-say toxic or not; a toxic document's grade, 1 to 3, is the third of the toxic sample that its amount of
-telling features falls in, where telling features are those that toxic documents have far more often.
+It is fitted on a bounded sample of labelled documents, those with the smallest hashes of their id; every feature
+that LEAST_DOCS of them have is used. Labels say toxic or not; a toxic document's grade, 1 to 3, is the third
+of the toxic sample that its amount of telling features falls in, where telling features are those that toxic
+documents have far more often. So the grades above 1 come from the texts, as no label has them.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotmark.llm import common
 
-#: Labelled documents that the fit uses, and words it knows, at most.
-SAMPLE, WORDS = 6_000, 4_000
-#: Documents of the sample that have a word, at least.
+#: Labelled documents that the fit uses, at most.
+SAMPLE = 6_000
+#: Documents of the sample that have a feature, at least; with fewer, its odds say nothing.
 LEAST_DOCS = 5
 #: How much more often toxic documents have a feature, as a logarithm, at least; and what makes it telling.
 LEAST_ODDS, TELLING_ODDS = 1.0, 2.0
@@ -41,7 +42,8 @@ CACHE = 500_000
 SPARSITY, RIDGE, SUPPORT = 0.03, 0.06, 0.02
 #: Expected severity from which a document is rejected.
 REJECT = 0.3
-WORD = regex.compile(r"[^\W\d_]+")
+#: What stands between words: all but letters and their marks.
+BETWEEN = r"[^\p{L}\p{M}]+"
 
 
 @dataclass
@@ -57,26 +59,45 @@ def features(word: str) -> list[str]:
 
 
 class Known(dict):
-    """Of each word, those of its features that are known."""
+    """The numbers of each word's features. `names` holds the features by number: those that are given, or, without
+    any, all that come up."""
 
-    def __init__(self, known: dict[str, float] | None):
+    def __init__(self, names: list[str] | None = None):
         super().__init__()
-        self.known = known
+        self.fixed, self.names = names is not None, list(names or [])
+        self.number = {f: i for i, f in enumerate(self.names)}
 
-    def __missing__(self, word: str) -> list[str]:
+    def __missing__(self, word: str) -> list[int]:
         if len(self) > CACHE:
             self.clear()
-        self[word] = out = [f for f in features(word) if self.known is None or f in self.known]
+        found = features(word)
+        if not self.fixed:
+            for f in found:
+                if f not in self.number:
+                    self.number[f] = len(self.names)
+                    self.names.append(f)
+        self[word] = out = [self.number[f] for f in found if f in self.number]
         return out
 
 
-def counts(text: str | None, known: Known) -> dict[str, int]:
-    """The features of a text, in lower case, that are known, with their counts."""
-    out: dict[str, int] = {}
-    for w in WORD.findall(text.lower()) if text else []:
-        for f in known[w]:
-            out[f] = out.get(f, 0) + 1
-    return out
+def counts(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, n): how often each text has each known feature, in lower case. Each distinct word of the texts is
+    looked at once."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), BETWEEN)
+    coded = parts.flatten().dictionary_encode()
+    row, code = np.asarray(pc.list_parent_indices(parts)).astype(np.int64), np.asarray(coded.indices).astype(np.int64)
+    found = [known[w] if w else [] for w in coded.dictionary.to_pylist()]
+    many = np.array([len(f) for f in found], dtype=np.int64)
+    flat = np.array([i for f in found for i in f], dtype=np.int64)
+    if not len(flat):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    start = np.cumsum(many) - many
+    row, code = row[many[code] > 0], code[many[code] > 0]
+    each = many[code]
+    at = np.repeat(start[code] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    width = int(flat.max()) + 1
+    cell, n = np.unique(np.repeat(row, each) * width + flat[at], return_counts=True)
+    return cell // width, cell % width, n
 
 
 def value(n):
@@ -130,7 +151,7 @@ def fit_grades(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndar
     return out, t
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on up to `sample` labelled documents. Without labels of both kinds, the model rejects nothing.
 
     Labels with a null id or a null toxic are left out; an id with several labels is toxic if one says so; an id
@@ -143,22 +164,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(None)
+        known = Known()
         for batch in batches:
             for part in common.chunks(batch):
-                found = [counts(t, known) for t in part.column("text").to_pylist()]
-                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(pa.array(at)),
-                        part.column("toxic").take(pa.array(at)),
-                        pa.array([w for f in found for w in f], pa.string()),
-                        pa.array([n for f in found for n in f.values()], pa.int64()),
-                    ],
-                    names=["doc_id", "toxic", "word", "n"],
-                )
-
-    seen = common.checkpoint(texts.mapInArrow(run, "doc_id long, toxic int, word string, n long"))
+                row, feature, n = counts(part.column("text"), known)
+                ids, toxic = (part.column(c).take(pa.array(row)) for c in ("doc_id", "toxic"))
+                yield pa.RecordBatch.from_arrays([ids, toxic, pa.array([known.names[f] for f in feature], pa.string()), pa.array(n)], names=["doc_id", "toxic", "word", "n"])
+
+    seen = common.checkpoint(texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, word string, n long"))
     totals = seen.select("doc_id", "toxic").distinct().toPandas()
     n1 = int(totals["toxic"].sum())
     n0 = len(totals) - n1
@@ -167,8 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     per_word = seen.groupBy("word").agg(F.sum("toxic").alias("d1"), F.count("*").alias("d"))
     odds = F.log((F.col("d1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("d") - F.col("d1") + 0.5) / F.lit(n0 + 1.0))
     per_word = per_word.where(F.col("d") >= LEAST_DOCS).select("word", "d", odds.alias("odds"))
-    known = per_word.where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("d")), "word").limit(words)
-    known = known.toPandas().reset_index(names="col")
+    # bounded by the sample's words
+    known = per_word.where(F.col("odds") >= LEAST_ODDS).toPandas().sort_values("word", ignore_index=True).reset_index(names="col")
     use = spark.createDataFrame(known[["word", "col"]].astype({"col": int}), "word string, col int") if len(known) else None
     if use is None:
         return Model()
@@ -205,13 +218,11 @@ def score(docs: DataFrame, model: Model, name: str = "severity") -> DataFrame:
     texts = docs.schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(weights)
+        known, w = Known(sorted(weights)), np.array([weights[f] for f in sorted(weights)])
         for batch in batches:
             for part in common.chunks(batch):
-                z = np.zeros(part.num_rows)
-                for i, text in enumerate(part.column(texts).to_pylist()):
-                    for w, n in counts(text, known).items():
-                        z[i] += weights[w] * value(n)
+                row, feature, n = counts(part.column(texts), known)
+                z = np.bincount(row, weights=w[feature] * value(n), minlength=part.num_rows) if len(row) else np.zeros(part.num_rows)
                 severity = _sigmoid(z[:, None] - thresholds[None, :]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(severity)], names=[*part.schema.names, name])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +89,27 @@ def test_held_out_on_tables(spark, small):
     toxic = [x.r for x in out if x.toxic]
     clean = [x.r for x in out if not x.toxic]
     assert sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.04 * len(clean)
+
+
+def test_scores_are_those_of_the_weights(spark):
+    model = toxicity.Model({"bad": 1.5, "badl~": 0.5, "worse": 2.25, "ärger": 1.0}, (2.0, 3.0, 4.5))
+    texts = [None, "", "bad", "Bad bad, badly! badly_bad worse2worse", "ärger ÄRGER", "nothing here", "worse " * 200_000]
+
+    def severity(text):
+        found = {}
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            for f in toxicity.features(word):
+                found[f] = found.get(f, 0) + 1
+        z = sum(model.weights[f] * (1 + math.log(n)) for f, n in found.items() if f in model.weights)
+        return sum(1 / (1 + math.exp(t - z)) for t in model.thresholds)
+
+    rows = [(i, t, "", "", "") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.severity for r in toxicity.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert all(abs(got[i] - severity(t)) < 1e-9 for i, t in enumerate(texts))
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([(str(i), f"vile word{i}" if i % 4 == 0 else f"fine word{i}") for i in range(80)], "doc_id string, text string")
+    labels = spark.createDataFrame([(str(i), 1, int(i % 4 == 0)) for i in range(80)], "doc_id string, quality int, toxic int")
+    out = toxicity.grade(docs, labels).collect()
+    assert all(r.rejected == (int(r.doc_id) % 4 == 0) for r in out)
