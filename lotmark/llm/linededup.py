@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotmark.llm import common
+
 WINDOW = 3
 
 
@@ -28,7 +30,8 @@ def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, gone): for each document that loses lines, their positions, ascending."""
     found = windows(docs, size)
     place = F.struct("doc_id", "pos", "text_hash")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    # stored, so that the join below has two plain shuffles and adaptive execution can split a window's occurrences
+    repeated = common.checkpoint(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
     later = found.join(repeated, ["h1", "h2"]).where("not (doc_id <=> first.doc_id and pos = first.pos and text_hash = first.text_hash)")
     starts = later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("starts"))
     spread = F.expr(f"array_sort(array_distinct(flatten(transform(starts, p -> sequence(p, p + {size - 1})))))")
