@@ -54,13 +54,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return per.select("source", "source_no", "source_size", target.alias("target"))
 
 
-def plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, score: Column | None = None) -> DataFrame:
+def plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, score: Column | None = None, whole: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, source, size, source_size, target, taken.
 
     `taken` is the words that the mix takes of the document, repeats counted: size for every complete epoch,
     and of the rest of the source's budget what is left when the documents before it, by key, are taken. So a
     source's taken words are its target rounded to whole words; the document at the end of the budget gives
-    its first words. `score` is the documents' weight in the sampling, above 0 (by default quality()).
+    its first words. With `whole`, that document is taken whole or left, whichever brings the source nearer to its
+    target, so no text is cut. `score` is the documents' weight in the sampling, above 0 (by default quality()).
 
     Null texts have size 0; a null source is a source, the last one. Documents with equal keys go by id and
     text; equal rows are interchangeable. An empty table gives an empty result. Extra columns are ignored.
@@ -74,7 +75,9 @@ def plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS,
     placed = common.running(keyed, ["source_no"], ["key", "doc_id", "text_hash"], ("size",))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round("target").cast("long") - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("size_before")))
+    left = rest - F.col("size_before")
+    part = F.when(2 * left >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.least("size", left)
+    part = F.greatest(F.lit(0).cast("long"), part)
     return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
 
 
@@ -85,13 +88,14 @@ def first_words(text: Column, n: Column) -> Column:
     return F.concat_ws("", F.slice(parts, F.lit(1), n.cast("int")))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, whole: bool = False) -> DataFrame:
     """The mixed documents, with the columns of docs: each as often as its words are taken, and the document at
-    the end of a source's budget shortened to its taken words. n_chars, where docs has it, is made anew.
+    the end of a source's budget shortened to its taken words, unless `whole`. n_chars, where docs has it, is made
+    anew for it.
 
     Documents without words are in no budget: they come once if the source has a complete epoch, else not.
     """
-    planned = plan(docs, seed, weights, most)
+    planned = plan(docs, seed, weights, most, whole=whole)
     planned = planned.withColumn("full", F.expr("if(size > 0, taken div size, if(target >= source_size, 1, 0))"))
     planned = planned.withColumn("part", F.expr("if(size > 0, taken % size, 0)")).where("full > 0 or part > 0")
     # equal rows share an entry; each of them then takes its own place in it

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
+import struct
 from collections import defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lotmark.llm import mixing, queries
@@ -119,3 +122,41 @@ def test_whole_table(spark, small):
         assert r["size"] == len(WORD.findall(doc.text or "")) and r.target == pytest.approx(want[doc.source])
         taken[doc.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.51 for s in sizes)
+
+
+def test_documents_are_taken_in_order_of_their_keys(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def key(i):  # the hash of the id, then of the seed, as Spark chains them
+        first = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        last = xxhash.xxh64(struct.pack("<i", 17), seed=first).intdigest()
+        return -math.log(((last & ((1 << 52) - 1)) + 0.5) / (1 << 52))
+
+    for whole in (False, True):
+        got = {r.doc_id: r for r in mixing.plan(docs, whole=whole).collect()}
+        for source in ("s0", "s1", "s2"):
+            ids = sorted((i for i, _, s in rows if s == source), key=key)
+            target, total = got[ids[0]].target, got[ids[0]].source_size
+            epochs = int(target // total)
+            left = round(target) - epochs * total
+            for i in ids:
+                size = got[i].size
+                part = (size if 2 * left >= size else 0) if whole else min(size, max(left, 0))
+                assert got[i].taken == epochs * size + part
+                left -= size
+
+
+def test_whole_documents_alone(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    mixed = mixing.mix(docs, whole=True).collect()
+    assert all(r.text == texts[r.doc_id] for r in mixed)
+    planned = mixing.plan(docs, whole=True).collect()
+    largest = {}
+    for r in planned:
+        largest[r.source] = max(largest.get(r.source, 0), r.size)
+    taken = {s: sum(r.taken for r in planned if r.source == s) for s in largest}
+    target = {r.source: r.target for r in planned}
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in taken)
+    assert sum(taken.values()) == sum(len((r.text or "").split()) for r in mixed)
