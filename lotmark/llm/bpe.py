@@ -78,6 +78,7 @@ class Vocabulary:
         self.late |= set(map(chr, self.capitals))
         letter, number = f"[\\p{{L}}{late}]", f"[\\p{{N}}{late}]"
         self.words_late = regex.compile(f"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{WHITE}{letter}{number}]+|[\\n\\t]")
+        self.special_first = {s[0] for s in self.special}
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +115,7 @@ class Vocabulary:
         """The ids of all texts in order, and how many each has. Texts hold no white space."""
         marked, special = [], []
         for text in texts:
-            if "<" in text and self.split_special:
+            if self.split_special and any(c in text for c in self.special_first):
                 # no text holds white space: a tab stands for a special token, a line feed for a text's end
                 parts = self.split_special.split(text)
                 special += [self.special[p] for p in parts if p in self.special]
@@ -198,9 +199,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
     adding special tokens; special tokens' strings in a text become their ids.
 
     Null texts count as empty and get an empty array. The text column is dropped, and of the others those in
-    `keep` stay (all, if None); a column that is named as `ids` is replaced. Rows neither move nor merge.
+    `keep` stay (all, if None); a column that is named as `ids`, in any case, is replaced. Rows neither move nor merge.
     """
-    keep = [c for c in docs.columns if c not in (text, ids)] if keep is None else keep
+    keep = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())] if keep is None else keep
     body = common.free("_text", keep)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
     schema = T.StructType([*source.drop(body).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])

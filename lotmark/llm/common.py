@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmark.operators.linking import checkpoint, components  # noqa: F401
+from lotmark.operators.linking import checkpoint, components, shared_folder  # noqa: F401
 
 #: Rows of an Arrow batch. Spark's default of 10,000 holds too much memory where texts are long.
 BATCH_ROWS = 1000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,3 +58,28 @@ def test_whole_table(spark, small):
     out = queries.op5_sharding(spark, small).collect()
     assert {(r.doc_id, r["size"], r.text_crc32) for r in out} == {(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
     assert all(r.shard < 16 and r.grown_shard in (r.shard, 16) for r in out)
+
+
+def test_assignment_and_slots_against_plain_python(spark):
+    weights = [1.0, 2.0, 0.0, 0.5, 1.0]
+    rows = [(i, f"text {i % 7}" * (i % 5)) for i in range(400)] + [(7, "again"), (7, "again"), (None, None), (None, "x")]
+
+    def draw(key, shard):
+        text = "null" if key is None else str(key)
+        return (int(hashlib.md5(f"{text}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    def best(key, w):
+        return min((-math.log(draw(key, s)) / x, s) for s, x in enumerate(w) if x > 0)[1]
+
+    placed = {}
+    for key, text in rows:
+        body = (text or "").encode()
+        placed.setdefault(best(key, weights), []).append((key is not None, key or 0, zlib.crc32(body), len(body) + 1))
+    want = []
+    for shard, members in placed.items():
+        for slot, (there, key, crc, size) in enumerate(sorted(members)):
+            key = key if there else None
+            want.append((key, size, crc, "key", shard, slot, best(key, [*weights, 1.0])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in sharding.assign(docs, weights).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
