@@ -1,86 +1,185 @@
-"""From table cells to item and participant candidates, on the long form of cells.
+"""From table cells to item, participant and bidder-detail candidates, on the long form of cells.
 
-Headers are found by joining the first rows of tables with a dictionary of aliases; the cells below are then
-named by their column and turned back into rows by one aggregation per table row.
+Each table row is made once, with the fields that a dictionary of aliases finds in its cells. A row that names
+enough fields is a header, and holds for the rows below it until the next one: a running window, so a table may
+change its columns on the way. Cells are read and shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotmark.functions import codes, money
-from lotmark.functions.text import header_key, stems
+from lotmark.functions import codes, money, states
+from lotmark.functions.text import compact, half_width, header_key, stems
 
 #: Headers of item tables by field, the preferred ones first.
 ITEM_HEADERS = {
-    "package_code": "采购包编号 采购包号 包编号 包号 标包编号 标段编号 标段号",
-    "product_name": "标的名称 标的物名称 采购标的 采购标的名称 主要投标标的名称 标项名称 采购内容 产品服务名称 产品名称 商品名称 货物名称 服务名称 货物服务名称 名称 品名 标的物",
-    "category": "品目名称 品目 采购品目 品目分类 类别",
-    "brand": "品牌 品牌如有 货物品牌 品牌名称 制造商品牌",
-    "model": "规格型号 规格型号如有 货物型号 规格说明 规格 型号",
-    "quantity": "数量 数量单位 货物数量 采购数量 采购数量单位",
-    "unit_price": "单价 货物单价 单价元",
-    "total_price": "总价 货物总价 合价 总金额 成交金额 中标金额 中标成交金额 金额",
+    "package_code": ("采购包编号", "采购包号", "包编号", "包号", "标包编号", "标段编号", "标段号"),
+    "product_name": ("标的名称", "标的物名称", "采购标的", "采购标的名称", "主要投标标的名称", "标项名称", "采购内容", "产品服务名称", "产品名称", "商品名称", "货物名称", "服务名称", "货物服务名称", "名称", "品名", "标的物"),
+    "category": ("品目名称", "品目", "采购品目", "品目分类", "类别"),
+    "brand": ("品牌", "品牌如有", "货物品牌", "品牌名称", "制造商品牌"),
+    "model": ("规格型号", "规格型号如有", "货物型号", "规格说明", "规格", "型号"),
+    "quantity": ("数量", "数量单位", "货物数量", "采购数量", "采购数量单位"),
+    "unit_price": ("单价", "货物单价", "单价元"),
+    "total_price": ("总价", "货物总价", "合价", "总金额", "成交金额", "中标金额", "中标成交金额", "金额"),
 }
 #: Headers of participant tables.
 PARTICIPANT_HEADERS = {
-    "package_code": "采购包编号 采购包号 合同包号 包号 标包号 标包 标段号 合同包 采购包",
-    "name": "投标人名称 投标单位名称 供应商名称 供应商信息 响应供应商 供应商全称 响应人名称 响应单位名称 投标人 投标单位 供应商 响应人 响应单位 候选供应商",
-    "result": "是否中标 是否成交 中标状态 成交状态 中标情况 成交情况 中标结果 成交结果",
-    "amount": "中标成交金额 中标金额 成交金额 中标总金额 成交总金额",
+    "package_code": ("采购包编号", "采购包号", "合同包号", "包号", "标包号", "标包", "标段号", "合同包", "采购包"),
+    "name": ("投标人名称", "投标单位名称", "供应商名称", "供应商信息", "响应供应商", "供应商全称", "响应人名称", "响应单位名称", "投标人", "投标单位", "供应商", "响应人", "响应单位", "候选供应商", "中标供应商", "成交供应商"),
+    "result": ("是否中标", "是否成交", "中标状态", "成交状态", "中标情况", "成交情况", "中标结果", "成交结果"),
+    "amount": ("中标成交金额", "中标金额", "成交金额", "中标总金额", "成交总金额"),
+    "reason": ("未中标原因", "未成交原因", "落标原因"),
 }
+#: Headers of tables of reviews and scores.
+DETAIL_HEADERS = {
+    "package_code": ("采购包编号", "采购包号", "合同包号", "包号", "标包号", "标段号"),
+    "name": ("投标人名称", "投标单位名称", "供应商名称", "响应供应商", "投标人", "供应商", "响应人"),
+    "qualification": ("资格审查", "资格性审查", "资格审查结果", "资格性审查结果"),
+    "compliance": ("符合性审查", "符合性审查结果"),
+    "review": ("评审结果", "审查结果", "评审情况"),
+    "bid_amount": ("投标报价", "报价", "最终报价", "投标总价"),
+    "score": ("综合得分", "总得分", "得分", "最终得分", "评审得分"),
+    "reason": ("未通过原因", "未中标原因", "原因", "备注"),
+}
+#: What begins rows that are no items, and what names no participant.
+NO_ITEM = "^(?:合计|总计|小计|合同金额|备注|说明|注[:：]|序号|以下空白|详见)"
+NO_NAME = "^(?:合计|总计|小计|无|/|-+|—+|名称|详见.*|见附件|序号)$"
+#: Cells that say that a value isn't published.
+UNPUBLISHED = "^(?:未公布|不公布|未公示|不公示|未披露|不披露|保密)$"
+PRICES = ("unit_price", "total_price", "amount", "bid_amount")
+TABLE = ("path", "table_no")
 
 
-def aliases(spark: SparkSession, headers: dict[str, str]) -> DataFrame:
+def aliases(spark: SparkSession, headers: dict[str, tuple[str, ...]]) -> DataFrame:
     """(key, field, priority): a few dozen rows, whatever the data."""
-    rows = [(word, field, n) for field, words in headers.items() for n, word in enumerate(words.split())]
-    return spark.createDataFrame(rows, "word string, field string, priority int").select(header_key(F.col("word")).alias("key"), "field", "priority")
+    rows = [(word, field, n) for field, words in headers.items() for n, word in enumerate(words)]
+    return spark.createDataFrame(rows, "word string, field string, priority int").select(header_key(F.col("word")).alias("key"), "field", "priority").distinct()
 
 
-def columns(cells: DataFrame, headers: dict[str, str]) -> DataFrame:
-    """(path, table_no, header_row, field, col_no, header): the columns of tables whose first row that has them names at
-    least three fields; of several columns for a field, the preferred header's, then the first."""
+def rows(cells: DataFrame, headers: dict[str, tuple[str, ...]], needs: tuple[str, ...], least: int = 3) -> DataFrame:
+    """(path, table_no, row_no, cells, columns): the rows below a header. cells maps column numbers to texts; columns maps
+    each field of the nearest header above to its column and text. A header names `least` fields, one of `needs` among
+    them; of several columns for a field, it takes the preferred header's, then the first."""
     known = F.broadcast(aliases(cells.sparkSession, headers))
-    hits = cells.withColumn("key", header_key(F.col("text"))).join(known, "key")
-    one = hits.groupBy("path", "table_no", "row_no", "field").agg(F.min(F.struct("priority", "col_no", "text")).alias("c"))
-    rows = one.groupBy("path", "table_no", "row_no").agg(F.count_distinct("c.col_no").alias("n")).where("n >= 3")
-    first = rows.groupBy("path", "table_no").agg(F.min("row_no").alias("row_no"))
-    out = one.join(first, ["path", "table_no", "row_no"])
-    return out.select("path", "table_no", F.col("row_no").alias("header_row"), "field", F.col("c.col_no").alias("col_no"), F.col("c.text").alias("header"))
-
-
-def _rows(cells: DataFrame, headers: dict[str, str]) -> DataFrame:
-    named = cells.join(columns(cells, headers), ["path", "table_no", "col_no"]).where("row_no > header_row")
-    pick = [F.max(F.when(F.col("field") == f, F.nullif(F.col("text"), F.lit("")))).alias(f) for f in headers]
-    heads = [F.max(F.when(F.col("field") == f, F.col("header"))).alias(f"{f}_header") for f in headers if f in ("unit_price", "total_price", "amount")]
-    return named.groupBy("path", "table_no", "row_no").agg(*pick, *heads)
+    keyed = cells.withColumn("key", header_key(F.col("text"))).join(known, "key", "left")
+    keyed = keyed.repartition(*TABLE)  # the rows, and then the windows over tables, lie as they need to
+    entry = F.struct("field", F.struct("priority", "col_no", "text").alias("c"))
+    made = keyed.groupBy(*TABLE, "row_no").agg(
+        F.map_from_entries(F.array_distinct(F.collect_list(F.struct("col_no", "text")))).alias("cells"), F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), entry))).alias("hits")
+    )
+    # the hits are sorted by field, then preference: of each field, the first stays
+    first = F.expr("filter(hits, (h, i) -> i = 0 or hits[i - 1].field <> h.field)")
+    made = made.select(*TABLE, "row_no", "cells", F.map_from_entries(F.transform(first, lambda h: F.struct(h["field"], h["c"]))).alias("found"))
+    places = F.size(F.array_distinct(F.transform(F.map_values("found"), lambda c: c["col_no"])))
+    needed = F.arrays_overlap(F.map_keys("found"), F.array(*[F.lit(n) for n in needs]))
+    made = made.withColumn("header", F.when((places >= least) & needed, F.col("found")))
+    above = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    return made.withColumn("columns", F.last("header", ignorenulls=True).over(above)).where("header is null and columns is not null").select(*TABLE, "row_no", "cells", "columns")
+
+
+def named(found: DataFrame, headers: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The rows with a column for each field, null where blank, `<field>_header` for prices, and evidence: a map of the
+    fields with a cell to their header, column and text."""
+    cell = lambda f: F.nullif(F.col("cells")[F.col("columns")[f]["col_no"]], F.lit(""))
+    fields = [cell(f).alias(f) for f in headers]
+    heads = [F.col("columns")[f]["text"].alias(f"{f}_header") for f in headers if f in PRICES]
+    said = F.map_filter(F.transform_values("columns", lambda f, c: F.struct(c["text"].alias("header"), (c["col_no"] + 1).alias("column"), F.col("cells")[c["col_no"]].alias("text"))), lambda f, v: v["text"] != "")
+    return found.select(*TABLE, "row_no", *fields, *heads, said.alias("evidence"))
+
+
+def cell_status(c: Column, has_column: Column) -> Column:
+    """present, explicitly_not_published, blank_in_source, or unknown where the table has no such column."""
+    return F.when(~has_column, "unknown").when(compact(c).rlike(UNPUBLISHED), "explicitly_not_published").when(F.coalesce(F.trim(c), F.lit("")) == "", "blank_in_source").otherwise("present")
+
+
+def carried(column: str) -> Column:
+    """The last package code at or above a row of its table."""
+    frame = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    return codes.package_code(F.last(column, ignorenulls=True).over(frame))
 
 
 def items(cells: DataFrame) -> DataFrame:
-    """Item candidates: code, names, quantity with unit, and prices in yuan. Rows need a name or a category and one more
-    field; sums and notes are no items."""
-    rows = _rows(cells, ITEM_HEADERS)
+    """Item candidates: code, names, quantity with unit, prices in yuan, and the status of each field. Rows need a name or a
+    category and one more field; sums and notes are no items."""
+    found = rows(cells, ITEM_HEADERS, ("product_name", "category"))
+    found = named(found, ITEM_HEADERS)
     label = F.coalesce("product_name", "category")
-    rows = rows.where(label.isNotNull() & ~label.rlike("^(?:合计|总计|小计|备注|说明|注[:：])"))
-    rows = rows.where(" + ".join(f"int({f} is not null)" for f in ITEM_HEADERS if f != "package_code") + " >= 2")
+    found = found.where(label.isNotNull() & ~label.rlike(NO_ITEM))
+    found = found.where(" + ".join(f"int({f} is not null)" for f in ITEM_HEADERS if f != "package_code") + " >= 2")
     number, unit = money.quantity(F.col("quantity"))
-    frame = Window.partitionBy("path", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        "path", "table_no", "row_no", codes.package_code(F.last("package_code", ignorenulls=True).over(frame)).alias("package_code"), "product_name", "category", "brand", "model",
-        number.alias("quantity"), unit.alias("quantity_unit"), money.amount(F.col("unit_price"), F.col("unit_price_header")).alias("unit_price"), money.amount(F.col("total_price"), F.col("total_price_header")).alias("total_price"),
+    return found.select(
+        *TABLE, "row_no", carried("package_code").alias("package_code"), "product_name", "category", "brand", "model",
+        number.alias("quantity"), unit.alias("quantity_unit"), money.amount(F.col("unit_price"), F.col("unit_price_header")).alias("unit_price"), money.amount(F.col("total_price"), F.col("total_price_header")).alias("total_price"), "evidence",
     )
 
 
+def field_states(cells: DataFrame) -> DataFrame:
+    """(path, table_no, row_no, field, status): what each item row says of each field, see cell_status()."""
+    found = rows(cells, ITEM_HEADERS, ("product_name", "category"))
+    each = [F.struct(F.lit(f).alias("field"), cell_status(F.col("cells")[F.col("columns")[f]["col_no"]], F.map_contains_key("columns", f)).alias("status")) for f in ITEM_HEADERS]
+    return found.select(*TABLE, "row_no", F.explode(F.array(*each)).alias("s")).select(*TABLE, "row_no", "s.*")
+
+
+def outcome(result: Column, reason: Column, amount: Column) -> Column:
+    """What a result cell says, else nonwinner for a stated reason of failing, else winner for a stated amount, else unknown;
+    ranks and scores decide nothing."""
+    said = compact(result)
+    return (
+        F.when(said.rlike("^(?:否|未|不|落标)"), "nonwinner")
+        .when(said.rlike("^(?:是|中标|成交|已中标|已成交)"), "winner")
+        .when(F.coalesce(F.trim(reason), F.lit("")) != "", "nonwinner")
+        .when(amount.isNotNull(), "winner")
+        .otherwise("unknown")
+    )
+
+
 def participants(cells: DataFrame) -> DataFrame:
-    """Participant candidates: code, name, outcome and amount. The outcome is what a result cell says, else winner for a
-    stated amount, else unknown; ranks and scores decide nothing."""
-    rows = _rows(cells, PARTICIPANT_HEADERS).where("name is not null and not name rlike '^(?:合计|无|/|-+)$'")
-    said = F.regexp_replace("result", "(?U)\\s+", "")
+    """Participant candidates: code, name, outcome and, for winners, amount."""
+    found = named(rows(cells, PARTICIPANT_HEADERS, ("name",)), PARTICIPANT_HEADERS).where(f"name is not null and not name rlike '{NO_NAME}'")
     price = money.amount(F.col("amount"), F.col("amount_header"))
-    outcome = F.when(said.rlike("^(?:否|未|不)"), "nonwinner").when(said.rlike("^(?:是|中标|成交)"), "winner").when(price.isNotNull(), "winner").otherwise("unknown")
-    return rows.select("path", "table_no", "row_no", codes.package_code(F.col("package_code")).alias("package_code"), "name", outcome.alias("outcome"), F.when(outcome == "winner", price).alias("amount"))
+    how = outcome(F.col("result"), F.col("reason"), price)
+    return found.select(*TABLE, "row_no", codes.package_code(F.col("package_code")).alias("package_code"), "name", how.alias("outcome"), F.when(how == "winner", price).alias("amount"))
+
+
+def winners(cells: DataFrame) -> DataFrame:
+    """Winners of key/value tables, whose rows are a label and a value: (path, table_no, name, amount). The name is the first
+    value beside a supplier's label, the amount the first beside an amount's."""
+    known = F.broadcast(aliases(cells.sparkSession, {f: PARTICIPANT_HEADERS[f] for f in ("name", "amount")}))
+    widths = Window.partitionBy(*TABLE, "row_no")
+    pairs = cells.withColumn("n", F.count("*").over(widths)).where("n = 2").groupBy(*TABLE, "row_no").agg(F.min_by("text", "col_no").alias("label"), F.max_by("text", "col_no").alias("value"))
+    said = pairs.withColumn("key", header_key(F.col("label"))).join(known, "key").where("value <> ''")
+    one = said.groupBy(*TABLE).agg(*[F.min(F.when(F.col("field") == f, F.struct("row_no", "value", "label"))).alias(f) for f in ("name", "amount")])
+    return one.where("name is not null").select(*TABLE, F.col("name.value").alias("name"), money.amount(F.col("amount.value"), F.col("amount.label")).alias("amount"))
+
+
+def bidder_details(cells: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Records of review and score tables: code, name, statuses, amount in yuan, score, reason, evidence.
+
+    contexts (path, table_no, context) are the texts around tables, which may name the package and the unit. A failed
+    review makes the whole review failed and gives its cell as the reason where none is stated; passed qualification
+    and compliance make it passed. An amount without a unit in cell, header or context is null."""
+    found = named(rows(cells, DETAIL_HEADERS, ("name",), 2), DETAIL_HEADERS).where(f"name is not null and not name rlike '{NO_NAME}'")
+    if contexts is not None:
+        found = found.join(contexts.select(*TABLE, "context"), list(TABLE), "left")
+    else:
+        found = found.withColumn("context", F.lit(None).cast("string"))
+    near = codes.nearby(F.col("context"))
+    own = carried("package_code")
+    unit = F.coalesce(money.unit(F.col("bid_amount")), money.table_unit(F.col("bid_amount_header"), F.col("context")))
+    amount = F.when(unit.isNotNull(), money.amount(F.col("bid_amount"), unit))
+    kinds = ("qualification", "compliance", "review")
+    status = {k: states.review_status(F.col(k)) for k in kinds}
+    failed = F.array_compact(F.array(*[F.when(status[k] == "未通过", F.col(k)) for k in kinds]))
+    blamed = F.coalesce(compact(half_width(F.col("reason"))).rlike("不通过|未通过|不合格|不符合|无效") & F.col("reason").rlike("资格|符合性|审查|评审"), F.lit(False))
+    review = F.when((F.size(failed) > 0) | blamed, "未通过").when((status["qualification"] == "通过") & (status["compliance"] == "通过"), "通过").otherwise(status["review"])
+    reason = F.when(F.size(failed) > 0, F.array_join(F.array_distinct(F.array_compact(F.concat(F.array("reason"), failed))), "；")).otherwise(F.col("reason"))
+    return found.select(
+        *TABLE, "row_no", F.when(own != codes.DEFAULT, own).otherwise(near).alias("package_code"), "name", status["qualification"].alias("qualification"), status["compliance"].alias("compliance"),
+        review.alias("review"), amount.alias("bid_amount"), money.strict(F.col("score")).alias("score"), reason.alias("reason"), "evidence",
+    )
 
 
 def attach(notices: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ def _notices(m):
         F.lit("<table><tr><th>包号</th><th>供应商名称</th><th>是否中标</th><th>中标金额（万元）</th></tr><tr><td>1</td><td>A "), F.col("p_partkey"), F.lit("</td><td>是</td><td>1.5</td></tr>"),
         F.lit("<tr><td>1</td><td>B</td><td>否</td><td></td></tr></table></body></html>"),
     )
-    return m.table("part").select(F.col("p_partkey").cast("string").alias("path"), html.alias("html"))
+    # parsing is dear, and the table may be one file of one split
+    parts = m.table("part").repartition(m.spark.sparkContext.defaultParallelism)
+    return parts.select(F.col("p_partkey").cast("string").alias("path"), html.alias("html"))
 
 
 @query(
@@ -60,12 +62,12 @@ def metadata(m):
 
 @query(
     "j24_attachments",
-    """WITH n AS (SELECT o_orderkey % 500 AS s, count(*) AS n, min(o_orderkey) AS k FROM orders WHERE o_orderkey < 700 GROUP BY 1)
+    """WITH n AS (SELECT o_custkey AS s, count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY 1)
 SELECT concat('files/notice ', s_suppkey, '.zip') AS path, CASE WHEN n.n = 1 THEN concat('in/', k, '/Notice  ', s_suppkey, '.html') END AS notice FROM supplier LEFT JOIN n ON n.s = s_suppkey""",
 )
 def attachments(m):
-    """Notices 0 to 699 share the stems of 0 to 199 twice."""
-    notices = m.table("orders").where("o_orderkey < 700").select(F.expr("concat('in/', o_orderkey, '/Notice  ', o_orderkey % 500, '.html')").alias("path"))
+    """A notice per order, named by its customer; a file per supplier finds that of the customer with its number, if only one."""
+    notices = m.table("orders").select(F.expr("concat('in/', o_orderkey, '/Notice  ', o_custkey, '.html')").alias("path"))
     files = m.table("supplier").select(F.expr("concat('files/notice ', s_suppkey, '.zip')").alias("path"))
     return intake.attach(notices, files)
 
