@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lotmark.operators import records
 from lotmark.plans.base import query
 from lotmark.streaming import jobs
 
@@ -48,8 +49,65 @@ def sliding(m):
     "x03_sessions",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s""",
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)""",
 )
 def sessions(m):
-    e = m.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_micros("w.start").alias("start_us"), "n")
+    """The sessions that are over by the watermark, a day before the last event."""
+    out = jobs.sessions(_events(m), jobs.shared_folder(m.spark), "ts", "30 minutes", "1 day", "user_id", [F.count("*").alias("n")])
+    return out.select("user_id", F.unix_micros("session.start").alias("start_us"), "n")
+
+
+@query(
+    "st04_checked",
+    "SELECT CASE WHEN value >= 0 AND event_type <> 'error' THEN 'accepted' WHEN event_type = 'error' THEN 'retry' ELSE 'dead' END AS outcome, count(*) AS n FROM events GROUP BY 1",
+)
+def checked(m):
+    folder = jobs.shared_folder(m.spark)
+    problem = F.when(F.col("event_type") == "error", "unavailable").when(F.col("value") < 0, "invalid")
+    jobs.ingest_checked(_events(m).select("event_id", "event_type", "value"), folder, problem, F.col("problem") == "unavailable")
+    return jobs.batches(m.spark, folder, "checked").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("st06_suppressed", "SELECT DISTINCT user_id, event_type FROM events")
+def suppressed(m):
+    return jobs.ingest_once(_events(m).select("user_id", "event_type"), jobs.shared_folder(m.spark), "user_id", "event_type")
+
+
+@query(
+    "st03_job_states",
+    """WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id AS job_id, CASE user_id % 5 WHEN 0 THEN 'completed' WHEN 1 THEN 'paused' WHEN 2 THEN 'stopped' WHEN 3 THEN 'running' ELSE 'created' END AS state,
+  CASE user_id % 5 WHEN 2 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS n_refused, CASE user_id % 5 WHEN 4 THEN 0 WHEN 3 THEN 2 WHEN 0 THEN 2 ELSE 1 END AS attempts FROM e""",
+)
+def job_states(m):
+    """A log for each user: five courses, two of them with an action that their state refuses."""
+    courses = ("start pause resume finish", "start pause", "start fail stop resume", "start lose resume", "finish")
+    log = F.create_map(*[x for k, c in enumerate(courses) for x in (F.lit(k), F.split(F.lit(c), " "))])
+    jobs_ = m.table("events").select(F.col("user_id").alias("job_id")).distinct()
+    events = jobs_.select("job_id", F.posexplode(log[(F.col("job_id") % 5).cast("int")]).alias("seq", "action"))
+    return jobs.job_states(events)
+
+
+@query(
+    "a35_job_snapshot",
+    """WITH p AS (SELECT user_id, event_id, event_type, event_id % 4 AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events)
+SELECT event_type, count(*) AS total, count(*) FILTER (k = 0) AS completed, count(*) FILTER (k = 1) AS failed, count(*) FILTER (k = 2) AS running, count(*) FILTER (k = 3) AS pending, max(attempt) AS most_attempts FROM p GROUP BY event_type""",
+)
+def job_snapshot(m):
+    """Attempts are numbered within a user, as within a notice."""
+    e = m.table("events")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("completed", "failed", "running", "pending")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return jobs.snapshot(records.attempts(e.withColumn("status", status), ["user_id"], "event_id"), ["event_type"])
+
+
+@query(
+    "st07_stale_sources",
+    """WITH b AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN concat(coalesce(text, ''), '!') ELSE coalesce(text, '') END) AS h FROM documents WHERE doc_id % 5 <> 0)
+SELECT doc_id, CASE WHEN a.h IS NULL THEN 'gone' WHEN b.h IS NULL THEN 'new' ELSE 'changed' END AS state FROM b FULL JOIN a USING (doc_id) WHERE a.h IS DISTINCT FROM b.h""",
+)
+def stale_sources(m):
+    """Two listings of all documents: some are only in one of them, and every third has other content."""
+    text = F.coalesce("text", F.lit(""))
+    before = m.table("documents").where("doc_id % 7 <> 0").select("doc_id", F.sha2(text, 256).alias("sha256"))
+    after = m.table("documents").where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit("!"))).otherwise(text), 256).alias("sha256"))
+    return jobs.stale(before, after, "doc_id")
