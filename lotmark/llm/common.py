@@ -89,12 +89,12 @@ def running(df: DataFrame, within: list[str], order: list[str | Column], sums: t
     return out.drop("_range", "_n0", *[f"_{c}0" for c in sums])
 
 
-def chunks(batch: pa.RecordBatch | pa.Table, column: str = "text") -> Iterator[pa.RecordBatch | pa.Table]:
-    """Slices of the batch with about CHUNK_BYTES of text each, one row at least."""
+def chunks(batch: pa.RecordBatch | pa.Table, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Slices of the batch with about `size` bytes of text each, one row at least."""
     lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     if not len(lengths):
         return
-    part = (np.cumsum(lengths) - lengths) // CHUNK_BYTES
+    part = (np.cumsum(lengths) - lengths) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
     for start, stop in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(start, stop - start)

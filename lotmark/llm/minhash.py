@@ -42,7 +42,7 @@ FOUND = 0.998
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 400_000
 #: Words whose hashes a task remembers.
-CACHE = 1_000_000
+CACHE = 200_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 

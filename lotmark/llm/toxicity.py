@@ -35,8 +35,8 @@ LEAST_ODDS, TELLING_ODDS = 1.0, 2.0
 GRADES = 4
 #: Lengths of the beginnings of words that are features.
 PREFIXES = (4, 5, 6, 7)
-#: Words that a task remembers.
-CACHE = 500_000
+#: Words that a task remembers, and bytes of text whose words it counts at a time.
+CACHE, CHUNK_BYTES = 100_000, 1_000_000
 #: Penalties of the two passes of the fit, times the root of the sample's size and times its size, as chance
 #: agreement with the labels shrinks with it; and the share of the largest weight that makes a feature stay.
 SPARSITY, RIDGE, SUPPORT = 0.03, 0.06, 0.02
@@ -67,7 +67,7 @@ class Known(dict):
         self.fixed, self.names = names is not None, list(names or [])
         self.number = {f: i for i, f in enumerate(self.names)}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > CACHE:
             self.clear()
         found = features(word)
@@ -76,7 +76,7 @@ class Known(dict):
                 if f not in self.number:
                     self.number[f] = len(self.names)
                     self.names.append(f)
-        self[word] = out = [self.number[f] for f in found if f in self.number]
+        self[word] = out = tuple(self.number[f] for f in found if f in self.number)
         return out
 
 
@@ -86,7 +86,7 @@ def counts(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray, np.nd
     parts = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), BETWEEN)
     coded = parts.flatten().dictionary_encode()
     row, code = np.asarray(pc.list_parent_indices(parts)).astype(np.int64), np.asarray(coded.indices).astype(np.int64)
-    found = [known[w] if w else [] for w in coded.dictionary.to_pylist()]
+    found = [known[w] if w else () for w in coded.dictionary.to_pylist()]
     many = np.array([len(f) for f in found], dtype=np.int64)
     flat = np.array([i for f in found for i in f], dtype=np.int64)
     if not len(flat):
@@ -166,10 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, size=CHUNK_BYTES):
                 row, feature, n = counts(part.column("text"), known)
                 ids, toxic = (part.column(c).take(pa.array(row)) for c in ("doc_id", "toxic"))
-                yield pa.RecordBatch.from_arrays([ids, toxic, pa.array([known.names[f] for f in feature], pa.string()), pa.array(n)], names=["doc_id", "toxic", "word", "n"])
+                each, at = np.unique(feature, return_inverse=True)
+                words = pa.array([known.names[f] for f in each], pa.string()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([ids, toxic, words, pa.array(n)], names=["doc_id", "toxic", "word", "n"])
 
     seen = common.checkpoint(texts.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, word string, n long"))
     totals = seen.select("doc_id", "toxic").distinct().toPandas()
@@ -220,7 +222,7 @@ def score(docs: DataFrame, model: Model, name: str = "severity") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = Known(sorted(weights)), np.array([weights[f] for f in sorted(weights)])
         for batch in batches:
-            for part in common.chunks(batch):
+            for part in common.chunks(batch, size=CHUNK_BYTES):
                 row, feature, n = counts(part.column(texts), known)
                 z = np.bincount(row, weights=w[feature] * value(n), minlength=part.num_rows) if len(row) else np.zeros(part.num_rows)
                 severity = _sigmoid(z[:, None] - thresholds[None, :]).sum(axis=1)
