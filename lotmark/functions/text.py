@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value evaluated once however often it is used: a lambda's variable stands for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, SPACES, " "))

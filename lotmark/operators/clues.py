@@ -95,3 +95,63 @@ def won_without_loss(bids: DataFrame) -> DataFrame:
     """Suppliers and buyers where the supplier won and never lost for certain: an anti-join."""
     lost = selected(bids, False).select("buyer_id", "organization_id").distinct()
     return awards(bids).select("buyer_id", "organization_id").distinct().join(lost, ["buyer_id", "organization_id"], "left_anti")
+
+
+#: What each kind counts, for whoever reads a clue.
+DEFINITIONS = {
+    "common_bidding": "pairs that bid for the same package; projects and packages count once each",
+    "repeat_cooperation": "pairs that did so in at least as many projects as asked for; projects count once",
+    "supplier_distribution": "a supplier's participations and awards; projects and packages count once each",
+    "buyer_network": "a supplier's participations and awards at one buyer; projects and packages count once each",
+}
+#: Words of warnings that concern scans, and attachments that could not be read.
+SCANS = "ocr|文字识别|扫描"
+UNREAD = "解析|失败|不支持|不可用|无法"
+
+
+def scopes(include_winners: bool = True) -> list[tuple]:
+    """(kind, definition, outcomes) of all kinds: which participations were counted."""
+    outcomes = "winner,nonwinner,unknown" if include_winners else "nonwinner"
+    return [(kind, DEFINITIONS[kind], outcomes) for kind in KINDS]
+
+
+def members(bids: DataFrame, include_winners: bool = True) -> DataFrame:
+    """(kind, clue_id, role, organization_id, project_id, package_id, created_at, outcome): the participations behind the clues.
+    A pair's clue has those of both in their common packages, a supplier's all of its own, an edge those at its buyer."""
+    b = selected(bids, include_winners)
+    cols = ["project_id", "package_id", "buyer_id", "created_at"]
+    both = pairs(bids, include_winners).select(*cols, "left_id", "right_id", F.concat(F.lit("common-bidding:"), "left_id", F.lit("-"), "right_id").alias("clue_id"))
+    sides = both.select("clue_id", *cols, F.explode(F.array("left_id", "right_id")).alias("organization_id")).withColumn("kind", F.lit("common_bidding"))
+    own = b.select(F.concat(F.lit("supplier-distribution:"), "organization_id").alias("clue_id"), *cols, "organization_id", F.lit("supplier_distribution").alias("kind"))
+    edge = b.where("buyer_id is not null").select(F.concat(F.lit("buyer-network:"), "buyer_id", F.lit("-"), "organization_id").alias("clue_id"), *cols, "organization_id", F.lit("buyer_network").alias("kind"))
+    return sides.unionByName(own).unionByName(edge)
+
+
+def evidence(found: DataFrame) -> DataFrame:
+    """Per clue of members(): its entities, first and last date, how many projects and packages, and the first project of each
+    end, by date and id. Counted in two steps, by project, then over projects."""
+    per = found.groupBy("kind", "clue_id", "project_id").agg(F.min("created_at").alias("at"), F.count_distinct("package_id").alias("packages"), F.collect_set("organization_id").alias("entities"))
+    at = F.struct("at", "project_id")
+    out = per.groupBy("kind", "clue_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"), F.count("*").alias("projects"), F.sum("packages").alias("packages"), F.min(at).alias("a"), F.max(at).alias("b"))
+    return out.select("kind", "clue_id", "entities", "projects", "packages", F.col("a.at").alias("first_at"), F.col("a.project_id").alias("first_project"), F.col("b.at").alias("last_at"), F.col("b.project_id").alias("last_project"))
+
+
+def warning_categories(found: DataFrame, notices: DataFrame, records: DataFrame) -> DataFrame:
+    """(kind, clue_id, ocr, attachment, insufficient_evidence, default_package) of members(): whether a notice of the clue warns of
+    scans or of attachments that weren't read, whether a record lacks file, place or quote, or a package its code.
+
+    notices: project_id, warnings; records: package_id, organization_id, package_code, source_file, source_location,
+    source_evidence."""
+    said = F.concat_ws("\n", F.transform("warnings", lambda w: F.lower(w)))
+    flags = notices.select("project_id", said.rlike(SCANS).alias("ocr"), (F.exists("warnings", lambda w: w.contains("附件") & w.rlike(UNREAD)) | said.contains("attachment")).alias("attachment"))
+    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+    marks = records.select("package_id", "organization_id", (blank("source_file") | blank("source_location") | blank("source_evidence")).alias("bare"), (F.lower(F.trim(F.coalesce("package_code", F.lit("default")))) == "default").alias("unnamed"))
+    rows = found.join(flags, "project_id", "left").join(marks, ["package_id", "organization_id"], "left")
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return rows.groupBy("kind", "clue_id").agg(any_("ocr").alias("ocr"), any_("attachment").alias("attachment"), any_("bare").alias("insufficient_evidence"), any_("unnamed").alias("default_package"))
+
+
+def evidence_links(records: DataFrame) -> DataFrame:
+    """records (record_type, record_id, ...), each once, with link_status: available if there is a quote, else missing."""
+    status = F.when(F.coalesce(F.trim("source_evidence"), F.lit("")) != "", "available").otherwise("missing")
+    return records.dropDuplicates(["record_type", "record_id"]).withColumn("link_status", status)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lotmark.functions.states import warning_category
 from lotmark.operators.linking import checkpoint, components
 
 
@@ -152,6 +153,12 @@ def latencies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def distribution(rows: DataFrame, keys: list[str], warning: str) -> DataFrame:
+    """keys, category, n, share: how the warnings' categories are distributed."""
+    per = rows.groupBy(*keys, warning_category(F.col(warning)).alias("category")).agg(F.count("*").alias("n"))
+    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 6))
+
+
 def recommended(scores: DataFrame, key: str, option: str, *order: Column) -> DataFrame:
     """The best option of each key by the scores in order; ties go to the smaller option."""
     w = Window.partitionBy(key).orderBy(*order, option)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lotmark.operators.reviews import page
 from lotmark.sources.tables import Model
 
 RELATIONS = ("PURCHASES", "HAS_PACKAGE", "BID_IN", "AWARDED_TO", "HAS_ITEM")
@@ -56,15 +58,21 @@ def edges(model: Model, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
     return out
 
 
+def checked(limit: int, most: int) -> int:
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}")
+    return limit
+
+
 def neighbourhood(model: Model, anchor: str, relations: tuple[str, ...] = RELATIONS, limit: int = EDGES) -> DataFrame:
     """The edges at a node, newest projects first, up to the limit."""
     at = edges(model, relations).where((F.col("source") == anchor) | (F.col("target") == anchor))
-    return at.orderBy(F.desc("project_id"), "relation", "source", "target").limit(min(limit, EDGES))
+    return at.orderBy(F.desc("project_id"), "relation", "source", "target").limit(checked(limit, EDGES))
 
 
 def preview(model: Model, projects: int = PREVIEW) -> DataFrame:
     """The edges of the newest projects: a bounded list of ids, then the rows that belong to it."""
-    newest = model.projects.select("project_id").orderBy(F.desc("project_id")).limit(min(projects, PREVIEW))
+    newest = model.projects.select("project_id").orderBy(F.desc("project_id")).limit(checked(projects, PREVIEW))
     return edges(model).join(newest, "project_id", "left_semi")
 
 
@@ -83,12 +91,62 @@ def roles(model: Model) -> DataFrame:
     return out.select("id", "name", F.coalesce("is_buyer", F.lit(False)).alias("is_buyer"), F.coalesce("is_supplier", F.lit(False)).alias("is_supplier"))
 
 
-def search(model: Model, query: str, offset: int = 0, limit: int = PAGE) -> DataFrame:
-    """Organizations with a role and projects whose name holds the query, a page at a time."""
+def found(model: Model, query: str) -> DataFrame:
+    """Organizations with a role and projects whose name holds the query: kind, id, name, is_buyer, is_supplier. Names are
+    filtered first; only what is left looks for its roles."""
     has = lambda c: F.contains(F.lower(c), F.lower(F.lit(query)))
-    people = roles(model).where(has(F.col("name"))).where("is_buyer or is_supplier")
+    people = model.organizations.where(has(F.col("name")))
+    bought = model.projects.select(F.col("buyer_id").alias("id")).join(people.select("id"), "id", "left_semi").distinct().withColumn("is_buyer", F.lit(True))
+    sold = model.table("lineitem").select((2 * F.col("l_suppkey") + 1).alias("id")).join(people.select("id"), "id", "left_semi").distinct().withColumn("is_supplier", F.lit(True))
+    people = people.join(bought, "id", "left").join(sold, "id", "left").fillna(False, ["is_buyer", "is_supplier"]).where("is_buyer or is_supplier")
     people = people.select(F.lit("organization").alias("kind"), "id", "name", "is_buyer", "is_supplier")
     name = F.concat(F.lit("project "), "project_id")
     projects = model.projects.select(F.lit("project").alias("kind"), F.col("project_id").alias("id"), name.alias("name"), F.col("buyer_id").isNotNull().alias("is_buyer"), F.lit(False).alias("is_supplier"))
-    found = people.unionByName(projects.where(has(F.col("name"))))
-    return found.orderBy(F.lower("name"), "kind", "id").offset(offset).limit(min(limit, PAGE))
+    return people.unionByName(projects.where(has(F.col("name"))))
+
+
+def search(model: Model, query: str, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """A page of found(), in order of name without case, kind and id."""
+    return found(model, query).orderBy(F.lower("name"), "kind", "id").offset(offset).limit(checked(limit, PAGE))
+
+
+def search_page(model: Model, query: str, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """The same with `total` of all that is found, and `next_offset`, null on the last page."""
+    return page(found(model, query), [F.lower("name"), F.col("kind"), F.col("id")], offset, checked(limit, PAGE))
+
+
+def probed(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first `limit` rows and whether there are more: one row more is asked for, and no count."""
+    probe = rows.orderBy(*order).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(*order))
+    return probe.withColumn("_n", place).withColumn("truncated", F.count("*").over(Window.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
+
+
+def subgraph(model: Model, some: DataFrame, node_limit: int = NODES) -> DataFrame:
+    """(uid, label, name) of the nodes of some edges, a page of them in order, up to the limit by their first appearance: ids
+    first, rows of their nodes after."""
+    placed = some.withColumn("place", F.row_number().over(Window.orderBy(F.desc("project_id"), "relation", "source", "target")))
+    ends = placed.select("place", F.posexplode(F.array("source", "target")).alias("side", "uid"))
+    first = ends.groupBy("uid").agg(F.min(F.struct("place", "side")).alias("at")).orderBy("at").limit(checked(node_limit, NODES))
+    return nodes(model).join(F.broadcast(first.select("uid")), "uid", "left_semi")
+
+
+def totals(model: Model) -> DataFrame:
+    """How many nodes of each label, and edges of each relation, there are: entity, n."""
+    labels = nodes(model).groupBy(F.col("label").alias("entity")).agg(F.count("*").alias("n"))
+    return labels.unionByName(edges(model).groupBy(F.col("relation").alias("entity")).agg(F.count("*").alias("n")))
+
+
+def export(model: Model, folder: str) -> None:
+    """All nodes and edges as tables of the folder, edges by relation; both replace what was there."""
+    nodes(model).write.mode("overwrite").parquet(f"{folder}/nodes")
+    edges(model).write.mode("overwrite").partitionBy("relation").parquet(f"{folder}/edges")
+
+
+def paths(some: DataFrame, first: str, second: str, keep: str = "source") -> DataFrame:
+    """Two-step patterns: (start, middle, end, project_id) of an edge `first` and an edge `second` that meet at the end of the
+    first, which is the second's source or, with keep="target", its target."""
+    a = some.where(F.col("relation") == first).select(F.col("source").alias("start"), F.col("target").alias("middle"), "project_id")
+    b = some.where(F.col("relation") == second)
+    b = b.select(F.col("source").alias("middle"), F.col("target").alias("end")) if keep == "source" else b.select(F.col("target").alias("middle"), F.col("source").alias("end"))
+    return a.join(b, "middle").select("start", "middle", "end", "project_id")

@@ -50,6 +50,16 @@ def content_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *cells), 256)
 
 
+def json_list(c: Column) -> Column:
+    """A JSON list of texts; empty for anything else."""
+    return F.coalesce(F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")), F.array().cast("array<string>"))
+
+
+def json_object(c: Column) -> Column:
+    """A JSON object of texts; empty for anything else."""
+    return F.coalesce(F.when(F.trim(c).startswith("{"), F.from_json(c, "map<string,string>")), F.create_map().cast("map<string,string>"))
+
+
 def latest(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last event of each key, as one aggregate over structs: partial results are combined before the shuffle."""
     rest = [c for c in events.columns if c not in {*keys, *order}]

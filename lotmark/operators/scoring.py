@@ -141,7 +141,8 @@ def faults(rows: DataFrame, scope: str, ident: str, required: list[str], numbers
     values, negative numbers, and items without any value. No row means that it is sound."""
     twice = F.count("*").over(Window.partitionBy(scope, ident)) > 1
     blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
-    cells = [F.when(twice, F.lit("repeated id"))] + [F.when(blank(c), F.lit(f"blank {c}")) for c in required] + [F.when(F.col(c) < 0, F.lit(f"negative {c}")) for c in numbers]
+    rows = rows.withColumn("_twice", twice)
+    cells = [F.when(F.col("_twice"), F.lit("repeated id"))] + [F.when(blank(c), F.lit(f"blank {c}")) for c in required] + [F.when(F.col(c) < 0, F.lit(f"negative {c}")) for c in numbers]
     return rows.select(scope, ident, F.explode(F.array_compact(F.array(*cells))).alias("fault")).distinct()
 
 
