@@ -50,8 +50,9 @@ REPORT = 0.5
 
 @functools.cache
 def dictionary(path: str | None = None) -> str:
-    """The words of a vocabulary file, as `ab:abbey able,ba:bad`: by their first two letters. The file is that of a
-    word-level BPE whose tokens end in `</w>` where words end; without a path, that of the public tokenizers."""
+    """The words of a vocabulary file in 26 * 26 buckets by their first two letters, `aa,ab ... ,zz`: ` aback abbey ,...`.
+    The file is that of a word-level BPE whose tokens end in `</w>` where words end; without a path, that of the
+    public tokenizers."""
     if path is None:
         import public_tokenizers
 
@@ -62,7 +63,8 @@ def dictionary(path: str | None = None) -> str:
     for word in sorted(vocabulary):
         if re.fullmatch(f"[a-z]{{{SHORTEST},{LONGEST}}}</w>", word):
             by.setdefault(word[:2], []).append(word[:-4])
-    return ",".join(f"{k}: {' '.join(words)} " for k, words in by.items())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return ",".join(f" {' '.join(by.get(a + b, []))} " for a in letters for b in letters)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -99,9 +101,9 @@ def features(found: DataFrame, words: str | None = None) -> DataFrame:
     share = f"(length({c}) - length(replace({c}, x, ''))) / {n}"
     at = f"locate({c}, word)"
     # letters between other characters and changes of case are pieces; words that they begin and end with cover them
-    known = f"str_to_map('{words or dictionary()}', ',', ':')"
+    known = f"split('{words or dictionary()}', ',')"
     pieces = f"filter(split(lower(regexp_replace({c}, '([a-z])([A-Z])', '$1 $2')), '[^a-z]+'), p -> length(p) >= {SHORTEST})"
-    part = lambda cut: f"array_max(transform(sequence({SHORTEST}, least(length(p), {LONGEST})), k -> if(contains(element_at({known}, substr({cut}, 1, 2)), concat(' ', {cut}, ' ')), k, 0)))"
+    part = lambda cut: f"array_max(transform(sequence({SHORTEST}, least(length(p), {LONGEST})), k -> if(contains(element_at({known}, ascii({cut}) * 26 + ascii(substr({cut}, 2, 1)) - {97 * 27 - 1}), concat(' ', {cut}, ' ')), k, 0)))"
     covered = f"least(length(p), coalesce({part('left(p, k)')}, 0) + coalesce({part('right(p, k)')}, 0))"
     exprs = {
         "length": n,
