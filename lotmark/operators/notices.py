@@ -78,8 +78,10 @@ def rejected(batch: DataFrame) -> DataFrame:
     """(source_key, problem): what a strict import refuses: unknown outcomes, blank names, negative amounts, package codes that
     come twice, and sources without a hash."""
     lots = batch.select("source_key", F.explode("packages").alias("p"))
-    code = F.coalesce(F.nullif(F.trim("p.package_code"), F.lit("")), F.lit(DEFAULT))
-    twice = lots.groupBy("source_key", code.alias("code")).count().where("count > 1").select("source_key", F.concat(F.lit("repeated package "), "code").alias("problem"))
+    codes = F.transform("packages", lambda p: F.coalesce(F.nullif(F.trim(p["package_code"]), F.lit("")), F.lit(DEFAULT)))
+    coded = batch.select("source_key", codes.alias("codes"))
+    repeated = F.filter(F.array_distinct("codes"), lambda c: F.size(F.filter("codes", lambda d: d == c)) > 1)
+    twice = coded.select("source_key", F.explode(repeated).alias("code")).select("source_key", F.concat(F.lit("repeated package "), "code").alias("problem"))
     people = lots.select("source_key", F.explode("p.bidders").alias("b"))
     outcome = people.where(~F.coalesce(F.col("b.outcome").isin(*OUTCOMES), F.lit(False))).select("source_key", F.lit("unknown outcome").alias("problem"))
     blank = people.where(F.coalesce(F.trim("b.name"), F.lit("")) == "").select("source_key", F.lit("blank name").alias("problem"))
