@@ -67,6 +67,12 @@ def visible(html: Column) -> Column:
     return collapse(out)
 
 
+def structure(html: Column) -> Column:
+    """A SHA-256 of a page's tags in order, without comments, scripts, styles and attributes: equal for pages of one make."""
+    bare = F.regexp_replace(html, "(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>", "")
+    return F.sha2(F.lower(F.array_join(F.regexp_extract_all(bare, F.lit("<(/?[A-Za-z][A-Za-z0-9]*)"), F.lit(1)), " ")), 256)
+
+
 def links(html: Column) -> Column:
     """The targets of a page's links in order, each once, without fragments."""
     found = F.regexp_extract_all(html, F.lit("(?i)<a\\s[^>]*?href=\"([^\"]*)\""), F.lit(1))

@@ -182,6 +182,17 @@ def bidder_details(cells: DataFrame, contexts: DataFrame | None = None) -> DataF
     )
 
 
+def package_aliases(docs: DataFrame) -> DataFrame:
+    """(path, package_code, name): names that documents (path, text) give to their packages: lines that begin with a package and,
+    after a colon, a name. A package with several names, or a name of several packages, has no alias."""
+    lines = docs.select("path", F.explode(F.split(half_width(F.col("text")), "\n")).alias("line"))
+    said = lines.select("path", F.trim(F.regexp_extract("line", "^([^:]{1,12}?包[^:]{0,8}):", 1)).alias("label"), F.trim(F.regexp_extract("line", ":\\s*(.+)$", 1)).alias("name")).where("label <> '' and name <> ''")
+    label = F.trim(F.regexp_replace("label", f"(?:{'|'.join(codes.NAMES)})$", ""))
+    named = said.select("path", codes.package_code(label).alias("package_code"), "name").where(F.col("package_code") != codes.DEFAULT).distinct()
+    once = lambda df, key: df.withColumn("_n", F.count("*").over(Window.partitionBy("path", key))).where("_n = 1").drop("_n")
+    return once(once(named, "package_code"), "name")
+
+
 def attach(notices: DataFrame, attachments: DataFrame) -> DataFrame:
     """(path, notice): one row per row of attachments, with the only notice that shares a stem of its path with it; null
     where none or several notices do. Stems that all notices have count for nothing; a single notice gets everything.
@@ -191,12 +202,13 @@ def attach(notices: DataFrame, attachments: DataFrame) -> DataFrame:
     total = named.agg(F.sum("copies").alias("total"), F.min("notice").alias("only"))
     keyed = named.select("notice", "copies", F.explode(stems(F.col("notice"))).alias("stem"))
     per = keyed.groupBy("stem").agg(F.sum("copies").alias("n"), F.min("notice").alias("notice"))
-    per = per.join(F.broadcast(total.select("total")), F.col("n") < F.col("total")).select("stem", "n", "notice")
+    per = per.where(F.col("n") < total.select("total").scalar())
     exploded = attachments.select("path").distinct().select("path", F.explode(stems(F.col("path"))).alias("stem"))
     met = exploded.join(per, "stem").groupBy("path").agg(F.max("n").alias("n"), F.min("notice").alias("a"), F.max("notice").alias("b"))
     met = met.where("n = 1 and a = b").select("path", F.col("a").alias("match"))
-    out = attachments.select("path").join(met, "path", "left").crossJoin(F.broadcast(total))
-    return out.select("path", F.expr("if(total = 1, only, match)").alias("notice"))
+    out = attachments.select("path").join(met, "path", "left")
+    single = total.select(F.when(F.col("total") == 1, F.col("only"))).scalar()
+    return out.select("path", F.coalesce(single, "match").alias("notice"))
 
 
 def metadata(docs: DataFrame, labels: dict[str, str]) -> DataFrame:

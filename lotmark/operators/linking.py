@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +30,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rows' places, from 1, in an order that leaves no ties. Rows are dealt out by ranges of the order and stored;
+    each range's rows are numbered from the number of rows before it, so no task holds all rows."""
+    dealt = checkpoint(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row per range
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(before, "_range").withColumn(name, (here + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component) for every node but the smallest of each.
 

@@ -28,6 +28,13 @@ def search_items(items: DataFrame, limit: int = 100, **holds: str) -> DataFrame:
     return items.orderBy(*order).limit(max(1, min(limit, 500)))
 
 
+def with_notices(items: DataFrame, projects: DataFrame, packages: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Items with their notice's buyer and budget, and the code of their package, null for items without one."""
+    buyers = organizations.select(F.col("id").alias("buyer_id"), F.col("name").alias("buyer_name"))
+    heads = projects.select("project_id", "buyer_id", "budget").join(buyers, "buyer_id", "left").drop("buyer_id")
+    return items.join(heads, "project_id").join(packages.select("package_id", "package_code"), "package_id", "left")
+
+
 def first_by_key(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key in an explicit order: what inserting with "or ignore" keeps."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -65,6 +65,12 @@ def brand_suppliers(items: DataFrame) -> DataFrame:
     )
 
 
+def brand_evidence(items: DataFrame) -> DataFrame:
+    """buyer_id, brand, evidence: the items of each brand that a buyer got, each once, in order of project, package and part."""
+    cut = items.where("trim(brand) <> ''").select("buyer_id", F.trim("brand").alias("brand"), "project_id", "package_id", "part_id").distinct()
+    return cut.groupBy("buyer_id", "brand").agg(F.array_sort(F.collect_list(F.struct("project_id", "package_id", "part_id"))).alias("evidence"))
+
+
 def buyer_bidders(bids: DataFrame, organizations: DataFrame, k: int = 5, include_winners: bool = True) -> DataFrame:
     """The k organizations that bid in most projects of each buyer; ties by name, then id."""
     counted = over_projects(selected(bids, include_winners), "buyer_id", "organization_id").drop("packages")
