@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling to word budgets.
 
 A document's key is -ln(u) / quality with u a hash of its id and the seed, so the documents of a source in
-order of key are a weighted sample without replacement, whatever its length. A source's budget is filled by
+order of key are a weighted sample without replacement, whatever its length. Quality is the probability that a
+logistic regression gives, fitted on labelled documents, or a plain measure without labels. A source's budget is filled by
 complete epochs over all its documents first, then along the keys, by prefix sums of sizes.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
 #: Characters that prose has few of.
 SYMBOLS = "#$%&*<>{}[]|\\^~"
+#: Labelled documents that the quality model is fitted on, at most, its penalty, and the least quality that it gives.
+SAMPLE, RIDGE, LEAST_QUALITY = 6_000, 1.0, 0.05
 
 
 def words(text: Column) -> Column:
@@ -32,6 +36,37 @@ def quality(text: Column) -> Column:
     return F.coalesce(F.when(F.length(text) > 0, F.greatest(F.lit(0.1), F.lit(1.0) - (F.lit(1.0) - clean) * 4)), F.lit(1.0))
 
 
+def quality_features(text: Column) -> list[Column]:
+    """Shares of symbols, digits, capitals, exclamation marks and repeated lines, and the length of words; 0 without text."""
+    n, lines = F.length(text), F.split(text, "\n")
+    share = lambda chars: 1 - F.length(F.translate(text, chars, "")) / n
+    found = [share(SYMBOLS), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!?"), 1 - F.size(F.array_distinct(lines)) / F.size(lines), n / (words(text) + 1) / 100, F.log(words(text) + 1.0) / 10]
+    return [F.coalesce(F.when(n > 0, c.cast("double")), F.lit(0.0)) for c in found]
+
+
+def fitted_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Column:
+    """A score for plan(): the probability that a document is a good one, from LEAST_QUALITY to 1, by a logistic regression on
+    up to `sample` labelled documents (doc_id, quality 0 or 1), those with the smallest hashes of their id; without labels of
+    both kinds, quality(). The fit sees its few numbers in order of id, so it comes out the same every time."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("good"))
+    chosen = common.sampled(marks, sample, "doc_id")  # bounded, so it can be broadcast
+    rows = docs.select("doc_id", *[c.alias(f"f{i}") for i, c in enumerate(quality_features(F.col("text")))]).join(F.broadcast(chosen), "doc_id").toPandas()
+    rows = rows.sort_values(list(rows.columns), ignore_index=True)
+    y = rows["good"].to_numpy(dtype=float)
+    if not len(y) or y.min() == y.max():
+        return quality(F.col("text"))
+    x = np.hstack([np.ones((len(y), 1)), rows.filter(regex="^f[0-9]+$").to_numpy(dtype=float)])
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
+    penalty[0] = 0.0
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w + np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
+    z = F.lit(float(w[0]))
+    for weight, c in zip(w[1:], quality_features(F.col("text")), strict=True):
+        z = z + F.lit(float(weight)) * c
+    return F.greatest(F.lit(LEAST_QUALITY), 1 / (1 + F.exp(-z)))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """(source, source_no, source_size, target) from (source, size): one row per source.
 
@@ -88,14 +123,14 @@ def first_words(text: Column, n: Column) -> Column:
     return F.concat_ws("", F.slice(parts, F.lit(1), n.cast("int")))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, score: Column | None = None, whole: bool = False) -> DataFrame:
     """The mixed documents, with the columns of docs: each as often as its words are taken, and the document at
     the end of a source's budget shortened to its taken words, unless `whole`. n_chars, where docs has it, is made
     anew for it.
 
     Documents without words are in no budget: they come once if the source has a complete epoch, else not.
     """
-    planned = plan(docs, seed, weights, most, whole=whole)
+    planned = plan(docs, seed, weights, most, score, whole)
     planned = planned.withColumn("full", F.expr("if(size > 0, taken div size, if(target >= source_size, 1, 0))"))
     planned = planned.withColumn("part", F.expr("if(size > 0, taken % size, 0)")).where("full > 0 or part > 0")
     # equal rows share an entry; each of them then takes its own place in it

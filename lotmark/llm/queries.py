@@ -28,7 +28,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    return mixing.plan(docs, score=mixing.fitted_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,3 +160,15 @@ def test_whole_documents_alone(spark, small):
     target = {r.source: r.target for r in planned}
     assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in taken)
     assert sum(taken.values()) == sum(len((r.text or "").split()) for r in mixed)
+
+
+def test_quality_on_documents_that_the_fit_has_not_seen(spark, small):
+    big = small.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    score = mixing.fitted_quality(docs, labels.where(half))
+    rows = docs.withColumn("s", score).join(labels.where(~half), "doc_id").select("quality", "s").collect()
+    good, bad = [r.s for r in rows if r.quality], [r.s for r in rows if not r.quality]
+    right = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert right >= 0.75 and all(mixing.LEAST_QUALITY <= r.s <= 1 for r in rows)
+    assert mixing.fitted_quality(docs.limit(0), labels)._jc.toString() == mixing.quality(F.col("text"))._jc.toString()

@@ -25,7 +25,8 @@ def test_run_is_its_stages(spark, small):
     clean = docs.where(~docs.doc_id.isin(sorted(toxic) or [-1]))
     lines = linededup.dedup_lines(clean)
     lines = lines.where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'").select(*columns)
-    mixed = mixing.mix(minhash.keep_one(lines, 80), whole=True).collect()
+    one = minhash.keep_one(lines, 80)
+    mixed = mixing.mix(one, score=mixing.fitted_quality(one, labels), whole=True).collect()
     out = corpus_pipeline.run(spark, small)
     assert set(out.columns) == {*columns, "ids", "n_tokens", "decoded_sha256"} - {"text"}
     out = out.collect()
