@@ -36,8 +36,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, all of them whole."""
-    return mixing.mix(docs, whole=True)
+    """The documents as often as the mix takes them, all of them whole, good ones first."""
+    return mixing.mix(docs, score=mixing.fitted_quality(docs, table(spark, sf_dir, "labels")), whole=True)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
