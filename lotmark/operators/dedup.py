@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from lotmark.functions.codes import DEFAULT
 from lotmark.functions.text import compact, half_width
-from lotmark.operators.linking import checkpoint, components
+from lotmark.operators.linking import checkpoint, components, solved
 
 #: Fields that are compared, those that a model reads better, and those that tables state exactly.
 FIELDS = ("category", "brand", "model", "quantity", "quantity_unit", "unit_price", "total_price")
@@ -155,11 +155,10 @@ def forced(edges: DataFrame, scope: str) -> DataFrame:
     placed = nodes.join(parts.withColumnRenamed("node", "a"), "a").select(scope, "component", "left_no", "right_no")
     kind = dict(edges.dtypes)[scope]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = forced_pairs(list(zip(frame["left_no"], frame["right_no"], strict=True)))
-        return pd.DataFrame([(frame[scope].iloc[0], a, b) for a, b in found], columns=[scope, "left_no", "right_no"])
+    def solve(key: tuple, group: pd.DataFrame) -> list[tuple]:
+        return [(key[0], a, b) for a, b in forced_pairs(list(zip(group["left_no"], group["right_no"], strict=True)))]
 
-    return placed.groupBy(scope, "component").applyInPandas(run, f"{scope} {kind}, left_no long, right_no long")
+    return solved(placed, [scope, "component"], ["left_no", "right_no"], solve, f"{scope} {kind}, left_no long, right_no long")
 
 
 def merge_models(pairs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmark.functions.states import warning_category
-from lotmark.operators.linking import checkpoint, components
+from lotmark.operators.linking import checkpoint, components, solved
 
 
 def counts(df: DataFrame, keys: list[str], gold: Column, predicted: Column) -> DataFrame:
@@ -100,22 +100,18 @@ def align(gold: DataFrame, predicted: DataFrame, scope: str, fields: list[str])
     linked = components(edges)
     linked = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
     parts = checkpoint(nodes.join(linked, "node"))
-    left_g, left_p = (parts.where(F.col("side") == n).select(scope, "component", "no", "cells") for n in (0, 1))
-    left_p = left_p.toDF(*left_p.columns)  # columns of its own, as both sides come from one frame
-
-    def run(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        g, p = g.sort_values("no"), p.sort_values("no")
-        rows = []
-        if len(g) and len(p):
-            weights = np.zeros((len(g), len(p)), dtype=int)
-            for x, y in zip(zip(*g["cells"], strict=True), zip(*p["cells"], strict=True), strict=True):
-                x, y = np.array(x, dtype=object), np.array(y, dtype=object)
-                weights += (x[:, None] == y[None, :]) & np.array([v is not None for v in x])[:, None]
-            rows = [(key[0], g["no"].iloc[i], p["no"].iloc[j], weights[i, j]) for i, j in assignment(weights)]
-        return pd.DataFrame(rows, columns=[scope, "gold_no", "predicted_no", "weight"])
+    def solve(key: tuple, group: pd.DataFrame) -> list[tuple]:
+        g, p = (group[group["side"] == n] for n in (0, 1))
+        if not len(g) or not len(p):
+            return []
+        weights = np.zeros((len(g), len(p)), dtype=int)
+        for x, y in zip(zip(*g["cells"], strict=True), zip(*p["cells"], strict=True), strict=True):
+            x, y = np.array(x, dtype=object), np.array(y, dtype=object)
+            weights += (x[:, None] == y[None, :]) & np.array([v is not None for v in x])[:, None]
+        return [(key[0], g["no"].iloc[i], p["no"].iloc[j], weights[i, j]) for i, j in assignment(weights)]
 
     kind = dict(gold.dtypes)[scope]
-    rest = left_g.groupBy(scope, "component").cogroup(left_p.groupBy(scope, "component")).applyInPandas(run, f"{scope} {kind}, gold_no long, predicted_no long, weight long")
+    rest = solved(parts.select(scope, "component", "side", "no", "cells"), [scope, "component"], ["side", "no"], solve, f"{scope} {kind}, gold_no long, predicted_no long, weight long")
     return exact.unionByName(rest)
 
 

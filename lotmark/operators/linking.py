@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +43,32 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.join(before, "_range").withColumn(name, (here + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
+def solved(rows: DataFrame, keys: list[str], order: list[str], solve: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
+    """The rows that solve(key, group) gives for each group of equal keys, which must not be null; a group comes whole and in order.
+
+    Groups lie behind each other in sorted partitions, and one call from Spark takes as many as there are in a batch:
+    most components have a few rows, for which a call each would cost more than the work."""
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last: tuple | None = None
+        for frame in frames:
+            out: list[tuple] = []
+            for key, part in frame.groupby(keys, sort=False, dropna=False):
+                if last is not None and key != last:
+                    out += solve(last, pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True))
+                    held = []
+                held.append(part)
+                last = key
+            yield pd.DataFrame(out, columns=names)
+        if last is not None:
+            yield pd.DataFrame(solve(last, pd.concat(held, ignore_index=True)), columns=names)
+
+    return dealt.mapInPandas(run, schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component) for every node but the smallest of each.
 
