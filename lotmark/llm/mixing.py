@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmark.llm import common
+from lotmark.operators.linking import ranked
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in order, repeating.
@@ -72,21 +73,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
     All sizes are shared by weight; a source stops at `most` times its size, and the excess goes to the others
     by weight until none is above. That is target = min(cap, level * weight): with the sources in order of
-    cap / weight, the level is fixed by the first source that stays below its cap. The windows hold one row
-    per source, after the aggregation.
+    cap / weight, the level is fixed by the first source that stays below its cap. Sources are as many as the data
+    has, so they are numbered and summed up over ranges; caps are whole numbers, so their sums are exact.
     """
-    by_code_point = Window.orderBy(F.col("source").isNull(), "source")
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("source_no", F.row_number().over(by_code_point) - 1)
-    choose = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("source_no") % len(weights) + 1)
-    per = per.withColumn("weight", choose).withColumn("cap", most * F.col("source_size").cast("double"))
-    ranked = Window.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(ranked.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("_level", level).withColumn("_rank", F.row_number().over(ranked))
-    first = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.struct("_rank", "_level"))).over(every)
-    per = per.withColumn("_level", first["_level"])
-    target = F.least("cap", F.coalesce(F.col("_level") * F.col("weight"), F.col("cap")))
-    return per.select("source", "source_no", "source_size", target.alias("target"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_null", F.col("source").isNull())
+    per = ranked(per, ["_null", "source"], "source_no").withColumn("source_no", F.col("source_no") - 1).drop("_null")
+    choose = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", choose).withColumn("cap", (F.lit(int(most)) * F.col("source_size")).cast("long"))
+    per = per.withColumn("_all", F.lit(0)).withColumn("_ratio", F.col("cap") / F.col("weight"))
+    per = common.running(per, ["_all"], ["_ratio", "source_no"], ("cap", "weight"))
+    per = common.checkpoint(per)
+    total, weight = (per.agg(F.sum(c)).scalar() for c in ("source_size", "weight"))
+    per = per.withColumn("_level", (total - F.col("cap_before")) / (weight - F.col("weight_before")))
+    level = per.where("_level * weight <= cap").agg(F.min_by("_level", "rank")).scalar()
+    target = F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("weight"), F.col("cap").cast("double")))
+    return per.select("source", F.col("source_no").cast("int").alias("source_no"), "source_size", target.alias("target"))
 
 
 def plan(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, score: Column | None = None, whole: bool = False) -> DataFrame:
