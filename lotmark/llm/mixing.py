@@ -38,10 +38,11 @@ def quality(text: Column) -> Column:
 
 
 def quality_features(text: Column) -> list[Column]:
-    """Shares of symbols, digits, capitals, exclamation marks and repeated lines, and the length of words; 0 without text."""
+    """Shares of marks and digits, of capitals, of spaces and of repeated lines, and the length; 0 without text. Each is a pass
+    or two over the text, as they are made for every document."""
     n, lines = F.length(text), F.split(text, "\n")
     share = lambda chars: 1 - F.length(F.translate(text, chars, "")) / n
-    found = [share(SYMBOLS), share("0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("!?"), 1 - F.size(F.array_distinct(lines)) / F.size(lines), n / (words(text) + 1) / 100, F.log(words(text) + 1.0) / 10]
+    found = [share(f"{SYMBOLS}!?0123456789"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 1 - F.length(F.replace(text, F.lit(" "), F.lit(""))) / n, 1 - F.size(F.array_distinct(lines)) / F.size(lines), F.log(n + 1.0) / 10]
     return [F.coalesce(F.when(n > 0, c.cast("double")), F.lit(0.0)) for c in found]
 
 
