@@ -30,7 +30,7 @@ CANDIDATES = f"""{M}, cand AS (
 
 
 #: Part, package, line and supplier of an item in one number.
-ITEM_ID = F.expr("((part_id * 10000000 + package_id) * 10 + line_no) * 100000 + supplier_id")
+ITEM_ID = "((part_id * 10000000 + package_id) * 10 + line_no) * 100000 + supplier_id"
 
 
 def candidates(m):
@@ -38,7 +38,7 @@ def candidates(m):
     states = F.create_map(*[x for f in reviews.ITEM_FIELDS for x in (F.lit(f), F.when(F.col("total_price").isNotNull() | (F.lit(f) != "total_price"), "present"))])
     backed = F.create_map(*[x for f in reviews.ITEM_FIELDS for x in (F.lit(f), (F.lit(f) != "brand") | (F.col("line_no") % 2 == 1))])
     items = m.items.join(m.packages.select("package_id", "package_code"), "package_id").select(
-        ITEM_ID.alias("candidate_id"), F.col("project_id").alias("notice_id"), F.when(F.col("line_no") % 3 == 0, "default").otherwise(F.col("package_code")).alias("package_code"),
+        F.expr(ITEM_ID).alias("candidate_id"), F.col("project_id").alias("notice_id"), F.when(F.col("line_no") % 3 == 0, "default").otherwise(F.col("package_code")).alias("package_code"),
         *[F.col(f) for f in reviews.ITEM_FIELDS], F.lit("台").alias("quantity_unit"), F.when(F.col("part_id") % 9 != 0, "n.html").alias("source_file"), F.concat(F.lit("row "), "line_no").alias("source_location"), F.lit("text").alias("source_evidence"),
         states.alias("saved_states"), backed.alias("backed"),
     )
@@ -51,14 +51,14 @@ def candidates(m):
 
 
 def _epochs(m):
-    return m.items.where("part_id % 4 = 0").select(F.lit("item").alias("candidate_type"), ITEM_ID.alias("candidate_id"), F.lit(2).cast("long").alias("epoch"))
+    return m.items.where("part_id % 4 = 0").select(F.lit("item").alias("candidate_type"), F.expr(ITEM_ID).alias("candidate_id"), F.lit(2).cast("long").alias("epoch"))
 
 
 def _events(m):
     """A decision about every sixth part in epoch 1, of which those with a second epoch are out of date."""
     values = F.create_map(F.lit("brand"), F.col("brand"), F.lit("model"), F.lit("M"))
     return m.items.where("part_id % 6 = 0").select(
-        F.lit("item").alias("candidate_type"), ITEM_ID.alias("candidate_id"), F.lit(1).cast("long").alias("candidate_epoch"), F.col("line_no").alias("id"),
+        F.lit("item").alias("candidate_type"), F.expr(ITEM_ID).alias("candidate_id"), F.lit(1).cast("long").alias("candidate_epoch"), F.col("line_no").alias("id"),
         F.lit("corrected").alias("action"), F.lit("seen").alias("reason"), values.alias("after_values"),
     )
 
@@ -112,7 +112,7 @@ def decisions(m):
     blank = F.create_map().cast("map<string,string>")
     given = F.when(k == 0, blank).when(k == 1, F.create_map(F.lit("id"), F.lit("1"))).when(k == 2, F.create_map(F.lit("quantity"), F.lit("many"))).when(k == 3, blank).when(k == 4, F.create_map(F.lit("brand"), F.col("brand"))).otherwise(F.create_map(F.lit("brand"), F.lit(" new ")))
     rows = m.items.select(
-        F.lit("item").alias("candidate_type"), ITEM_ID.alias("candidate_id"), F.when(F.col("part_id") % 2 == 0, 2).otherwise(1).cast("long").alias("candidate_epoch"),
+        F.lit("item").alias("candidate_type"), F.expr(ITEM_ID).alias("candidate_id"), F.when(F.col("part_id") % 2 == 0, 2).otherwise(1).cast("long").alias("candidate_epoch"),
         F.lit(1).alias("seq"), F.when(k == 0, "accepted").otherwise("corrected").alias("action"), F.lit("because").alias("reason"), given.alias("corrected"),
     )
     return reviews.decide(rows, candidates(m), _epochs(m), _events(m)).select("candidate_id", "verdict")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__
@@ -32,3 +35,9 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["organization_id", "buyer_id", "projects", "organization_name", "place"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_entry_module_needs_no_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()) > len(e.oracle_sql()) > 100)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=__spark_entry__.ROOT, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip() == "True", said.stderr
