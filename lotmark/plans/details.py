@@ -323,3 +323,11 @@ def document_links(m):
 )
 def referenced_names(m):
     return scopes.referenced(m.table("pages").select(F.col("page_id").cast("string").alias("path"), "html"))
+
+
+@query("s28_admitted_details", "SELECT CAST(p_partkey AS VARCHAR) AS path, n AS name FROM part, unnest(['A', 'B', 'C']) AS u(n) WHERE p_partkey % 6 <> 1")
+def admitted_details(m):
+    """Review tables of documents for six purposes: those of history give nothing."""
+    papers = _papers(m).select(F.col("p_partkey").cast("string").alias("path"), "text")
+    found = intake.bidder_details(documents.html_cells(_review_tables(m))).select("path", F.substring("name", 1, 1).alias("name"))
+    return scopes.admitted(found, papers)
