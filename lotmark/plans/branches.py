@@ -132,7 +132,7 @@ def expanded_members(m):
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     found = documents.expand(m.table("supplier").select("s_suppkey").mapInPandas(run, "path string, content binary"))
-    return found.select("path", F.octet_length("content").alias("bytes"))
+    return found.select("path", F.octet_length("content").cast("long").alias("bytes"))
 
 
 @query("s03_created_dataset", "SELECT 'supplier' AS name, count(*) AS n FROM supplier UNION ALL SELECT 'part', count(*) FROM part")
