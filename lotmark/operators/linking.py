@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, which the driver and all executors share.
@@ -52,6 +55,8 @@ def solved(rows: DataFrame, keys: list[str], order: list[str], solve: Callable[[
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # workers of other operators, which have no use for it, don't load it
+
         held: list[pd.DataFrame] = []
         last: tuple | None = None
         for frame in frames:
