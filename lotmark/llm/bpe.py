@@ -194,24 +194,46 @@ def _attached(part: pa.RecordBatch, column: pa.Array, name: str, drop: str | Non
     return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], column], names=[*names, name])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def strings(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The strings of each list's tokens joined by one space; null for a null list."""
+    size = len(tokens)
+    flat = lists.flatten()
+    bad = pc.or_kleene(pc.less(flat, 0), pc.greater_equal(flat, size)).fill_null(True)
+    found = tokens.take(pc.if_else(bad, pa.scalar(None, pa.int32()), flat))
+    counts = np.asarray(pc.list_value_length(lists).fill_null(0), dtype=np.int64)
+    offsets = np.append(0, np.cumsum(counts))
+    if found.null_count:
+        good = np.asarray(found.is_valid())
+        offsets = np.append(0, np.cumsum(good))[offsets]
+        found = found.drop_null()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), " ")
+    if lists.null_count:
+        joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
+    return joined
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """Adds `ids` array<int>, the token ids of each whole text, as the tokenizers library encodes it without
     adding special tokens; special tokens' strings in a text become their ids.
 
-    Null texts count as empty and get an empty array. The text column is dropped, and of the others those in
+    With `decoded`, a column of that name has what decode() gives for the ids, made in the same pass: two passes behind
+    each other would keep two Python workers a task. Null texts count as empty and get an empty array. The text column is dropped, and of the others those in
     `keep` stay (all, if None); a column that is named as `ids`, in any case, is replaced. Rows neither move nor merge.
     """
     keep = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())] if keep is None else keep
     body = common.free("_text", keep)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(body))
-    schema = T.StructType([*source.drop(body).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([*source.drop(body).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder, tokens = Encoder(path), vocabulary(path).tokens
         for batch in batches:
             for part in common.chunks(batch, body):
                 offsets, flat = encoder.encode(part.column(body).to_pylist())
-                yield _attached(part, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), ids, body)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+                out = _attached(part, lists, ids, body)
+                yield _attached(out, strings(lists, tokens), decoded) if decoded else out
 
     common.small_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)
@@ -228,23 +250,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary(path).tokens
-        size = len(tokens)
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 part = batch.slice(start, 250)
-                lists = part.column(part.schema.get_field_index(ids))
-                flat = lists.flatten()
-                bad = pc.or_kleene(pc.less(flat, 0), pc.greater_equal(flat, size)).fill_null(True)
-                strings = tokens.take(pc.if_else(bad, pa.scalar(None, pa.int32()), flat))
-                counts = np.asarray(pc.list_value_length(lists).fill_null(0), dtype=np.int64)
-                offsets = np.append(0, np.cumsum(counts))
-                if strings.null_count:
-                    good = np.asarray(strings.is_valid())
-                    offsets = np.append(0, np.cumsum(good))[offsets]
-                    strings = strings.drop_null()
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), strings), " ")
-                if lists.null_count:
-                    joined = pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
+                joined = strings(part.column(part.schema.get_field_index(ids)), tokens)
                 yield _attached(part, joined, text, ids)
 
     return rest.mapInArrow(run, schema)
