@@ -43,10 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, in place of its text, and the digest of what they decode to. Columns
     named ids, n_tokens or decoded_sha256 are replaced."""
-    made = ("n_tokens", "decoded_sha256")
-    encoded = bpe.encode(docs.drop(*[c for c in docs.columns if c.lower() in made]), queries.vocabulary_path())
-    copy, text = (free(c, encoded.columns) for c in ("_ids", "_decoded"))
-    out = bpe.decode(encoded.withColumn(copy, F.col("ids")), queries.vocabulary_path(), ids=copy, text=text)
+    rest = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "decoded_sha256")])
+    text = free("_decoded", rest.columns)
+    out = bpe.encode(rest, queries.vocabulary_path(), decoded=text)
     return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2(text, 256)).drop(text)
 
 
