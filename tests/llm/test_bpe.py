@@ -78,3 +78,12 @@ def test_cache_is_forgotten_without_effect(monkeypatch, library):
     encoder = bpe.Encoder(PATH)
     for text in ("one two three four five", "two six", "five one"):
         assert encoder.encode([text])[1].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_decoding_in_the_same_pass(spark):
+    docs = spark.createDataFrame([(1, "Some text, with 12 words — and <|endoftext|> in it."), (2, None), (3, ""), (4, "ÄÖ ß " * 2000)], "doc_id long, text string")
+    path = queries.vocabulary_path()
+    both = bpe.encode(docs, path, decoded="said").select("doc_id", "ids", "said")
+    apart = bpe.decode(bpe.encode(docs, path), path, text="said")
+    assert {(r.doc_id, r.said) for r in both.collect()} == {(r.doc_id, r.said) for r in apart.collect()}
+    assert both.where("doc_id = 2").first().ids == []
