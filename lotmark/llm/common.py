@@ -44,9 +44,9 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, which holds keys, with a hint to broadcast it if it has BROADCAST_ROWS at most. It is counted, so it should be stored."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, which holds keys, with a hint to broadcast it if it has `rows` at most. It is counted, so it should be stored."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def sampled(df: DataFrame, size: int, key: str) -> DataFrame:
