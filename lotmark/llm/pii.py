@@ -212,9 +212,10 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, precision: float) -> floa
     return float(min((low for low, total, n in pools if total >= precision * n), default=1.0))
 
 
-def labelled_texts(n: int = LABELLED, seed: int = 3) -> list[tuple[str, int, int, int]]:
-    """Made-up texts, each with one span of personal data (kind, start, end) that no pattern matches, or with none (-1, 0, 0) but
-    something like it: numbers of orders and books, dates, amounts, versions, hardware addresses, prose with "at"."""
+def labelled_texts(n: int = LABELLED, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Made-up texts, each with its spans of personal data (start, kind, end) that no pattern matches: one, two numbers of
+    cards beside each other, or none but something like it: numbers of orders and books, dates, amounts, versions,
+    hardware addresses, prose with "at"."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ou", "tre", "en", "pa", "la", "the", "ly", "st", "ver", "ung", "ach", "in", "and")) for _ in range(r.randint(1, 3)))
     prose = lambda k: " ".join(word() for _ in range(k))
@@ -254,6 +255,8 @@ def labelled_texts(n: int = LABELLED, seed: int = 3) -> list[tuple[str, int, int
             if kind == 2:
                 size = r.choice((13, 14, 15, 16, 16, 16, 19))
                 digits = checked(size, True)
+                if r.random() < 0.25:  # the pattern for cards takes both numbers for one
+                    return lead, f"{checked(16, True)} {r.choice((checked(16, True), checked(16, False), number('99'), number('999')))}", 4
                 return lead, (digits if size == 13 and r.random() < 0.6 else spaced(digits, r.choice((".", "/", " - ", "  ", " -", "--")))), kind
             if kind == 1:
                 return lead, longer(), kind
@@ -279,7 +282,8 @@ def labelled_texts(n: int = LABELLED, seed: int = 3) -> list[tuple[str, int, int
         if kind < 0 and r.random() < 0.15:  # inside of a word
             head, tail = head + r.choice("abcxyz_#"), r.choice("abcxyz%") + tail
         tail = tail if not tail or not tail[0].isalnum() or kind < 0 else f" {tail}"
-        out.append((head + span + tail, kind, len(head) if kind >= 0 else 0, len(head) + len(span) if kind >= 0 else 0))
+        parts = [(m.start(), m.end()) for m in re.finditer("[0-9]+", span) if luhn(m[0]) and len(m[0]) == 16] if kind == 4 else [(0, len(span))]
+        out.append((head + span + tail, [(len(head) + a, 2 if kind == 4 else kind, len(head) + b) for a, b in parts if kind >= 0]))
     return out
 
 
@@ -297,15 +301,15 @@ def beyond(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int,
     return free
 
 
-def train(spark: SparkSession, labelled: list[tuple[str, int, int, int]] | None = None, seed: int = 7, precision: float = PRECISION) -> Model:
+def train(spark: SparkSession, labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None, seed: int = 7, precision: float = PRECISION) -> Model:
     """Trees boosted on two thirds of the labelled texts' proposals, and thresholds calibrated on the last third.
 
-    A proposal is right if it has the kind, the start and the end of its text's span; the others, those that overlap it among
-    them, are wrong. labelled: (text, kind, start, end) as of labelled_texts(), a bounded sample that the driver holds.
+    A proposal is right if it has the kind, the start and the end of one of its text's spans; the others, those that overlap one
+    among them, are wrong. labelled: (text, spans) as of labelled_texts(), a bounded sample that the driver holds.
     """
     rows = []
-    for i, (text, kind, start, end) in enumerate(labelled_texts() if labelled is None else labelled):
-        rows += [(i % 3, k, float((a, k, b) == (start, kind, end)), [float(x) for x in features(text, a, k, b)]) for a, k, b in beyond(text, base(text))]
+    for i, (text, right) in enumerate(labelled_texts() if labelled is None else labelled):
+        rows += [(i % 3, k, float((a, k, b) in right), [float(x) for x in features(text, a, k, b)]) for a, k, b in beyond(text, base(text))]
     made = spark.createDataFrame([(y, x) for fold, _, y, x in rows if fold], "label double, xs array<double>").select("label", array_to_vector("xs").alias("features")).coalesce(1).persist()
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, minInstancesPerNode=5, subsamplingRate=0.8).fit(made)
     made.unpersist()
