@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmark.operators.reviews import page
+from lotmark.sources import catalog
 from lotmark.sources.tables import Model
 
 RELATIONS = ("PURCHASES", "HAS_PACKAGE", "BID_IN", "AWARDED_TO", "HAS_ITEM")
@@ -137,10 +138,11 @@ def totals(model: Model) -> DataFrame:
     return labels.unionByName(edges(model).groupBy(F.col("relation").alias("entity")).agg(F.count("*").alias("n")))
 
 
-def export(model: Model, folder: str) -> None:
-    """All nodes and edges as tables of the folder, edges by relation; both replace what was there."""
-    nodes(model).write.mode("overwrite").parquet(f"{folder}/nodes")
-    edges(model).write.mode("overwrite").partitionBy("relation").parquet(f"{folder}/edges")
+def export(model: Model, folder: str) -> str:
+    """All nodes and edges, edges by relation, as the next version of a dataset in the folder: readers see both as they were, or both
+    anew. Gives the version's folder."""
+    tables = {"nodes": nodes(model), "edges": edges(model)}
+    return catalog.publish(model.spark, folder, "default", tables, partitioned={"edges": ["relation"]}).folder
 
 
 def paths(some: DataFrame, first: str, second: str, keep: str = "source") -> DataFrame:

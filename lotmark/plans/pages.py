@@ -294,11 +294,14 @@ def paths(m):
     return graph.paths(graph.edges(m, ("HAS_PACKAGE", "AWARDED_TO")), "HAS_PACKAGE", "AWARDED_TO")
 
 
-@query("k09_exported_graph", f"{NODES} SELECT relation, count(*) AS n FROM edges GROUP BY relation")
+@query("k09_exported_graph", f"{NODES} SELECT relation AS entity, count(*) AS n FROM edges GROUP BY relation UNION ALL SELECT label, count(*) FROM nodes GROUP BY label")
 def exported_graph(m):
+    """Published twice into one folder: what is read is the second version, whole."""
     folder = _folder(m, "graph")
     graph.export(m, folder)
-    return m.spark.read.parquet(f"{folder}/edges").groupBy("relation").agg(F.count("*").alias("n"))
+    at = graph.export(m, folder)
+    read = lambda name, column: m.spark.read.parquet(f"{at}/{name}.parquet").groupBy(F.col(column).alias("entity")).agg(F.count("*").alias("n"))
+    return read("edges", "relation").unionByName(read("nodes", "label"))
 
 
 @query("a18_scene_sources", f"{M} SELECT DISTINCT project_id FROM bids WHERE organization_id IN (1, 3) AND package_id IN (SELECT package_id FROM bids WHERE organization_id IN (1, 3) GROUP BY package_id HAVING count(DISTINCT organization_id) = 2) ORDER BY project_id DESC LIMIT 100")
@@ -319,15 +322,6 @@ def suspicious_questions(m):
     return m.table("documents").select("doc_id", intents.suspicious(asked).alias("suspicious"), intents.has_forbidden_fields(json).alias("forbidden"))
 
 
-@query("j27_supplier_triples", f"{M}, w AS (SELECT DISTINCT buyer_id, organization_id FROM awards WHERE organization_id < 12) SELECT x.organization_id AS a, y.organization_id AS b, z.organization_id AS c, count(*) AS buyers FROM w x JOIN w y ON x.buyer_id = y.buyer_id AND x.organization_id < y.organization_id JOIN w z ON y.buyer_id = z.buyer_id AND y.organization_id < z.organization_id GROUP BY ALL")
-def supplier_triples(m):
-    """Triples of six named suppliers by the buyers that all of them won from; a buyer has six of them at most."""
-    won = m.bids.where("outcome = 'winner' and organization_id < 12").select("buyer_id", "organization_id").distinct()
-    one, two, three = (won.select("buyer_id", F.col("organization_id").alias(c)) for c in "abc")
-    both = one.join(two, "buyer_id").where("a < b").join(three, "buyer_id").where("b < c")
-    return both.groupBy("a", "b", "c").agg(F.count("*").alias("buyers"))
-
-
 @query("u08_ordered_unique", f"{M} SELECT project_id, string_agg(brand, ',' ORDER BY n) AS brands FROM (SELECT project_id, brand, min((line_no, part_id, supplier_id)) AS n FROM items GROUP BY ALL) GROUP BY project_id")
 def ordered_unique(m):
     listed = m.items.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "part_id", "supplier_id", "brand"))).alias("b"))
