@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotmark.plans import branches, details, history, intake, judging, pages, patterns, reconciling, records, relations, reviewing, scoring, streams, text  # noqa: F401  they register their queries
+from lotmark.plans import branches, details, history, intake, judging, pages, patterns, reconciling, records, relations, reviewing, scoring, snapshots, streams, text  # noqa: F401  they register their queries
 from lotmark.plans.base import ORACLE, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
