@@ -13,19 +13,21 @@ from lotmark.operators import clues, scenes
 from lotmark.sources.tables import Model
 
 SCENES = ("buyer_awardees", "buyer_bidders", "supplier_co_bidders", "common_buyers", "common_projects")
-#: Other names of kinds of clues.
-KIND_NAMES = {"all": "all", "co-bidding": "common_bidding", "pairs": "common_bidding", "cooperation": "repeat_cooperation", "distribution": "supplier_distribution", "network": "buyer_network"}
-#: Words of query languages and of writing that a question may not hold, and fields that an intent may not have.
-FORBIDDEN_WORDS = ("select", "match", "create", "delete", "drop", "update", "merge", "insert", "cypher", "sql", "写入", "删除", "修改", "执行命令")
+#: Other names of kinds of clues. The last two are short forms of this library.
+KIND_NAMES = {"all": "all", "common": "common_bidding", "co-bidding": "common_bidding", "repeat": "repeat_cooperation", "distribution": "supplier_distribution", "network": "buyer_network", "pairs": "common_bidding", "cooperation": "repeat_cooperation"}
+#: What a question may not hold. Words of query languages with what follows them, names of such languages, and words that ask to write.
+STATEMENTS = {"select": "\\s+.+\\s+from", "match": "\\s*\\(", "create": "\\s+", "delete": "\\s+", "drop": "\\s+", "update": "\\s+", "merge": "\\s+", "insert": "\\s+", "cypher": "", "sql": "\\b"}
+ORDERS = ("删除", "修改", "执行命令")
+BEGUN = "写入"
 FORBIDDEN_FIELDS = ("sql", "cypher", "query", "statement", "raw_query")
 MOST_SUPPLIERS = 50
 
 
 def suspicious(question: Column) -> Column:
-    """True for a question that holds a word of a query language, or asks to write."""
-    latin = [w for w in FORBIDDEN_WORDS if w.isascii()]
-    other = [w for w in FORBIDDEN_WORDS if not w.isascii()]
-    return F.coalesce(F.lower(question).rlike(f"\\b(?:{'|'.join(latin)})\\b|{'|'.join(other)}"), F.lit(False))
+    """True for a question that holds a statement of a query language or its name, or asks to write. `select` and `match` alone are
+    words like others; 写入 counts where a word begins."""
+    parts = [*(f"{word}{rest}" for word, rest in STATEMENTS.items()), *ORDERS, f"\\b{BEGUN}"]
+    return F.coalesce(question.rlike(f"(?isU){'|'.join(parts)}"), F.lit(False))
 
 
 def has_forbidden_fields(intent_json: Column) -> Column:
@@ -36,8 +38,8 @@ def has_forbidden_fields(intent_json: Column) -> Column:
 
 def kind(name: str | None) -> str:
     """A kind of clue by any of its names; without a name, all."""
-    key = (name or "all").strip().casefold().replace("_", "-")
-    known = {k.replace("_", "-"): k for k in clues.KINDS} | KIND_NAMES
+    key = (name or "all").strip().casefold()
+    known = {k: k for k in clues.KINDS} | {k.replace("_", "-"): k for k in clues.KINDS} | KIND_NAMES
     if key not in known:
         raise ValueError(f"unknown kind {name}; there are all, {', '.join(clues.KINDS)}")
     return known[key]

@@ -281,7 +281,7 @@ def test_fingerprints_follow_content_alone(spark):
 
 def test_codes_and_amounts_of_every_kind(spark):
     labels = {
-        "合同包1(项目名称)": "1", "采购包编号：03": "3", "第一标段": "1", "二标段": "2", "包名称：教学仪器": "教学仪器", "标段名称：第十二标段": "12", "见附件": "default", "包号：": "default", "豫政采(2)20260817-5": "5", "NULL": "default",
+        "合同包1(项目名称)": "1", "采购包编号：03": "3", "第一标段": "第一标段", "二标段": "2", "包名称：教学仪器": "教学仪器", "标段名称：第十二标段": "12", "见附件": "default", "包号：": "default", "豫政采(2)20260817-5": "5", "NULL": "default",
         "B包": "B", "1号包": "1", "【包2】": "2", "一百零五": "105", "二十": "20", "两千三百": "2300", "医疗设备": "医疗设备",
     }
     df = spark.createDataFrame([(k, v) for k, v in labels.items()], "c string, want string")
