@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lotmark.operators import records
 from lotmark.plans.base import query
-from lotmark.streaming import jobs
+from lotmark.streaming import jobs, keyed
 
 
 def _events(m):
@@ -111,3 +111,18 @@ def stale_sources(m):
     before = m.table("documents").where("doc_id % 7 <> 0").select("doc_id", F.sha2(text, 256).alias("sha256"))
     after = m.table("documents").where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit("!"))).otherwise(text), 256).alias("sha256"))
     return jobs.stale(before, after, "doc_id")
+
+
+HOUR = 3_600_000
+
+
+@query(
+    "st05_keyed_state",
+    f"""WITH last AS (SELECT user_id, event_type, max(event_id) AS event_id, epoch_us(max(ts)) // 1000 AS at_ms FROM events GROUP BY ALL)
+SELECT user_id, event_type, event_id, at_ms FROM last WHERE at_ms + {HOUR} > (SELECT epoch_us(max(ts)) // 1000 FROM events)""",
+)
+def keyed_state(m):
+    """The latest event of each user and type, read from the stream's state; those with none in the last hour have left it."""
+    folder = jobs.shared_folder(m.spark)
+    keyed.advance(_events(m).select("user_id", "event_type", "event_id", "ts"), folder, ["user_id", "event_type"], ["event_id"], "ts", silent_ms=HOUR)
+    return keyed.current(m.spark, folder).select("user_id", "event_type", "event_id", F.col("_at").alias("at_ms"))
