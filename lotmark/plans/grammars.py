@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotmark.functions import codes
-from lotmark.operators import intents, scopes
+from lotmark.operators import intents, metadata, scopes
 from lotmark.plans.base import query
 
 
@@ -82,3 +82,28 @@ def crossed_questions(m):
     rows = crossed(m.table("nation").select("n_nationkey", "n_name"), _questions())
     asked = F.replace("case.c0", F.lit("{x}"), F.lower("n_name"))
     return rows.select("n_nationkey", F.col("case.c0").alias("question"), intents.suspicious(asked).alias("suspicious"))
+
+
+def _papers() -> list[tuple[str, str, str, str]]:
+    """(text, field, value, status): every label in a cell, in a line, and without a value; values of every kind."""
+    out = []
+    for field, words in metadata.LABELS.items():
+        amount = field in metadata.AMOUNTS
+        for word in words:
+            good, want = ("1.5万元", "15000") if amount else ("名 {x}", "名 {x}")
+            out += [(f"序号\t1\t{word}\t{good}", field, want, "present"), (f"x {word}： {good}；另", field, want, "present"), (f"{word}：", field, "", "blank_in_source"), (f"{word}：未公示。", field, "", "explicitly_not_published")]
+            out += [(f"{word}：详见采购文件", field, "", "unverified"), (f"{word}\t\n{word}：{good} 一、其他", field, want, "present"), (f"{word}：\n{word}：未公开", field, "", "explicitly_not_published"), (f"{word}\t项目名称\t{word}：\t{good}", field, want, "present"), (f"{word} {good}", field, "", "unknown")]
+            if amount:
+                out += [(f"{word}：约10元", field, "", "unverified"), (f"{word}（万元）：1.5 乙方：2", field, "", "unknown"), (f"{word}（万元）\t2.5", field, "25000", "present"), (f"{word}\t￥1,000.50", field, "1000.5", "present")]
+            else:
+                out += [(f"{word}：{'长' * 161}", field, "", "unverified"), (f"{word}：甲(1)乙 采购人：丙", field, "甲(1)乙", "present") if field != "procurement_unit" else (f"{word}：甲 项目编号：丙", field, "甲", "present")]
+    return [*out, ("项目编号：A(1)的公告", "project_number", "A(1", "present"), ("项目编号：A(1)的合同", "project_number", "A(1)的合同", "present"), ("项目编号：" + "1" * 121, "project_number", "", "unverified")]
+
+
+@query("f32_crossed_metadata", f"SELECT r_regionkey, c0 AS text, replace(c2, '{{x}}', lower(r_name)) AS value, c3 AS status FROM region, {values(_papers())}")
+def crossed_metadata(m):
+    """The field that each paper is about, for every label and kind of value."""
+    rows = crossed(m.table("region").select("r_regionkey", "r_name"), _papers())
+    docs = rows.select("r_regionkey", "case", F.concat_ws("/", "r_regionkey", F.md5("case.c0"), "case.c1").alias("path"), F.replace("case.c0", F.lit("{x}"), F.lower("r_name")).alias("text"))
+    found = metadata.facts(docs.select("path", "text")).join(docs, "path").where(F.col("field") == F.col("case.c1"))
+    return found.select("r_regionkey", F.col("case.c0").alias("text"), F.coalesce("value", F.lit("")).alias("value"), "status")
