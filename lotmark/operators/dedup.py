@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from lotmark.functions.codes import DEFAULT
 from lotmark.functions.text import compact, half_width
-from lotmark.operators.linking import checkpoint, components, solved
+from lotmark.operators.linking import checkpoint, components, ranked, solved
 
 #: Fields that are compared, those that a model reads better, and those that tables state exactly.
 FIELDS = ("category", "brand", "model", "quantity", "quantity_unit", "unit_price", "total_price")
@@ -33,7 +33,7 @@ def duplicate_edges(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = items.select("notice_id", "no", "source_file", F.coalesce("package_code", F.lit(DEFAULT)).alias("package"), plain(F.col("product_name")).alias("name"), *[(plain(F.col(f)) if f not in NUMERIC else F.col(f)).alias(f) for f in FIELDS])
     same = ["notice_id", "name", "package", *FIELDS]
     classes = keyed.where("name is not null").groupBy(*same).agg(F.min("no").alias("first"), F.count("*").alias("rows"), F.count_distinct("source_file").alias("files"), F.min("source_file").alias("only_file"))
-    classes = checkpoint(classes.withColumn("class_id", F.xxhash64("notice_id", "first")))
+    classes = checkpoint(ranked(classes, ["notice_id", "first"], "class_id"))
     pairs = None
     for n, (a, b) in enumerate(STRONG):
         x = classes.where(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -14,9 +14,16 @@ def escaped(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
 
 
+def limited(limit: int, most: int = 500) -> int:
+    """A limit as it was asked for; ValueError for one that is out of bounds, rather than another in silence."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be from 1 to {most}")
+    return limit
+
+
 def lookup(organizations: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Organizations whose name holds the query, in order of name."""
-    return organizations.where(F.col("name").ilike(f"%{escaped(query)}%")).orderBy("name", "id").limit(max(1, min(limit, 500)))
+    return organizations.where(F.col("name").ilike(f"%{escaped(query)}%")).orderBy("name", "id").limit(limited(limit))
 
 
 def search_items(items: DataFrame, limit: int = 100, **holds: str) -> DataFrame:
@@ -25,7 +32,7 @@ def search_items(items: DataFrame, limit: int = 100, **holds: str) -> DataFrame:
         if text:
             items = items.where(F.col(column).ilike(f"%{escaped(text)}%"))
     order = [F.desc("project_id"), "package_id", "part_id", "supplier_id", "line_no", "quantity", "total_price"]
-    return items.orderBy(*order).limit(max(1, min(limit, 500)))
+    return items.orderBy(*order).limit(limited(limit))
 
 
 def with_notices(items: DataFrame, projects: DataFrame, packages: DataFrame, organizations: DataFrame) -> DataFrame:

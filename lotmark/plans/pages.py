@@ -247,11 +247,6 @@ def clue_warnings(m):
     return clues.warning_categories(clues.members(m.bids), notes, marks)
 
 
-@query("a15_definitions", " UNION ALL ".join(f"SELECT '{k}' AS kind, '{d}' AS definition, 'nonwinner' AS outcomes".replace("supplier's", "supplier''s") for k, d in clues.DEFINITIONS.items()))
-def definitions(m):
-    return m.spark.createDataFrame(clues.scopes(include_winners=False), "kind string, definition string, outcomes string")
-
-
 @query("a42_evidence_links", f"{M} SELECT 'bid' AS record_type, package_id * 1000000 + organization_id AS record_id, CASE WHEN organization_id % 3 = 0 THEN 'missing' ELSE 'available' END AS link_status FROM bids")
 def evidence_links(m):
     rows = m.bids.select(F.lit("bid").alias("record_type"), (F.col("package_id") * 1_000_000 + F.col("organization_id")).alias("record_id"), F.when(F.col("organization_id") % 3 != 0, "q").otherwise(" ").alias("source_evidence"))

@@ -96,17 +96,6 @@ def difference(m):
     return evaluation.difference(a, b)
 
 
-@query(
-    "u05_conflicts",
-    """WITH a AS (SELECT doc_id, n_chars AS v FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS v FROM documents WHERE doc_id % 2 = 0)
-SELECT doc_id, a.v AS first_value, b.v AS second_value FROM a JOIN b USING (doc_id) WHERE a.v IS DISTINCT FROM b.v""",
-)
-def conflicts(m):
-    docs = m.table("documents")
-    other = docs.where("doc_id % 2 = 0").withColumn("n_chars", F.expr("if(doc_id % 5 = 0, n_chars + 1, n_chars)"))
-    return evaluation.conflicts(docs, other, "doc_id", "n_chars")
-
-
 @query(
     "u05_all_conflicts",
     """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS v FROM documents)

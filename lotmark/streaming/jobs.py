@@ -8,8 +8,9 @@ when they are read.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,21 @@ from lotmark.operators import linking
 from lotmark.operators.records import latest
 
 
+#: Where state is kept on disk rather than in executors' memory, with a log of changes in the stream's checkpoint.
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def kept_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state on disk."""
+    key, before = STORE[0], spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, which all executors reach."""
     return f"{linking.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -56,18 +72,15 @@ def latest_state(events: DataFrame, folder: str, keys: list[str], *order: str) -
 
 
 def ingest_once(rows: DataFrame, folder: str, *keys: str) -> DataFrame:
-    """All rows whose keys came first: those that an earlier batch has a receipt for are left out, and of repeated keys in
-    a batch one row stays. With a group and a fingerprint as keys, repeated snapshots add nothing."""
+    """All rows whose keys came first, one of each: the stream keeps the keys that it has seen as state, on disk, so a batch reads
+    nothing of the batches before it. With a group and a fingerprint as keys, repeated snapshots add nothing."""
     spark = rows.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
-        new = df.dropDuplicates(list(keys))
-        if number:
-            receipts = batches(spark, folder, "state").where(F.col("batch") < number)
-            new = new.join(receipts.select(*keys), list(keys), "left_anti")
-        new.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        df.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    run(rows, folder, batch)
+    with kept_on_disk(spark):
+        run(rows.dropDuplicates(list(keys)), folder, batch)
     return batches(spark, folder, "state").drop("batch")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: Where state is kept on disk rather than in executors' memory, with a log of changes in the stream's checkpoint.
-STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+from lotmark.streaming.jobs import kept_on_disk
+
 LAST, AT = "last", "_at"
 
 
@@ -65,15 +65,9 @@ def advance(events: DataFrame, folder: str, keys: list[str], order: list[str], t
     rows = events.withColumn(AT, F.unix_millis(time)).withWatermark(time, delay)
     schema = T.StructType([f for f in rows.schema.fields if f.name != time])
     latest = rows.groupBy(*keys).transformWithState(Latest(schema, keys, order, silent_ms), T.StructType([f for f in schema.fields]), "Update", "EventTime")
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    try:
-        for k, v in STORE.items():
-            spark.conf.set(k, v)
+    with kept_on_disk(spark):
         query = latest.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").format("noop").trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
