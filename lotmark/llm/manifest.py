@@ -175,7 +175,8 @@ def proofs(leaves: DataFrame, group: str = "source", order: str = "doc_id", keep
     blocks = placed.groupBy("tree", "node", "size").agg(F.array_sort(F.collect_list(F.struct("at", "leaf")))["leaf"].alias("leaves"))
     blocks = blocks.select("tree", "node", F.expr(_reduced("leaves", f"size > {BLOCK}")).alias("digest"))
     subroots, paths = joined(common.checkpoint(blocks))
-    tops, over = joined(subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("node"), "digest"))
+    # stored first: with a constant for a key, joins on it would be nested loops
+    tops, over = joined(common.checkpoint(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("node"), "digest")))
     top = tops.first()
     subroots = subroots.join(over.select(F.col("node").alias("tree"), F.col("path").alias("over")), "tree").withColumnRenamed("digest", "subroot")
     above = common.checkpoint(paths.join(subroots, "tree").select("tree", "node", F.concat("path", "over").alias("path"), "subroot"))
