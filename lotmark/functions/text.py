@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,3 +122,23 @@ def source_uuid(path: Column) -> Column:
 def natural_key(location: Column) -> Column:
     """A sort key that orders digits as numbers: each run of digits padded to twelve."""
     return F.regexp_replace(F.regexp_replace(location, "([0-9]+)", "000000000000$1"), "0*([0-9]{12})(?![0-9])", "$1")
+
+
+def unescape(c: Column) -> Column:
+    """Character references replaced, each once: numbers, decimal or hexadecimal, and the names of HTML 4, which Python lists.
+    A reference needs its semicolon; what names no character stays as it is."""
+    names = F.create_map(*[F.lit(x) for name, point in sorted(name2codepoint.items()) for x in (name, chr(point))])
+    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    real = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+
+    def one(piece: Column) -> Column:
+        def said(ref: Column) -> Column:
+            number = F.when(ref.rlike("^#[0-9]"), F.substring(ref, 2, 9)).when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 9), 16, 10)).cast("long")
+            char = let(number, lambda n: F.when(real(n), point(n)).when(n.isNull(), F.try_element_at(names, ref)))
+            return let(char, lambda v: F.when(v.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(v, F.substr(piece, F.length(ref) + 2))))
+
+        return let(F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});", 1), said)
+
+    pieces = F.split(c, "&")
+    rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one), "")
+    return F.when(F.contains(c, F.lit("&")), F.concat(pieces[0], rest)).otherwise(c)
