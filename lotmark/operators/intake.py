@@ -60,8 +60,8 @@ def aliases(spark: SparkSession, headers: dict[str, tuple[str, ...]]) -> DataFra
 
 
 def rows(cells: DataFrame, headers: dict[str, tuple[str, ...]], needs: tuple[str, ...], least: int = 3) -> DataFrame:
-    """(path, table_no, row_no, cells, columns): the rows below a header. cells maps column numbers to texts; columns maps
-    each field of the nearest header above to its column and text. A header names `least` fields, one of `needs` among
+    """(path, table_no, row_no, cells, columns, width): the rows below a header. cells maps column numbers to texts; columns maps
+    each field of the nearest header above to its column and text; width is the number of that header's cells. A header names `least` fields, one of `needs` among
     them; of several columns for a field, it takes the preferred header's, then the first."""
     known = F.broadcast(aliases(cells.sparkSession, headers))
     keyed = cells.withColumn("key", header_key(F.col("text"))).join(known, "key", "left")
@@ -77,17 +77,19 @@ def rows(cells: DataFrame, headers: dict[str, tuple[str, ...]], needs: tuple[str
     needed = F.arrays_overlap(F.map_keys("found"), F.array(*[F.lit(n) for n in needs]))
     made = made.withColumn("header", F.when((places >= least) & needed, F.col("found")))
     above = Window.partitionBy(*TABLE).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return made.withColumn("columns", F.last("header", ignorenulls=True).over(above)).where("header is null and columns is not null").select(*TABLE, "row_no", "cells", "columns")
+    made = made.withColumn("width", F.when(F.col("header").isNotNull(), F.size("cells")))
+    held = made.withColumns({name: F.last(of, ignorenulls=True).over(above) for name, of in (("columns", "header"), ("width", "width"))})
+    return held.where("header is null and columns is not null").select(*TABLE, "row_no", "cells", "columns", "width")
 
 
-def named(found: DataFrame, headers: dict[str, tuple[str, ...]]) -> DataFrame:
+def named(found: DataFrame, headers: dict[str, tuple[str, ...]], kept: tuple[str, ...] = ()) -> DataFrame:
     """The rows with a column for each field, null where blank, `<field>_header` for prices, and evidence: a map of the
-    fields with a cell to their header, column and text."""
+    fields with a cell to their header, column and text. Columns in kept stay."""
     cell = lambda f: F.nullif(F.col("cells")[F.col("columns")[f]["col_no"]], F.lit(""))
     fields = [cell(f).alias(f) for f in headers]
     heads = [F.col("columns")[f]["text"].alias(f"{f}_header") for f in headers if f in PRICES]
     said = F.map_filter(F.transform_values("columns", lambda f, c: F.struct(c["text"].alias("header"), (c["col_no"] + 1).alias("column"), F.col("cells")[c["col_no"]].alias("text"))), lambda f, v: v["text"] != "")
-    return found.select(*TABLE, "row_no", *fields, *heads, said.alias("evidence"))
+    return found.select(*TABLE, "row_no", *kept, *fields, *heads, said.alias("evidence"))
 
 
 def cell_status(c: Column, has_column: Column) -> Column:
