@@ -18,11 +18,11 @@ from lotmark.operators import intake
 #: What names of organizations end in, and what a result's cell says.
 ORGANIZATION = "(?:公司|集团|厂|店|院|所|中心|大学|学校|局|社|部)$"
 RESULT = "^(?:是|否|中标|成交|已中标|已成交|未中标|未成交|落标|不中标|不成交)$"
-#: Phrases of reasons, which no organization's name holds.
-REASONS = ("综合得分", "评审得分", "未中标", "未成交", "不通过", "未通过", "不合格", "不符合", "得分较低", "报价低于", "报价较低", "报价偏高", "响应报价", "审查结果", "未满足")
+REVIEW = "^(?:通过|合格|符合|不通过|未通过|不合格|不符合)$"
 #: What a cell of a kind costs under a column; of what isn't here, OTHER under columns without a field and WRONG under the rest. Blank cells fit all.
 COSTS = {
     ("code", "package_code"): 0, ("number", "package_code"): 1, ("number", "amount"): 1, ("amount", "amount"): 0, ("status", "result"): 0, ("name", "name"): 0,
+    ("review", "qualification"): 0, ("review", "compliance"): 0, ("review", "result"): 4, ("review", "reason"): 1,
     ("text", "name"): 1, ("text", "reason"): 0, ("reason", "reason"): 0, ("reason", "result"): 3, ("status", "reason"): 3,
 }
 OTHER, WRONG = 2, 5
@@ -34,13 +34,14 @@ _FAR = 1_000_000
 
 
 def cell_kind(text: Column) -> Column:
-    """blank, status, reason, number (three digits at most), amount, code, name or text."""
+    """blank, status, review, reason, number (three digits at most), amount, code, name or text."""
 
     def of(t: Column) -> Column:
         return (
             F.when(F.coalesce(t, F.lit("")).rlike("^[/—-]*$"), "blank")
             .when(t.rlike(RESULT), "status")
-            .when(t.rlike("|".join(REASONS)), "reason")
+            .when(t.rlike(REVIEW), "review")
+            .when(t.rlike("|".join(intake.REASONS)), "reason")
             .when(t.rlike("^[0-9]{1,3}$"), "number")
             .when(money.amount(t).isNotNull(), "amount")
             .when(t.rlike(ORGANIZATION), "name")
@@ -98,7 +99,7 @@ def participants(cells: DataFrame, widest: int = WIDEST) -> DataFrame:
     """Participant candidates as those of intake.participants(), from rows that may lack cells; a package holds for the rows below it. A row without a
     name, or with a sum's or a header's word in its place, is none. `shifted` tells rows whose cells were moved."""
     found = aligned(intake.rows(cells, intake.PARTICIPANT_HEADERS, ("name",)), widest)
-    named = intake.named(found, intake.PARTICIPANT_HEADERS, ("shifted",)).withColumn("_code", intake.carried("package_code")).where(f"name is not null and not name rlike '{intake.NO_NAME}'")
+    named = intake.named(found, intake.PARTICIPANT_HEADERS, ("shifted",)).withColumn("_code", intake.carried("package_code")).where(intake.names_participant(F.col("name")))
     price = money.amount(F.col("amount"), F.col("amount_header"))
-    how = intake.outcome(F.col("result"), F.col("reason"), price)
+    how = intake.outcome(F.col("result"), F.col("reason"), price, F.col("qualification"), F.col("compliance"))
     return named.select(*intake.TABLE, "row_no", F.col("_code").alias("package_code"), "name", how.alias("outcome"), F.when(how == "winner", price).alias("amount"), "shifted")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmark.functions import codes, money, states
-from lotmark.functions.text import compact, half_width, header_key, stems
+from lotmark.functions.text import compact, half_width, header_key, let, stems
 
 #: Headers of item tables by field, the preferred ones first.
 ITEM_HEADERS = {
@@ -32,6 +32,8 @@ PARTICIPANT_HEADERS = {
     "result": ("是否中标", "是否成交", "中标状态", "成交状态", "中标情况", "成交情况", "中标结果", "成交结果"),
     "amount": ("中标成交金额", "中标金额", "成交金额", "中标总金额", "成交总金额"),
     "reason": ("未中标原因", "未成交原因", "落标原因"),
+    "qualification": ("资格审查", "资格性审查", "资格审查结果", "资格性审查结果"),
+    "compliance": ("符合性审查", "符合性审查结果"),
 }
 #: Headers of tables of reviews and scores.
 DETAIL_HEADERS = {
@@ -44,9 +46,25 @@ DETAIL_HEADERS = {
     "score": ("综合得分", "总得分", "得分", "最终得分", "评审得分"),
     "reason": ("未通过原因", "未中标原因", "原因", "备注"),
 }
-#: What begins rows that are no items, and what names no participant.
-NO_ITEM = "^(?:合计|总计|小计|合同金额|备注|说明|注[:：]|序号|以下空白|详见)"
-NO_NAME = "^(?:合计|总计|小计|无|/|-+|—+|名称|详见.*|见附件|序号)$"
+#: Words that are a row's whole label, or stand before a colon, where it is no item; what refers to another paper.
+NO_ITEM = (
+    "中标情况", "成交情况", "评审专家名单", "序号", "包号", "合计", "总计", "小计", "备注", "说明", "注", "合同金额", "以下空白",
+    "联系人", "联系方式", "联系电话", "联系地址", "收费标准", "采购代理机构",
+)
+BEFORE_COLON = ("联系人", "联系方式", "联系电话", "联系地址", "收费标准", "采购代理机构", "注")
+REFERS = ("详见", "见", "具体见", "以")
+PAPERS = ("附件", "文件", "清单", "响应", "为准")
+#: What names no participant: whole cells, and phrases of reasons and scores.
+NO_NAME = (
+    "合计", "总计", "小计", "无", "暂无", "无供应商", "无投标人", "名称", "序号", "见附件", "联系方式", "联系人", "联系电话", "联系地址", "企业类型", "采购单位", "采购人", "采购代理机构", "代理机构",
+    "中标金额", "成交金额", "未中标原因", "备注", "说明", "投标单位名称",
+)
+REASONS = ("综合得分", "评审得分", "未中标", "未成交", "不通过", "未通过", "不合格", "不符合", "得分较低", "报价低于", "报价较低", "报价偏高", "响应报价", "审查结果", "未满足")
+#: Results that are lost or won, words for candidates, reasons that are none, failed reviews.
+LOST, WON, CANDIDATE = ("未中标", "非中标", "未成交", "未获中标", "落标"), ("中标", "成交"), "候选"
+NO, YES = ("否", "未是"), ("是", "已中标", "已成交")
+NO_REASON = ("无", "暂无", "不适用", "—")
+FAILED = ("不通过", "未通过", "不合格", "不符合")
 #: Cells that say that a value isn't published.
 UNPUBLISHED = "^(?:未公布|不公布|未公示|不公示|未披露|不披露|保密)$"
 PRICES = ("unit_price", "total_price", "amount", "bid_amount")
@@ -103,13 +121,34 @@ def carried(column: str) -> Column:
     return codes.package_code(F.last(column, ignorenulls=True).over(frame))
 
 
+def is_item(label: Column) -> Column:
+    """False for labels of sums, notes, contacts and numbered headings, for what refers to another paper, and for a header's own words."""
+    text = F.trim(half_width(label))
+    word = F.regexp_extract(text, "^([^:]*?)\\s*(?::|$)", 1)
+    heading = text.rlike("^[一二三四五六七八九十百0-9]+\\s*[、)]")
+    alone = word.isin(*NO_ITEM) & (F.contains(text, F.lit(":")) | ~word.isin(*BEFORE_COLON))
+    elsewhere = text.rlike(f"^(?:{'|'.join(REFERS)})") & text.rlike("|".join(PAPERS))
+    own = header_key(label).isin(*sorted({*ITEM_HEADERS["product_name"], *ITEM_HEADERS["category"]}))
+    return F.coalesce(~(heading | alone | elsewhere | own) & (text != ""), F.lit(False))
+
+
+def names_participant(name: Column) -> Column:
+    """False for blanks, marks, labels, headers and phrases of reasons or scores."""
+
+    def of(key: Column) -> Column:
+        label = key.isin(*NO_NAME, *PARTICIPANT_HEADERS["name"]) | key.rlike("^(?:—*|详见.*)$")
+        return ~label & ~key.rlike("|".join(REASONS))
+
+    return F.coalesce(let(header_key(name), of), F.lit(False))
+
+
 def items(cells: DataFrame) -> DataFrame:
     """Item candidates: code, names, quantity with unit, prices in yuan, and the status of each field. Rows need a name or a
-    category and one more field; sums and notes are no items."""
+    category and one more field; what is_item() refuses is none."""
     found = rows(cells, ITEM_HEADERS, ("product_name", "category"))
     found = named(found, ITEM_HEADERS)
     label = F.coalesce("product_name", "category")
-    found = found.where(label.isNotNull() & ~label.rlike(NO_ITEM))
+    found = found.where(is_item(label))
     found = found.where(" + ".join(f"int({f} is not null)" for f in ITEM_HEADERS if f != "package_code") + " >= 2")
     number, unit = money.quantity(F.col("quantity"))
     return found.select(
@@ -125,24 +164,21 @@ def field_states(cells: DataFrame) -> DataFrame:
     return found.select(*TABLE, "row_no", F.explode(F.array(*each)).alias("s")).select(*TABLE, "row_no", "s.*")
 
 
-def outcome(result: Column, reason: Column, amount: Column) -> Column:
-    """What a result cell says, else nonwinner for a stated reason of failing, else winner for a stated amount, else unknown;
-    ranks and scores decide nothing."""
-    said = compact(result)
-    return (
-        F.when(said.rlike("^(?:否|未|不|落标)"), "nonwinner")
-        .when(said.rlike("^(?:是|中标|成交|已中标|已成交)"), "winner")
-        .when(F.coalesce(F.trim(reason), F.lit("")) != "", "nonwinner")
-        .when(amount.isNotNull(), "winner")
-        .otherwise("unknown")
-    )
+def outcome(result: Column, reason: Column, amount: Column, *reviews: Column) -> Column:
+    """nonwinner for a stated reason of failing, else what a result cell says, else nonwinner for a failed review, else winner for a
+    stated amount, else unknown. A candidate for winning hasn't won; ranks and scores decide nothing."""
+    has = lambda key, words: key.rlike("|".join(words))
+    blamed = let(header_key(reason), lambda key: (key != "") & ~key.isin(*NO_REASON))
+    said = lambda key: F.when(has(key, LOST) | key.isin(*NO), "nonwinner").when(has(key, WON) & ~F.contains(key, F.lit(CANDIDATE)) | key.isin(*YES), "winner")
+    out = F.coalesce(F.when(blamed, "nonwinner"), let(header_key(result), said), *[F.when(has(header_key(r), FAILED), "nonwinner") for r in reviews])
+    return F.coalesce(out, F.when(amount.isNotNull(), "winner"), F.lit("unknown"))
 
 
 def participants(cells: DataFrame) -> DataFrame:
     """Participant candidates: code, name, outcome and, for winners, amount."""
-    found = named(rows(cells, PARTICIPANT_HEADERS, ("name",)), PARTICIPANT_HEADERS).where(f"name is not null and not name rlike '{NO_NAME}'")
+    found = named(rows(cells, PARTICIPANT_HEADERS, ("name",)), PARTICIPANT_HEADERS).where(names_participant(F.col("name")))
     price = money.amount(F.col("amount"), F.col("amount_header"))
-    how = outcome(F.col("result"), F.col("reason"), price)
+    how = outcome(F.col("result"), F.col("reason"), price, F.col("qualification"), F.col("compliance"))
     return found.select(*TABLE, "row_no", codes.package_code(F.col("package_code")).alias("package_code"), "name", how.alias("outcome"), F.when(how == "winner", price).alias("amount"))
 
 
@@ -163,7 +199,7 @@ def bidder_details(cells: DataFrame, contexts: DataFrame | None = None) -> DataF
     contexts (path, table_no, context) are the texts around tables, which may name the package and the unit. A failed
     review makes the whole review failed and gives its cell as the reason where none is stated; passed qualification
     and compliance make it passed. An amount without a unit in cell, header or context is null."""
-    found = named(rows(cells, DETAIL_HEADERS, ("name",), 2), DETAIL_HEADERS).where(f"name is not null and not name rlike '{NO_NAME}'")
+    found = named(rows(cells, DETAIL_HEADERS, ("name",), 2), DETAIL_HEADERS).where(names_participant(F.col("name")))
     if contexts is not None:
         found = found.join(contexts.select(*TABLE, "context"), list(TABLE), "left")
     else:
