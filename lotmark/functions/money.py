@@ -111,3 +111,14 @@ def equal(a: Column, b: Column, absolute: str = "0.01", relative: str = "0", who
         most = F.greatest(F.lit(absolute).cast(EXACT), (F.lit(relative).cast("decimal(10,6)") * F.greatest(F.abs(a), F.abs(b))).cast(EXACT))
         near = F.abs(a - b) <= most
     return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(near)
+
+
+def shown_quantity(c: Column) -> Column:
+    """A quantity for a sheet: a number without zeros at its end, any other text as it stands; blank is null."""
+    text = F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(canonical(text.try_cast("decimal(38,10)")), text)
+
+
+def score(c: Column) -> Column:
+    """A score with two decimals, rounded half up; null for what is no number."""
+    return F.round(F.trim(c).try_cast("decimal(38,10)"), 2).cast("decimal(38,2)")

@@ -159,3 +159,26 @@ def recommended(scores: DataFrame, key: str, option: str, *order: Column) -> Dat
     """The best option of each key by the scores in order; ties go to the smaller option."""
     w = Window.partitionBy(key).orderBy(*order, option)
     return scores.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def chosen_routes(scores: DataFrame, key: str, routes: tuple[str, ...], final: bool = True) -> DataFrame:
+    """key, status, route, tie_break: the route of each key by scores (key, route, status, field_score, record_score, exact_rate, duplicates,
+    requests), one row per key and route.
+
+    The best has the highest lesser of the two scores, then the highest mean, then the highest rate (tie_break `quality`); of equal ones the
+    fewest duplicates, then the fewest requests, then the first of `routes`. Without both scores a route comes last; null rates
+    and requests are 0, null duplicates last. `blocked` unless every route is done; `pending` unless the stage is final."""
+    both = F.col("field_score").isNotNull() & F.col("record_score").isNotNull()
+    down = lambda c: -F.when(both, c.cast("double")).otherwise(F.lit(float("-inf")))
+    quality = F.struct(down(F.least("field_score", "record_score")).alias("least"), down((F.col("field_score") + F.col("record_score")) / 2).alias("mean"), down(F.coalesce("exact_rate", F.lit(0))).alias("rate"))
+    place = F.array_position(F.array(*map(F.lit, routes)), F.col("route"))
+    duplicates = F.coalesce(F.col("duplicates").cast("long"), F.lit(2**63 - 1))
+    row = F.struct(quality.alias("quality"), duplicates.alias("duplicates"), F.coalesce(F.col("requests").cast("long"), F.lit(0)).alias("requests"), place.alias("place"), "route")
+    done = F.count_distinct(F.when(F.col("status") == "done", F.col("route"))) == len(routes)
+    # a group has no more rows than there are routes
+    per = scores.where(F.col("route").isin(*routes)).groupBy(key).agg(done.alias("_done"), F.array_sort(F.collect_set(row)).alias("_rows"))
+    first, second = F.get("_rows", F.lit(0)), F.get("_rows", F.lit(1))
+    how = F.when(second.isNull() | (first["quality"] != second["quality"]), "quality").when(first["duplicates"] != second["duplicates"], "duplicates").otherwise("requests")
+    ready = F.col("_done") & F.lit(final)
+    status = F.when(~F.lit(final), "pending").when(~F.col("_done"), "blocked").otherwise("determined")
+    return per.select(key, status.alias("status"), F.when(ready, first["route"]).alias("route"), F.when(ready, how).alias("tie_break"))
