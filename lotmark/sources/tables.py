@@ -11,6 +11,7 @@ so do later groupings that hold project_id.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,20 +19,35 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 TOTAL = "decimal(38,2)"
+#: Bytes of lineitem for a task: some 220,000 lines. Spark alone would deal 64 MB of shuffled rows to each, over ten times as many.
+PIECE = 4 << 20
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def pieces(spark: SparkSession, path: str) -> int:
+    """How many tasks a table's rows are dealt to: one for each PIECE of its files, and no fewer than there are cores."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max(spark.sparkContext.defaultParallelism, math.ceil(files.getContentSummary(place).getLength() / PIECE))
+
+
+def dealt(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """The rows by key to n tasks; without n, as Spark deals them."""
+    return df if n is None else df.repartition(n, key)
+
+
 def package_id(order: str = "l_orderkey", status: str = "l_linestatus"):
     return (2 * F.col(order) + F.when(F.col(status) == "O", 1).otherwise(0)).alias("package_id")
 
 
-def bids(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def bids(lineitem: DataFrame, orders: DataFrame, n: int | None = None) -> DataFrame:
     """project_id, buyer_id, created_at, package_id, package_code, organization_id, outcome, award_amount."""
     lines = lineitem.select("l_orderkey", "l_linestatus", "l_suppkey", "l_returnflag", F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") > 0), F.col("l_extendedprice").cast(MONEY)).alias("won"))
     heads = orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("created_at"))
+    lines, heads = dealt(lines, "l_orderkey", n), dealt(heads, "o_orderkey", n)
     joined = lines.join(heads, lines["l_orderkey"] == heads["o_orderkey"])
     flag = F.col("l_returnflag")
     outcome = F.when(F.bool_or(flag == "R"), "winner").when(F.bool_or(flag == "A"), "nonwinner").otherwise("unknown")
@@ -48,7 +64,7 @@ def bids(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def items(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
+def items(lineitem: DataFrame, orders: DataFrame, part: DataFrame, n: int | None = None) -> DataFrame:
     """One row per line: project_id, buyer_id, package_id, part_id, supplier_id, line_no, brand, product_name, category,
     model, quantity, unit_price, total_price (null where the line has no tax)."""
     heads = orders.select(F.col("o_orderkey").alias("project_id"), (2 * F.col("o_custkey")).alias("buyer_id"))
@@ -69,7 +85,7 @@ def items(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
         F.col("p_size").cast("string").alias("model"),
         F.col("p_retailprice").cast(MONEY).alias("unit_price"),
     )
-    return lines.join(heads, "project_id").join(parts, "part_id")
+    return dealt(lines, "project_id", n).join(dealt(heads, "project_id", n), "project_id").join(parts, "part_id")
 
 
 def organizations(customer: DataFrame, supplier: DataFrame) -> DataFrame:
@@ -87,13 +103,17 @@ class Model:
     def table(self, name: str) -> DataFrame:
         return read(self.spark, self.folder, name)
 
+    @cached_property
+    def pieces(self) -> int:
+        return pieces(self.spark, f"{self.folder}/lineitem.parquet")
+
     @cached_property
     def bids(self) -> DataFrame:
-        return bids(self.table("lineitem"), self.table("orders"))
+        return bids(self.table("lineitem"), self.table("orders"), self.pieces)
 
     @cached_property
     def items(self) -> DataFrame:
-        return items(self.table("lineitem"), self.table("orders"), self.table("part"))
+        return items(self.table("lineitem"), self.table("orders"), self.table("part"), self.pieces)
 
     @cached_property
     def organizations(self) -> DataFrame:
@@ -106,7 +126,8 @@ class Model:
 
     @cached_property
     def packages(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_orderkey").alias("project_id"), package_id(), F.col("l_linestatus").alias("package_code")).distinct()
+        packages = self.table("lineitem").select(F.col("l_orderkey").alias("project_id"), package_id(), F.col("l_linestatus").alias("package_code"))
+        return dealt(packages, "project_id", self.pieces).distinct()
 
 
 #: The same model for DuckDB, as the beginning of a WITH clause.
