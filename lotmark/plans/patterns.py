@@ -101,14 +101,18 @@ def supplier_triples(m):
     return cooccurrence.triples(won, 2).withColumnRenamed("support", "buyers")
 
 
+#: Elements of an array that a query writes, so that no task holds more.
+ELEMENTS = 50_000
+
+
 @query("s19_array_elements", "SELECT conv_id, turn, role, text FROM conversations")
 def array_elements(m):
-    """All turns written as one-line arrays, a file a task, and read in pieces."""
+    """All turns written as one-line arrays, a file each, and read in pieces."""
     folder = f"{shared_folder(m.spark)}/arrays-{uuid.uuid4().hex}"
     turns = m.table("conversations")
     row = F.to_json(F.struct("conv_id", "turn", "role", "text"))
-    n = 50_000  # a file's elements, so that no task holds more
-    parts = turns.select(row.alias("j"), F.monotonically_increasing_id().alias("id")).groupBy(F.spark_partition_id().alias("p"), F.expr(f"id div {n}").alias("part"))
-    parts.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value")).select("value").write.text(folder, lineSep="\n")
+    parts = turns.select(row.alias("j"), F.monotonically_increasing_id().alias("id")).groupBy(F.spark_partition_id().alias("p"), F.expr(f"id div {ELEMENTS}").alias("part"))
+    # a task may get several arrays; text behind a file's first one would be an error
+    parts.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value")).write.partitionBy("p", "part").text(folder, lineSep="\n")
     found = arrays.elements(m.spark, folder)
     return found.select(F.from_json("json", turns.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).alias("r")).select("r.*")
