@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lotmark import registry
+from lotmark.operators import snapshots
 from lotmark.plans import patterns
 
 
 def test_a_task_that_writes_several_arrays(same_as_sql, monkeypatch):
     monkeypatch.setattr(patterns, "ELEMENTS", 20)
     assert same_as_sql(registry.QUERIES["s19_array_elements"], registry.ORACLE["s19_array_elements"]) > 20
+
+
+def test_differences_store_nothing_and_shuffle_texts_only(spark, small, tmp_path, monkeypatch):
+    """Leaves that are stored or shuffled outgrow a disk: some thirty times the bytes of their lines."""
+    monkeypatch.setattr(snapshots, "checkpoint", None, raising=False)
+    rows = [(1, '{"a": {"b": {"c": {"d": {"e": [1, {"f": 2}]}}}}, "x_json": "{\\"k\\": [[[1]]]}"}', '{"a": {"b": {"c": {"d": {"e": [1, {"f": 3}]}}}}, "x_json": "{\\"k\\": [[[1.0, 2]]]}"}'), (None, "1", "1")]
+    both = spark.createDataFrame(rows, "id long, old string, new string")
+    sides = (both.select("id", F.col(c).alias("j")) for c in ("old", "new"))
+    found = snapshots.differences(*sides, ["id"], "j", 3)
+    assert sorted(found.collect(), key=str) == [(1, "$.a.b.c.d.e[1].f", "changed", "2", "3"), (1, "$.x_json.k[0][0][1]", "added", None, "2"), (None, "$", "added", None, "1"), (None, "$", "removed", "1", None)]
+    assert found.select("path").distinct()._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
