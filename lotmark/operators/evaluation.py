@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotmark.functions.states import warning_category
-from lotmark.operators.linking import checkpoint, components, solved
+from lotmark.operators.linking import components, solved, stored
 
 
 def counts(df: DataFrame, keys: list[str], gold: Column, predicted: Column) -> DataFrame:
@@ -71,48 +73,116 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0 and w[owner[j], j] > 0)
 
 
+#: Rows of a scope that a task takes at once; the components of larger scopes are found by joins.
+SCOPE_ROWS = 10_000
+
+
+def _linked(rows: list[tuple]) -> list[list[int]]:
+    """Components of rows (side, no, cells), as places in their order: rows of which both sides have a value are linked by it."""
+    by_value: dict[tuple, tuple[list[int], list[int]]] = {}
+    for i, (side, _, cells) in enumerate(rows):
+        for pair in enumerate(cells):
+            if pair[1] is not None:
+                by_value.setdefault(pair, ([], []))[side].append(i)
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for left, right in by_value.values():
+        if left and right:
+            for i in (*left, *right):
+                parent[root(i)] = root(left[0])
+    out: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        out.setdefault(root(i), []).append(i)
+    return [part for part in out.values() if len(part) > 1]
+
+
+def _paired(rows: list[tuple]) -> list[tuple[int, int, int]]:
+    """(gold_no, predicted_no, weight) of rows (side, no, cells), which lie in order."""
+    g, p = ([(no, cells) for side, no, cells in rows if side == n] for n in (0, 1))
+    weight = lambda x, y: sum(v is not None and v == w for v, w in zip(x, y, strict=True))
+    if len(g) == len(p) == 1:
+        w = weight(g[0][1], p[0][1])
+        return [(g[0][0], p[0][0], w)] if w else []
+    if len(rows) < 20:
+        weights = np.array([[weight(x, y) for _, y in p] for _, x in g], dtype=int).reshape(len(g), len(p))
+    else:
+        weights = np.zeros((len(g), len(p)), dtype=int)
+        for x, y in zip(zip(*(c for _, c in g), strict=True), zip(*(c for _, c in p), strict=True), strict=True):
+            x, y = np.array(x, dtype=object), np.array(y, dtype=object)
+            weights += (x[:, None] == y[None, :]) & np.array([v is not None for v in x])[:, None]
+    return [(g[i][0], p[j][0], int(weights[i, j])) for i, j in assignment(weights)]
+
+
 def align(gold: DataFrame, predicted: DataFrame, scope: str, fields: list[str]) -> DataFrame:
     """scope, gold_no, predicted_no, weight: one-to-one pairs that share the most equal fields in each scope.
 
-    Both sides have scope, `no` and the fields; null equals nothing. Equal rows are paired first, by joins: as the weight is a number of
-    equal fields, some best alignment has these pairs. What is left of a scope, the rows that differ, is split into
+    Both sides have scope, `no` and the fields; null equals nothing. Equal rows are paired first, in one shuffle of both sides: as the
+    weight is a number of equal fields, some best alignment has these pairs. What is left of a scope, the rows that differ, is split into
     components: rows of both sides that equal values of a field link, directly or through others. No pair
-    across components has a weight, so each is one Python call of its own.
+    across components has a weight, so each is solved alone. A task finds the components of a scope with at most SCOPE_ROWS rows left;
+    those of larger ones are found by joins, and each is one Python call of its own.
     """
-    filled = sum((F.col(f"g.{f}").isNotNull().cast("int") for f in fields), F.lit(0))
-    nth = Window.partitionBy(scope, *fields).orderBy("no")
-    a, b = (df.select(scope, "no", *fields).withColumn("_nth", F.row_number().over(nth)) for df in (gold, predicted))
-    same = [F.col(f"g.{f}").eqNullSafe(F.col(f"p.{f}")) for f in [scope, "_nth", *fields]]
-    joined = same[0]
-    for one in same[1:]:
-        joined = joined & one
-    exact = a.alias("g").join(b.alias("p"), joined).select(F.col(f"g.{scope}").alias(scope), F.col("g.no").alias("gold_no"), F.col("p.no").alias("predicted_no"), filled.cast("long").alias("weight")).where("weight > 0")
-    cells = F.array(*[F.col(f).cast("string") for f in fields]).alias("cells")
-    left_g = gold.join(exact.select(scope, F.col("gold_no").alias("no")), [scope, "no"], "left_anti").select(scope, "no", cells)
-    left_p = predicted.join(exact.select(scope, F.col("predicted_no").alias("no")), [scope, "no"], "left_anti").select(scope, "no", cells)
-    # both sides as nodes; a value that both sides have links its rows to the smallest of them
-    nodes = left_g.withColumn("side", F.lit(0)).unionByName(left_p.withColumn("side", F.lit(1))).withColumn("node", F.xxhash64("side", scope, "no"))
-    nodes = checkpoint(nodes)
+    sided = lambda df, n: df.select(scope, F.col("no").cast("long").alias("no"), *fields, F.lit(n).alias("side"))
+    rows = sided(gold, 0).unionByName(sided(predicted, 1)).repartition(scope, *fields)
+    nth = F.row_number().over(Window.partitionBy(scope, *fields, "side").orderBy("no"))
+    filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)).cast("long")
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("no")))
+    met = rows.withColumn("_nth", nth).groupBy(scope, *fields, "_nth").agg(of(0).alias("gold_no"), of(1).alias("predicted_no"))
+    met = met.select(scope, "gold_no", "predicted_no", filled.alias("weight"), F.array(*[F.col(f).cast("string") for f in fields]).alias("cells"))
+    # a null scope pairs equal rows, and links no others
+    met = stored(met.where("weight > 0"))
+    exact = met.where("gold_no is not null and predicted_no is not null").select(scope, "gold_no", "predicted_no", "weight")
+    left = met.where("gold_no is null or predicted_no is null").select(scope, F.when(F.col("gold_no").isNull(), 1).otherwise(0).alias("side"), F.coalesce("gold_no", "predicted_no").alias("no"), "cells").where(F.col(scope).isNotNull())
+    kind = dict(gold.dtypes)[scope]
+    schema = f"{scope} {kind}, gold_no long, predicted_no long, weight long"
+
+    def solve(key: tuple, group: pd.DataFrame) -> list[tuple]:
+        return [(key[0], *pair) for pair in _paired(list(zip(group["side"], group["no"], group["cells"], strict=True)))]
+
+    large = stored(left.groupBy(scope).count().where(F.col("count") > SCOPE_ROWS).select(scope))
+    if large.isEmpty():
+        return exact.unionByName(_solved_scopes(left, scope, schema))
+    small = left.join(large, scope, "left_anti")
+    nodes = stored(left.join(large, scope, "left_semi").withColumn("node", F.monotonically_increasing_id()))
+    # a value that both sides have links its rows to the smallest of them
     values = nodes.select("node", "side", scope, F.posexplode("cells").alias("field", "value")).where("value is not null")
     hubs = values.groupBy(scope, "field", "value").agg(F.min("node").alias("hub"), F.min("side").alias("first"), F.max("side").alias("last")).where("first < last")
-    met = values.alias("v").join(hubs.alias("h"), F.col(f"v.{scope}").eqNullSafe(F.col(f"h.{scope}")) & F.expr("v.field = h.field and v.value = h.value"))
-    edges = checkpoint(met.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    edges = stored(values.join(hubs, [scope, "field", "value"]).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     linked = components(edges)
     linked = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
-    parts = checkpoint(nodes.join(linked, "node"))
-    def solve(key: tuple, group: pd.DataFrame) -> list[tuple]:
-        g, p = (group[group["side"] == n] for n in (0, 1))
-        if not len(g) or not len(p):
-            return []
-        weights = np.zeros((len(g), len(p)), dtype=int)
-        for x, y in zip(zip(*g["cells"], strict=True), zip(*p["cells"], strict=True), strict=True):
-            x, y = np.array(x, dtype=object), np.array(y, dtype=object)
-            weights += (x[:, None] == y[None, :]) & np.array([v is not None for v in x])[:, None]
-        return [(key[0], g["no"].iloc[i], p["no"].iloc[j], weights[i, j]) for i, j in assignment(weights)]
-
-    kind = dict(gold.dtypes)[scope]
-    rest = solved(parts.select(scope, "component", "side", "no", "cells"), [scope, "component"], ["side", "no"], solve, f"{scope} {kind}, gold_no long, predicted_no long, weight long")
-    return exact.unionByName(rest)
+    parts = stored(nodes.join(linked, "node"))
+    rest = solved(parts.select(scope, "component", "side", "no", "cells"), [scope, "component"], ["side", "no"], solve, schema)
+    return exact.unionByName(_solved_scopes(small, scope, schema)).unionByName(rest)
+
+
+def _solved_scopes(left: DataFrame, scope: str, schema: str) -> DataFrame:
+    """The pairs of scopes that a task can hold, one scope behind the other in sorted partitions."""
+    dealt = left.repartition(scope).sortWithinPartitions(scope, "side", "no")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [part.split()[0] for part in schema.split(", ")]
+        last, held = None, []
+
+        def pairs() -> list[tuple]:
+            return [(last, *pair) for part in _linked(held) for pair in _paired([held[i] for i in part])]
+
+        for frame in frames:
+            out = []
+            for key, side, no, cells in zip(frame[scope], frame["side"], frame["no"], frame["cells"], strict=True):
+                if held and key != last:
+                    out += pairs()
+                    held = []
+                last = key
+                held.append((side, no, tuple(cells)))
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(pairs(), columns=names)
+
+    return dealt.mapInPandas(run, schema)
 
 
 def duplicates(df: DataFrame, keys: list[str], fingerprint: Column) -> DataFrame:

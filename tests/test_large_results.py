@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from lotmark import registry
-from lotmark.operators import snapshots
+from lotmark.operators import evaluation, snapshots
 from lotmark.plans import patterns
 
 
@@ -23,3 +22,17 @@ def test_differences_store_nothing_and_shuffle_texts_only(spark, small, tmp_path
     found = snapshots.differences(*sides, ["id"], "j", 3)
     assert sorted(found.collect(), key=str) == [(1, "$.a.b.c.d.e[1].f", "changed", "2", "3"), (1, "$.x_json.k[0][0][1]", "added", None, "2"), (None, "$", "added", None, "1"), (None, "$", "removed", "1", None)]
     assert found.select("path").distinct()._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_scopes_of_any_size_are_aligned_alike(spark, monkeypatch):
+    """Scopes that a task can hold need no rounds of joins over all rows, and those beyond give the same weights."""
+    rows = [(s, n, (n * 7 + s) % 4, (n * 5 + s) % 3 if n % 5 else None) for s in range(4) for n in range(5 + 6 * s)]
+    gold = spark.createDataFrame(rows, "scope long, no long, a long, b long")
+    predicted = spark.createDataFrame([(s, n, (a + n % 2) % 4, b) for s, n, a, b in rows], gold.schema)
+    rounds = []
+    monkeypatch.setattr(evaluation, "components", lambda edges, run=evaluation.components: rounds.append(1) or run(edges))
+    per = lambda df: sorted(df.groupBy("scope").agg({"weight": "sum", "*": "count"}).collect())
+    whole = per(evaluation.align(gold, predicted, "scope", ["a", "b"]))
+    assert not rounds
+    monkeypatch.setattr(evaluation, "SCOPE_ROWS", 3)
+    assert [r["sum(weight)"] for r in per(evaluation.align(gold, predicted, "scope", ["a", "b"]))] == [r["sum(weight)"] for r in whole] and rounds
