@@ -86,6 +86,51 @@ def solved(rows: DataFrame, keys: list[str], order: list[str], solve: Callable[[
     return dealt.mapInPandas(run, schema)
 
 
+#: Edges of a scope that a task takes at once.
+SCOPE_EDGES = 50_000
+
+
+def components_within(edges: DataFrame, scope: str) -> DataFrame:
+    """components() of edges (scope, a, b) that stay within their scope. A task takes the edges of a scope at once if they are SCOPE_EDGES
+    at most, so only the edges of larger scopes need rounds of joins. The edges should be stored."""
+    edges = edges.where("a <> b").select(scope, "a", "b")
+    large = stored(edges.groupBy(scope).count().where(F.col("count") > SCOPE_EDGES).select(scope))
+    some = not large.isEmpty()
+    dealt = edges.join(large, scope, "left_anti") if some else edges
+    dealt = dealt.repartition(scope).sortWithinPartitions(scope)
+
+    def found(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return [(i, root(i)) for i in list(parent) if root(i) != i]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
+        last, held = None, []
+        for frame in frames:
+            out = []
+            for key, a, b in zip(frame[scope], frame["a"], frame["b"], strict=True):
+                if held and key != last:
+                    out += found(held)
+                    held = []
+                last = key
+                held.append((a, b))
+            yield pd.DataFrame(out, columns=["node", "component"])
+        yield pd.DataFrame(found(held), columns=["node", "component"])
+
+    out = dealt.mapInPandas(run, "node long, component long")
+    return out.unionByName(components(edges.join(large, scope, "left_semi"))) if some else out
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component) for every node but the smallest of each.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotmark.operators import reconciliation
 from lotmark.plans.base import query
+from lotmark.sources.tables import dealt
 
 #: Every order has three documents: a page, a quote that the page of an even customer's order names, and a list; the last two carry the
 #: order's number if the customer is divisible by three. What a row quotes, and whether it knows its package, follows from its line.
@@ -52,8 +53,8 @@ def _documents(m):
 
 
 def _items(m):
-    line = m.table("lineitem")
-    docs = _documents(m).select("notice_id", F.col("path").alias("source_file"), "k", "project_name", "equates")
+    line = dealt(m.table("lineitem"), "l_orderkey", m.pieces)
+    docs = dealt(_documents(m).select("notice_id", F.col("path").alias("source_file"), "k", "project_name", "equates"), "notice_id", m.pieces)
     k, part, supp = F.col("k"), F.col("l_partkey"), F.col("l_suppkey")
     code = F.when((supp + k) % 4 == 0, "default").when(F.col("l_linestatus") == "F", "1").otherwise("2")
     some = docs.join(line, F.col("notice_id") == F.col("l_orderkey")).where((k == 0) | (F.col("l_linenumber") % 2 == k % 2) | (supp % 2 == 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from lotmark import registry
-from lotmark.operators import evaluation, snapshots
+from lotmark.operators import evaluation, linking, snapshots
 from lotmark.plans import patterns
 
 
@@ -36,3 +36,14 @@ def test_scopes_of_any_size_are_aligned_alike(spark, monkeypatch):
     assert not rounds
     monkeypatch.setattr(evaluation, "SCOPE_ROWS", 3)
     assert [r["sum(weight)"] for r in per(evaluation.align(gold, predicted, "scope", ["a", "b"]))] == [r["sum(weight)"] for r in whole] and rounds
+
+
+def test_components_within_scopes_of_any_size(spark, monkeypatch):
+    """Edges of small scopes need no rounds of joins; larger ones have the same components."""
+    edges = spark.createDataFrame([(s, 100 * s + n, 100 * s + n + step) for s in range(4) for n in range(3 + 5 * s) for step in (2, 4)], "s long, a long, b long")
+    rounds = []
+    monkeypatch.setattr(linking, "components", lambda some, run=linking.components: rounds.append(1) or run(some))
+    expected = {(100 * s + n, 100 * s + n % 2) for s in range(4) for n in range(2, 3 + 5 * s + 4) if n < 3 + 5 * s + 2 or (n - 4) < 3 + 5 * s}
+    assert {tuple(r) for r in linking.components_within(edges, "s").collect()} == expected and not rounds
+    monkeypatch.setattr(linking, "SCOPE_EDGES", 12)
+    assert {tuple(r) for r in linking.components_within(edges, "s").collect()} == expected and rounds
