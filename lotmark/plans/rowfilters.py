@@ -58,6 +58,8 @@ FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN CAST(s_acctbal AS DECIMAL(1
 def crossed_outcomes(m):
     """Every result with every reason, every review, and an amount or none."""
     rows = m.table("supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast("decimal(18,2)")).alias("amount"))
+    # a row becomes thousands, so that few bytes of rows are work for every core
+    rows = rows.repartition(m.spark.sparkContext.defaultParallelism, "s_suppkey")
     for name, cases in (("result", RESULTS), ("reason", REASONS), ("review", REVIEWS)):
         rows = crossed(rows, cases).withColumn(name, F.col("case.c0")).drop("case")
     how = intake.outcome(F.col("result"), F.col("reason"), F.col("amount"), F.lit(None).cast("string"), F.col("review"))

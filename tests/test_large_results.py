@@ -47,3 +47,8 @@ def test_components_within_scopes_of_any_size(spark, monkeypatch):
     assert {tuple(r) for r in linking.components_within(edges, "s").collect()} == expected and not rounds
     monkeypatch.setattr(linking, "SCOPE_EDGES", 12)
     assert {tuple(r) for r in linking.components_within(edges, "s").collect()} == expected and rounds
+
+
+def test_crossed_outcomes_are_work_for_every_core(spark, small):
+    """A small file of suppliers is one task, and each row becomes thousands."""
+    assert registry.QUERIES["p24_crossed_outcomes"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
