@@ -59,15 +59,14 @@ def buyer_network(bids: DataFrame, include_winners: bool = True) -> DataFrame:
 
 
 def envelope(bids: DataFrame, include_winners: bool = True) -> DataFrame:
-    """All clues in one frame: kind, clue_id, projects, packages."""
-    pair = common_bidding(bids, include_winners)
-    again = pair.where("projects >= 2").withColumn("clue_id", F.replace("clue_id", F.lit("common-bidding"), F.lit("repeat-cooperation")))
-    parts = [pair, again]
-    parts += [f(bids, include_winners).withColumnsRenamed({"participation_projects": "projects", "participation_packages": "packages"}) for f in (supplier_distribution, buyer_network)]
-    out = None
-    for kind, part in zip(KINDS, parts, strict=True):
-        part = part.select(F.lit(kind).alias("kind"), "clue_id", "projects", "packages")
-        out = part if out is None else out.unionByName(part)
+    """All clues in one frame: kind, clue_id, projects, packages. Pairs are found once for both of their kinds."""
+    pair = common_bidding(bids, include_winners).drop("clue_id")
+    kinds = F.when(F.col("projects") >= 2, F.array(*map(F.lit, KINDS[:2]))).otherwise(F.array(F.lit(KINDS[0])))
+    both = pair.withColumn("kind", F.explode(kinds)).withColumn("clue_id", F.concat(F.replace("kind", F.lit("_"), F.lit("-")), F.lit(":"), "left_id", F.lit("-"), "right_id"))
+    out = both.select("kind", "clue_id", "projects", "packages")
+    for kind, found in zip(KINDS[2:], (supplier_distribution, buyer_network), strict=True):
+        part = found(bids, include_winners).withColumnsRenamed({"participation_projects": "projects", "participation_packages": "packages"})
+        out = out.unionByName(part.select(F.lit(kind).alias("kind"), "clue_id", "projects", "packages"))
     return out
 
 

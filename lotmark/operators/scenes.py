@@ -81,8 +81,11 @@ def buyer_bidders(bids: DataFrame, organizations: DataFrame, k: int = 5, include
 def pairs(bids: DataFrame, include_winners: bool = True) -> DataFrame:
     """Organizations that bid for the same package: left_id < right_id, with the package's columns."""
     b = selected(bids, include_winners).select("project_id", "package_id", "buyer_id", "created_at", "organization_id")
-    other = b.select("package_id", F.col("organization_id").alias("right_id"))
-    return b.withColumnRenamed("organization_id", "left_id").join(other, "package_id").where("left_id < right_id")
+    other = b.select(F.col("project_id").alias("_project"), F.col("package_id").alias("_package"), F.col("organization_id").alias("right_id"))
+    # as two bounds, the package is no key of the join, and bids meet where they lie, by project
+    same = (F.col("package_id") <= F.col("_package")) & (F.col("package_id") >= F.col("_package"))
+    met = b.withColumnRenamed("organization_id", "left_id").join(other, (F.col("project_id") == F.col("_project")) & same & (F.col("left_id") < F.col("right_id")))
+    return met.drop("_project", "_package")
 
 
 def buyer_pairs(bids: DataFrame, organizations: DataFrame, k: int = 10, include_winners: bool = True) -> DataFrame:
