@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,13 +128,38 @@ def members(bids: DataFrame, include_winners: bool = True) -> DataFrame:
     return sides.unionByName(own).unionByName(edge)
 
 
-def evidence(found: DataFrame) -> DataFrame:
+#: A day's place in an order by date and id is this many times its number; ids are smaller. Undated rows come last.
+DAY, UNDATED = Decimal(10**20), 2**31 - 1
+
+
+def _spans(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, projects, packages, first_at, first_project, last_at, last_project of rows of packages, by project first. Dates and
+    ids are compared as one number: least structs would have the rows sorted."""
+    per = rows.groupBy("project_id", *keys).agg(F.min("created_at").alias("at"), F.count_distinct("package_id").alias("n"))
+    per = per.withColumn("day", F.coalesce(F.unix_date("at"), F.lit(UNDATED)))
+    place = lambda day: F.col(day).cast("decimal(10,0)") * F.lit(DAY)
+    per = per.withColumn("place", place("day") + F.col("project_id").cast("decimal(20,0)"))
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("first", F.min), ("last", F.max)) for c in ("at", "day", "place")]
+    out = per.groupBy(*keys).agg(F.count("*").alias("projects"), F.sum("n").alias("packages"), *ends)
+    project = lambda end: (F.col(f"{end}_place") - place(f"{end}_day")).cast("long").alias(f"{end}_project")
+    return out.select(*keys, "projects", "packages", "first_at", project("first"), "last_at", project("last"))
+
+
+def evidence(bids: DataFrame, include_winners: bool = True) -> DataFrame:
     """Per clue of members(): its entities, first and last date, how many projects and packages, and the first project of each
-    end, by date and id. Counted in two steps, by project, then over projects."""
-    per = found.groupBy("kind", "clue_id", "project_id").agg(F.min("created_at").alias("at"), F.count_distinct("package_id").alias("packages"), F.collect_set("organization_id").alias("entities"))
-    at = F.struct("at", "project_id")
-    out = per.groupBy("kind", "clue_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("entities")))).alias("entities"), F.count("*").alias("projects"), F.sum("packages").alias("packages"), F.min(at).alias("a"), F.max(at).alias("b"))
-    return out.select("kind", "clue_id", "entities", "projects", "packages", F.col("a.at").alias("first_at"), F.col("a.project_id").alias("first_project"), F.col("b.at").alias("last_at"), F.col("b.project_id").alias("last_project"))
+    end, by date and id. Clues are counted by their ids, a kind at a time, and named after that."""
+    b = selected(bids, include_winners)
+    kinds = (
+        ("common_bidding", pairs(bids, include_winners), ["left_id", "right_id"], ["left_id", "right_id"]),
+        ("supplier_distribution", b, ["organization_id"], ["organization_id"]),
+        ("buyer_network", b.where("buyer_id is not null"), ["buyer_id", "organization_id"], ["organization_id"]),
+    )
+    out = None
+    for kind, rows, keys, entities in kinds:
+        clue_id = F.concat(F.lit(kind.replace("_", "-") + ":"), F.concat_ws("-", *keys)).alias("clue_id")
+        part = _spans(rows, *keys).select(F.lit(kind).alias("kind"), clue_id, F.array(*entities).alias("entities"), "projects", "packages", "first_at", "first_project", "last_at", "last_project")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def warning_categories(found: DataFrame, notices: DataFrame, records: DataFrame) -> DataFrame:

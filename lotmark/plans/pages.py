@@ -231,7 +231,7 @@ CLUE_ROWS = f"""{M}, b AS (SELECT * FROM bids), p AS ({PAIRS}), mem AS (
   strftime(min(created_at), '%Y-%m-%d') AS first_at, min((created_at, project_id))[2] AS first_project, strftime(max(created_at), '%Y-%m-%d') AS last_at, max((created_at, project_id))[2] AS last_project FROM mem GROUP BY ALL""",
 )
 def clue_evidence(m):
-    out = clues.evidence(clues.members(m.bids))
+    out = clues.evidence(m.bids)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return out.withColumns({"entities": F.array_join("entities", ","), "first_at": day("first_at"), "last_at": day("last_at")})
 

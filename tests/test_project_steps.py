@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+
+from pyspark.sql import functions as F
+
 from lotmark.operators import clues, scenes
 from lotmark.sources.tables import Model
 
@@ -17,3 +21,28 @@ def test_pairs_meet_where_bids_lie(spark, small):
     assert set(shuffled_by(scenes.pairs(m.bids))) <= {"l_orderkey", "o_orderkey"}
     per = clues.envelope(m.bids).groupBy("kind").count()
     assert not [key for key in shuffled_by(per) if key in ("package_id", "project_id")]
+
+
+def test_evidence_of_pairs_is_counted_by_ids(spark, small):
+    """Names of clues in a shuffle take several times the room of their ids."""
+    assert "clue_id" not in shuffled_by(clues.evidence(Model(spark, small).bids))
+
+
+def test_evidence_against_a_plain_count(spark):
+    day = lambda n: None if n is None else datetime.date(2020, 1, n)
+    rows = [(p, 2 * p + k, None if p == 4 else 2, day({1: 5, 2: 3, 3: None, 4: 3, 5: 5}[p]), o) for p in range(1, 6) for k in (0, 1) for o in (1, 3, 5) if (p + k + o) % 4]
+    bids = spark.createDataFrame(rows, "project_id long, package_id long, buyer_id long, created_at date, organization_id long").withColumn("outcome", F.lit("winner"))
+    of: dict = {}
+    for p, package, buyer, at, o in rows:
+        of.setdefault(("supplier_distribution", f"supplier-distribution:{o}", (o,)), set()).add((at is None, at, p, package))
+        if buyer:
+            of.setdefault(("buyer_network", f"buyer-network:{buyer}-{o}", (o,)), set()).add((at is None, at, p, package))
+        for q, other, _, _, x in rows:
+            if other == package and o < x:
+                of.setdefault(("common_bidding", f"common-bidding:{o}-{x}", (o, x)), set()).add((at is None, at, p, package))
+    expected = set()
+    for (kind, clue, entities), met in of.items():
+        key = lambda r: (r[0], r[1] or day(1), r[2])
+        dates = [r[1] for r in met if r[1]]
+        expected.add((kind, clue, entities, len({r[2] for r in met}), len({r[3] for r in met}), min(dates, default=None), min(met, key=key)[2], max(dates, default=None), max(met, key=key)[2]))
+    assert {(*r[:2], tuple(r[2]), *r[3:]) for r in clues.evidence(bids).collect()} == expected
