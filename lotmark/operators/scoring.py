@@ -81,14 +81,24 @@ def records(found: DataFrame, scope: str, how: Policy = Policy()) -> DataFrame:
 def roles(gold: DataFrame, predicted: DataFrame, scope: str) -> DataFrame:
     """role, tp, fp, fn of named entities (scope, role, key) as multisets: of a key that one side has g and the other p times,
     the smaller number matches."""
-    per = lambda df, n: df.groupBy(scope, "role", "key").agg(F.count("*").alias(n))
-    both = per(gold, "g").join(per(predicted, "p"), [scope, "role", "key"], "full").fillna(0, ["g", "p"])
-    return both.groupBy("role").agg(F.sum(F.least("g", "p")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"))
+    sides = [df.select(scope, "role", "key", F.lit(g).alias("gold")) for df, g in ((gold, True), (predicted, False))]
+    return role_counts(sides[0].unionByName(sides[1]), [scope])
+
+
+def role_counts(entities: DataFrame, scope: list[str]) -> DataFrame:
+    """The same of both sides' entities in one frame, `gold` telling them apart: they are counted together, no side is sorted to meet
+    the other. Of a null scope or key none match."""
+    both = entities.groupBy(*scope, "role", "key").agg(F.count_if(F.col("gold")).alias("g"), F.count_if(~F.col("gold")).alias("p"))
+    known = F.col("key").isNotNull() & F.col("role").isNotNull()
+    for c in scope:
+        known = known & F.col(c).isNotNull()
+    hit = F.when(known, F.least("g", "p")).otherwise(F.lit(0))
+    return both.groupBy("role").agg(F.sum(hit).alias("tp"), F.sum(F.col("p") - hit).alias("fp"), F.sum(F.col("g") - hit).alias("fn"))
 
 
 def entity_roles(packages: DataFrame) -> DataFrame:
-    """(scope, role, key) from entities (scope, kind, key, outcome), kind being buyer, winner or bidder: bidders are counted as
-    such, with their outcome, and those that lost once more."""
+    """(role, key and the other columns) from entities (scope, kind, key, outcome), kind being buyer, winner or bidder: bidders are
+    counted as such, with their outcome, and those that lost once more."""
     kind, key = F.col("kind"), F.col("key")
     role = lambda name, k: F.struct(F.lit(name).alias("role"), k.alias("key"))
     each = (
@@ -97,7 +107,8 @@ def entity_roles(packages: DataFrame) -> DataFrame:
         .when(F.col("outcome") == "nonwinner", F.array(role("bidders", key), role("bidder_outcomes", F.concat_ws(":", key, "outcome")), role("nonwinners", key)))
         .otherwise(F.array(role("bidders", key), role("bidder_outcomes", F.concat_ws(":", key, "outcome"))))
     )
-    return packages.select("scope", F.explode(each).alias("r")).select("scope", "r.*")
+    others = [c for c in packages.columns if c not in ("kind", "key", "outcome")]
+    return packages.select(*others, F.explode(each).alias("r")).select(*others, "r.*")
 
 
 def winner_amounts(gold: DataFrame, predicted: DataFrame, how: Policy = Policy()) -> DataFrame:  # noqa: B008

@@ -79,17 +79,17 @@ ENTITIES = f"""{M}, gold AS (
 def roles(m):
     """Predictions take unknown outcomes for lost ones, miss winners without an amount, and name half of the buyers wrongly."""
 
-    def packages(bids, buyer, wins):
-        scope, key = F.col("package_id").alias("scope"), F.col("organization_id").cast("string").alias("key")
-        none = F.lit(None).cast("string").alias("outcome")
-        rows = bids.select(scope, F.lit("buyer").alias("kind"), buyer.cast("string").alias("key"), none).distinct()
-        rows = rows.unionByName(bids.where(wins).select(scope, F.lit("winner").alias("kind"), key, none))
-        return rows.unionByName(bids.select(scope, F.lit("bidder").alias("kind"), key, "outcome"))
-
-    gold = packages(m.bids, F.col("buyer_id"), F.col("outcome") == "winner")
-    other = m.bids.withColumn("won", F.col("outcome") == "winner").withColumn("outcome", F.expr("if(outcome = 'unknown', 'nonwinner', outcome)"))
-    predicted = packages(other, F.col("buyer_id") + F.col("buyer_id") % 4, F.col("won") & F.col("award_amount").isNotNull())
-    return scoring.roles(scoring.entity_roles(gold), scoring.entity_roles(predicted), "scope")
+    buyers = {True: F.col("buyer_id"), False: F.col("buyer_id") + F.col("buyer_id") % 4}
+    wins = {True: F.col("outcome") == "winner", False: (F.col("outcome") == "winner") & F.col("award_amount").isNotNull()}
+    outcomes = {True: F.col("outcome"), False: F.expr("if(outcome = 'unknown', 'nonwinner', outcome)")}
+    none, key = F.lit(None).cast("string"), F.col("organization_id").cast("string")
+    entity = lambda gold, kind, key, outcome: F.struct(F.lit(gold).alias("gold"), F.lit(kind).alias("kind"), key.alias("key"), outcome.alias("outcome"))
+    scope = ["project_id", F.col("package_id").alias("scope")]  # with the project, everything runs where its bids lie
+    each = F.array_compact(F.concat(*[F.array(F.when(wins[g], entity(g, "winner", key, none)), entity(g, "bidder", key, outcomes[g])) for g in buyers]))
+    rows = m.bids.select(*scope, F.explode(each).alias("e")).select("project_id", "scope", "e.*")
+    named = m.bids.select(*scope, F.explode(F.array(*[F.struct(F.lit(g).alias("gold"), buyer.cast("string").alias("key")) for g, buyer in buyers.items()])).alias("e"))
+    named = named.select("project_id", "scope", "e.*").distinct().select("project_id", "scope", "gold", F.lit("buyer").alias("kind"), "key", none.alias("outcome"))
+    return scoring.role_counts(scoring.entity_roles(rows.unionByName(named)), ["project_id", "scope"])
 
 
 AMOUNTS = f"""{M}, g AS (SELECT package_id AS scope, organization_id % 10 AS key, organization_id AS no, award_amount AS amount FROM awards), p AS (SELECT scope, key, no, CASE WHEN no % 3 = 0 THEN amount + 1 WHEN no % 7 <> 0 THEN amount END AS amount FROM g WHERE no % 5 <> 0),

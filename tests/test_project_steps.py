@@ -6,7 +6,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from lotmark.operators import clues, scenes
+from lotmark import registry
+from lotmark.operators import clues, scenes, scoring
 from lotmark.sources.tables import Model
 
 
@@ -46,3 +47,14 @@ def test_evidence_against_a_plain_count(spark):
         dates = [r[1] for r in met if r[1]]
         expected.add((kind, clue, entities, len({r[2] for r in met}), len({r[3] for r in met}), min(dates, default=None), min(met, key=key)[2], max(dates, default=None), max(met, key=key)[2]))
     assert {(*r[:2], tuple(r[2]), *r[3:]) for r in clues.evidence(bids).collect()} == expected
+
+
+def test_roles_are_counted_where_bids_lie(spark, small):
+    assert set(shuffled_by(registry.QUERIES["a26_roles"](spark, small))) <= {"l_orderkey", "o_orderkey", "role"}
+
+
+def test_roles_without_scope_or_key_match_nothing(spark):
+    schema = "scope long, role string, key string"
+    gold = spark.createDataFrame([(1, "r", "a"), (1, "r", "a"), (1, "r", None), (None, "r", "a"), (2, "q", "b")], schema)
+    predicted = spark.createDataFrame([(1, "r", "a"), (1, "r", None), (1, "r", None), (None, "r", "a"), (2, "q", "b"), (2, "q", "b")], schema)
+    assert sorted(map(tuple, scoring.roles(gold, predicted, "scope").collect())) == [("q", 1, 1, 0), ("r", 1, 3, 3)]
