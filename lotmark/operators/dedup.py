@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from lotmark.functions.codes import DEFAULT
 from lotmark.functions.text import compact, half_width
-from lotmark.operators.linking import checkpoint, components, ranked, solved
+from lotmark.operators.linking import checkpoint, components, components_within, solved, stored
 
 #: Fields that are compared, those that a model reads better, and those that tables state exactly.
 FIELDS = ("category", "brand", "model", "quantity", "quantity_unit", "unit_price", "total_price")
@@ -23,31 +23,32 @@ def plain(c: Column) -> Column:
     return F.nullif(F.lower(compact(half_width(c.cast("string")))), F.lit(""))
 
 
+def _keyed(items: DataFrame) -> DataFrame:
+    """notice_id, no, source_file and what rows are compared by: name, package and FIELDS."""
+    fields = [(plain(F.col(f)) if f not in NUMERIC else F.col(f)).alias(f) for f in FIELDS]
+    return items.select("notice_id", "no", "source_file", F.coalesce("package_code", F.lit(DEFAULT)).alias("package"), plain(F.col("product_name")).alias("name"), *fields)
+
+
 def duplicate_edges(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, edges) of items (notice_id, no, source_file, package_code, product_name, FIELDS).
+    """(classes, edges) of items (notice_id, no, source_file, package_code, product_name, FIELDS); edges: notice_id, a, b.
 
     Rows of a notice with equal name, package and fields are one class: class_id, rows, files, only_file. Two classes
     have an edge if they have the same name, packages that are equal or of which one is missing, no field that both
     fill differently, a pair of STRONG fields equal, and not all rows in one file. They meet by equal STRONG values,
     so only distinct rows of one notice, name and such a pair are compared."""
-    keyed = items.select("notice_id", "no", "source_file", F.coalesce("package_code", F.lit(DEFAULT)).alias("package"), plain(F.col("product_name")).alias("name"), *[(plain(F.col(f)) if f not in NUMERIC else F.col(f)).alias(f) for f in FIELDS])
-    same = ["notice_id", "name", "package", *FIELDS]
+    keyed, same = _keyed(items), ["notice_id", "name", "package", *FIELDS]
     classes = keyed.where("name is not null").groupBy(*same).agg(F.min("no").alias("first"), F.count("*").alias("rows"), F.count_distinct("source_file").alias("files"), F.min("source_file").alias("only_file"))
-    classes = checkpoint(ranked(classes, ["notice_id", "first"], "class_id"))
-    pairs = None
-    for n, (a, b) in enumerate(STRONG):
-        x = classes.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        on = ["notice_id", "name", a, b]
-        left, right = (x.select(*on, F.col("class_id").alias(side)) for side in "ab")
-        met = left.join(right, on).where("a < b").select("a", "b")
-        pairs = met if n == 0 else pairs.unionByName(met)
-    x, y = classes.select(F.col("class_id").alias("a"), F.struct(*classes.columns).alias("x")), classes.select(F.col("class_id").alias("b"), F.struct(*classes.columns).alias("y"))
-    both = pairs.distinct().join(x, "a").join(y, "b")
+    classes = stored(classes.withColumn("class_id", F.monotonically_increasing_id()))
+    tell = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(n).alias("n"), F.col(a).cast("string").alias("u"), F.col(b).cast("string").alias("v"))) for n, (a, b) in enumerate(STRONG)]
+    told = classes.select("notice_id", "name", F.struct("class_id", "package", "files", "only_file", *FIELDS).alias("x"), F.explode(F.array_compact(F.array(*tell))).alias("t")).select("notice_id", "name", "t.*", "x")
+    on = ["notice_id", "name", "n", "u", "v"]
+    both = told.join(told.withColumnRenamed("x", "y"), on).where("x.class_id < y.class_id")
     fine = (F.col("x.package") == F.col("y.package")) | (F.col("x.package") == DEFAULT) | (F.col("y.package") == DEFAULT)
     for f in FIELDS:
         fine = fine & F.coalesce(F.col(f"x.{f}") == F.col(f"y.{f}"), F.lit(True))
     apart = ~((F.col("x.files") == 1) & (F.col("y.files") == 1) & (F.col("x.only_file") == F.col("y.only_file")))
-    return classes, checkpoint(both.where(fine & apart).select("a", "b"))
+    edges = both.where(fine & apart).select("notice_id", F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+    return classes, stored(edges.distinct())
 
 
 def _strong(have: Column) -> Column:
@@ -65,25 +66,24 @@ def merge_files(items: DataFrame) -> DataFrame:
     `merged`. Otherwise its rows stay as they are, `ambiguous`: a row without a package must not bridge two packages.
     All others are `single`. A merged item has the package and the fields that any of its rows fills."""
     classes, edges = duplicate_edges(items)
-    linked = components(edges)
+    linked = components_within(edges, "notice_id")
     linked = linked.union(linked.select(F.col("component").alias("node"), "component").distinct())
-    placed = checkpoint(classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
-    links = edges.join(placed.select(F.col("class_id").alias("a"), "component"), "a").groupBy("component").agg(F.count("*").alias("links"))
+    placed = stored(classes.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")))
+    links = edges.select("a", "b").join(placed.select(F.col("class_id").alias("a"), "notice_id", "component"), "a").groupBy("notice_id", "component").agg(F.count("*").alias("links"))
     have = {f: F.col(f).isNotNull() for f in FIELDS}
-    keyed = items.select("notice_id", "no", "source_file", F.coalesce("package_code", F.lit(DEFAULT)).alias("package"), plain(F.col("product_name")).alias("name"), *[(plain(F.col(f)) if f not in NUMERIC else F.col(f)).alias(f) for f in FIELDS])
-    same = ["notice_id", "name", "package", *FIELDS]
-    on = F.lit(True)
-    for c in same:
-        on = on & F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}"))
-    member = keyed.alias("k").join(placed.alias("p"), on).select("k.notice_id", "k.no", "k.source_file", "p.component")
-    files = member.groupBy("component").agg(F.count_distinct("source_file").alias("all_files"))
-    per = placed.groupBy("component").agg(F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.bool_and(_strong(have) | (F.col("rows") == 1)).alias("strong"))
-    per = per.join(links, "component", "left").join(files, "component")
+    # a class is told by its first row, so its rows meet it by two numbers instead of all that they are compared by
+    first = F.min("no").over(Window.partitionBy("notice_id", "name", "package", *FIELDS))
+    keyed = _keyed(items).where("name is not null").select("notice_id", "no", "source_file", first.alias("first"))
+    member = keyed.join(placed.select("notice_id", "first", "component"), ["notice_id", "first"]).select("notice_id", "no", "source_file", "component")
+    files = member.groupBy("notice_id", "component").agg(F.count_distinct("source_file").alias("all_files"))
+    per = placed.groupBy("notice_id", "component").agg(F.count("*").alias("classes"), F.sum("rows").alias("rows"), F.bool_and(_strong(have) | (F.col("rows") == 1)).alias("strong"))
+    per = per.join(links, ["notice_id", "component"], "left").join(files, ["notice_id", "component"])
     full = F.coalesce("links", F.lit(0)) * 2 == F.col("classes") * (F.col("classes") - 1)
     status = F.when(F.col("rows") == 1, "single").when(full & F.col("strong") & (F.col("rows") == F.col("all_files")), "merged").when((F.col("classes") == 1) & (~F.col("strong") | (F.col("all_files") == 1)), "single").otherwise("ambiguous")
-    per = per.select("component", status.alias("status"))
-    rows = items.join(member.select("notice_id", "no", "component"), ["notice_id", "no"], "left").join(per, "component", "left").withColumn("status", F.coalesce("status", F.lit("single")))
-    rows = rows.withColumn("item_no", F.when(F.col("status") == "merged", F.min("no").over(Window.partitionBy("notice_id", "component"))).otherwise(F.col("no")))
+    per = per.select("notice_id", "component", status.alias("status"))
+    least = F.min("no").over(Window.partitionBy("notice_id", "component"))
+    told = member.drop("source_file").join(per, ["notice_id", "component"]).select("notice_id", "no", "status", F.when(F.col("status") == "merged", least).otherwise(F.col("no")).alias("item_no"))
+    rows = items.join(told, ["notice_id", "no"], "left").withColumns({"status": F.coalesce("status", F.lit("single")), "item_no": F.coalesce("item_no", "no")})
     code = F.max(F.when(F.col("package_code") != DEFAULT, F.col("package_code")))
     return rows.groupBy("notice_id", "item_no", "status").agg(F.count("*").alias("n_rows"), F.coalesce(code, F.lit(DEFAULT)).alias("package_code"), F.min_by("product_name", "no").alias("product_name"), *[F.max(f).alias(f) for f in FIELDS])
 

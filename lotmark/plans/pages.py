@@ -13,6 +13,7 @@ from lotmark.plans.base import query
 from lotmark.plans.relations import NODES, PAIRS, ROLES
 from lotmark.sources import datasets, documents
 from lotmark.sources.tables import MODEL_SQL as M
+from lotmark.sources.tables import dealt
 
 
 @query(
@@ -163,12 +164,12 @@ def duplicate_links(m):
     """Links between candidates of one name in several files, per notice and name."""
     classes, edges = dedup.duplicate_edges(_files(m))
     heads = classes.select(F.col("class_id").alias("a"), "notice_id", F.col("name").alias("product_name"))
-    return edges.join(heads, "a").groupBy("notice_id", F.regexp_replace("product_name", "part", "part ").alias("product_name")).agg(F.count("*").alias("n"))
+    return edges.select("a", "b").join(heads, "a").groupBy("notice_id", F.regexp_replace("product_name", "part", "part ").alias("product_name")).agg(F.count("*").alias("n"))
 
 
 def _files(m):
     null = F.lit(None).cast("string")
-    return m.table("lineitem").select(
+    return dealt(m.table("lineitem"), "l_orderkey", m.pieces).select(
         F.col("l_orderkey").alias("notice_id"), ((F.col("l_linenumber") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("no"), F.concat(F.lit("f"), F.col("l_suppkey") % 3).alias("source_file"), F.when(F.col("l_suppkey") % 4 == 0, "default").otherwise(F.col("l_linestatus")).alias("package_code"),
         F.concat(F.lit("part "), F.col("l_partkey") % 5).alias("product_name"), null.alias("category"), null.alias("brand"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("m"), F.col("l_partkey") % 3)).alias("model"), (F.col("l_partkey") % 4).cast("decimal(18,2)").alias("quantity"),
         null.alias("quantity_unit"), F.when(F.col("l_tax") > 0.02, (F.col("l_partkey") % 2).cast("decimal(18,2)")).alias("unit_price"), F.lit(None).cast("decimal(18,2)").alias("total_price"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 from lotmark import registry
-from lotmark.operators import evaluation, linking, snapshots
+from lotmark.operators import dedup, evaluation, linking, snapshots
 from lotmark.plans import patterns
 from lotmark.plans.details import office_file
 from lotmark.sources import documents
@@ -65,3 +65,12 @@ def test_documents_are_opened_once_for_all_formats(spark):
     assert cells._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2
     base = {"a.docx": 0, "b.xlsx": 0, "c.txt": 1, "d.html": 0}
     assert sorted(map(tuple, cells.collect())) == sorted((path, 0, r + n, c, text) for path, r in base.items() for n, row in enumerate([["a", "b"], ["c d", "e"]]) for c, text in enumerate(row))
+
+
+def test_merging_files_shuffles_rows_by_numbers(spark, small, monkeypatch):
+    """Edges stay in their notice, so components need no rounds of joins over all of them, and rows meet their class by two numbers."""
+    monkeypatch.setattr(dedup, "components", None)
+    monkeypatch.setattr(dedup, "checkpoint", None)
+    plan = registry.QUERIES["j22_merged_items"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    keys = [part.split("), ")[0] for part in plan.split("hashpartitioning(")[1:]]
+    assert not [k for k in keys if "name#" in k]
