@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lotmark.functions import money
 from lotmark.functions.codes import DEFAULT
@@ -33,22 +37,32 @@ def anchored(records: DataFrame) -> DataFrame:
     return out.withColumn("source_key", F.when(F.col("package_code") == DEFAULT, row).otherwise(F.lit("")))
 
 
+def _extents(records: DataFrame) -> list[Column]:
+    """Aggregates from which _settled() makes the fields of merged records: `old` conflicts, least and greatest values."""
+    sticky = F.flatten(F.collect_set("conflicts")) if "conflicts" in records.columns else F.array().cast("array<string>")
+    return [sticky.alias("old"), *[x for f in FIELDS for x in (F.min(_filled(f)).alias(f"{f}_lo"), F.max(_filled(f)).alias(f"{f}_hi"))]]
+
+
+def _settled(out: DataFrame, *keep: str) -> DataFrame:
+    """keep, conflicts and FIELDS of rows that hold extents."""
+    clash = {f: F.coalesce((F.col(f"{f}_lo") != F.col(f"{f}_hi")) | F.array_contains("old", f), F.lit(False)) for f in FIELDS}
+    found = F.array_sort(F.array_compact(F.array(*[F.when(clash[f], F.lit(f)) for f in FIELDS])))
+    value = {f: F.when(~clash[f], F.col(f"{f}_lo")) for f in FIELDS}
+    either = F.coalesce(F.col("qualification") == "未通过", F.lit(False)) | F.coalesce(F.col("compliance") == "未通过", F.lit(False))
+    review = F.when(F.col("unsure"), F.col("review")).when(either, "未通过").when((F.col("qualification") == "通过") & (F.col("compliance") == "通过"), "通过").otherwise(F.col("review"))
+    unsure = functools.reduce(operator.or_, [clash[s] for s in STATUSES])
+    out = out.select(*keep, found.alias("conflicts"), *[value[f].alias(f) for f in FIELDS], unsure.alias("unsure"))
+    return out.withColumn("review", review).drop("unsure")
+
+
 def merged(records: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: a field on which all records that fill it agree keeps its value; of several, none. `conflicts`
     lists such fields, and those that the records' own `conflicts` list, so merging again changes nothing.
 
     The review follows qualification and compliance where none of the three is in conflict: failed if one failed,
     passed if both passed."""
-    sticky = F.flatten(F.collect_set("conflicts")) if "conflicts" in records.columns else F.array().cast("array<string>")
-    aggs = [x for f in FIELDS for x in (F.min(_filled(f)).alias(f"{f}_lo"), F.max(_filled(f)).alias(f"{f}_hi"))]
-    out = records.groupBy(*keys).agg(F.min("name").alias("name"), F.count("*").alias("n_records"), sticky.alias("old"), *aggs)
-    clash = {f: (F.col(f"{f}_lo") != F.col(f"{f}_hi")) | F.array_contains("old", f) for f in FIELDS}
-    found = F.array_sort(F.array_compact(F.array(*[F.when(clash[f], F.lit(f)) for f in FIELDS])))
-    value = {f: F.when(~F.coalesce(clash[f], F.lit(False)), F.col(f"{f}_lo")) for f in FIELDS}
-    out = out.select(*keys, "name", "n_records", found.alias("conflicts"), *[value[f].alias(f) for f in FIELDS])
-    either = F.coalesce(F.col("qualification") == "未通过", F.lit(False)) | F.coalesce(F.col("compliance") == "未通过", F.lit(False))
-    review = F.when(F.arrays_overlap("conflicts", F.array(*[F.lit(s) for s in STATUSES])), F.col("review")).when(either, "未通过").when((F.col("qualification") == "通过") & (F.col("compliance") == "通过"), "通过").otherwise(F.col("review"))
-    return out.withColumn("review", review)
+    out = records.groupBy(*keys).agg(F.min("name").alias("name"), F.count("*").alias("n_records"), *_extents(records))
+    return _settled(out, *keys, "name", "n_records")
 
 
 def merge(records: DataFrame) -> DataFrame:
@@ -84,21 +98,34 @@ def matched(participants: DataFrame, records: DataFrame, awards: DataFrame | Non
     return met.where((F.col("record_package") == F.col("package_code")) | spare).drop("lots", "packages", "only")
 
 
-def export(participants: DataFrame, awards: DataFrame, records: DataFrame) -> DataFrame:
+def export(participants: DataFrame, awards: DataFrame, records: DataFrame, n: int | None = None) -> DataFrame:
     """The sheet of bidders: notice_id, package_code, name_key, category, amount_wan, FIELDS but the amount.
 
-    Participants come first, 中标人 if they won and 参与人 otherwise, with what their records say; winners that are no
-    participants follow, then bidders that only records name, 其他. participants: notice_id, package_code, name,
-    outcome; awards: notice_id, package_code, name, award_amount."""
-    key = ["notice_id", "package_code", "name_key"]
-    keyed = lambda df: df.withColumn("name_key", name_key(F.col("name"))).withColumn("package_code", F.coalesce("package_code", F.lit(DEFAULT)))
-    won = keyed(awards).groupBy(*key).agg(F.max("award_amount").alias("award_amount"))
-    people = keyed(participants).groupBy(*key).agg(F.max(F.col("outcome") == "winner").alias("winner"))
-    base = people.join(won, key, "full").select(*key, F.when(F.coalesce("winner", F.lit(True)), "中标人").otherwise("参与人").alias("category"), "award_amount")
-    used = matched(base.withColumn("name", F.col("name_key")), records)
-    said = merged(used, key).drop("name", "n_records", "conflicts")
-    own = base.join(said, key, "left")
-    left = keyed(records).join(used.select(F.col("notice_id"), F.col("record_package").alias("package_code"), "name_key").distinct(), key, "left_anti")
-    other = merged(left, key).drop("name", "n_records", "conflicts").withColumn("category", F.lit("其他")).withColumn("award_amount", F.lit(None).cast("decimal(38,2)"))
+    Participants come first, 中标人 if they won and 参与人 otherwise, with what their records say, as matched() has it; winners
+    that are no participants follow, then bidders that only records name, 其他. participants: notice_id, package_code, name,
+    outcome; awards: notice_id, package_code, name, award_amount.
+
+    All rows of a bidder in a notice are dealt to one of n tasks (without n, as Spark deals them) and meet there, in a window
+    and a grouping by package: nothing is joined, and a row's name is read once."""
+    code = F.coalesce("package_code", F.lit(DEFAULT)).alias("package_code")
+    said = [*FIELDS, *(["conflicts"] if "conflicts" in records.columns else [])]
+    rows = participants.select("notice_id", code, "name", F.lit("participant").alias("side"), (F.col("outcome") == "winner").alias("winner"))
+    rows = rows.unionByName(awards.select("notice_id", code, "name", F.lit("award").alias("side"), "award_amount"), allowMissingColumns=True)
+    rows = rows.unionByName(records.select("notice_id", code, "name", F.lit("record").alias("side"), *said), allowMissingColumns=True)
+    rows = rows.withColumn("name_key", name_key(F.col("name"))).drop("name")
+    # rows without a notice or a name are nobody's: each side keeps its own
+    rows = rows.withColumn("apart", F.when(F.col("notice_id").isNull() | F.col("name_key").isNull(), F.col("side")))
+    rows = rows.repartition(*NAME) if n is None else rows.repartition(n, *NAME)
+
+    # records without a package belong to the bidder's one package, unless records name another one
+    listed, coded, over = F.col("side") != "record", F.col("package_code") != DEFAULT, Window.partitionBy(*NAME, "apart")
+    named = F.when(listed | coded, F.col("package_code"))
+    rows = rows.withColumns({"lot": F.max(named).over(over), "lowest": F.min(named).over(over), "taken": F.bool_or(listed).over(over)})
+    spare = F.col("taken") & (F.col("lot") == F.col("lowest"))
+    rows = rows.withColumn("package_code", F.when(listed | coded | ~spare, F.col("package_code")).otherwise(F.col("lot")))
+    aggs = F.bool_or(listed).alias("listed"), F.max("winner").alias("winner"), F.max("award_amount").alias("award_amount")
+    per = rows.groupBy(*NAME, "apart", "package_code").agg(*aggs, *_extents(rows))
+    category = F.when(~F.col("listed"), "其他").when(F.coalesce("winner", F.lit(True)), "中标人").otherwise("参与人")
+    out = _settled(per.withColumn("category", category), "notice_id", "package_code", "name_key", "category", "award_amount").drop("conflicts")
     amount = F.coalesce(money.ten_thousands(F.col("award_amount")), money.ten_thousands(money.exact(F.col("bid_amount"))))
-    return own.unionByName(other).withColumn("amount_wan", amount).drop("award_amount", "bid_amount")
+    return out.withColumn("amount_wan", amount).drop("award_amount", "bid_amount")

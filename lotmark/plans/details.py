@@ -80,7 +80,7 @@ UNION ALL SELECT notice_id, package_code, name_key, '其他', qualification, {RE
 def bidder_sheet(m):
     people = _participants(m)
     awards = people.where("outcome = 'winner'").withColumn("award_amount", F.lit(None).cast("decimal(38,2)"))
-    return bidders.export(people, awards, details(m)).select("notice_id", "package_code", "name_key", "category", "qualification", "review", "amount_wan")
+    return bidders.export(people, awards, details(m), m.pieces).select("notice_id", "package_code", "name_key", "category", "qualification", "review", "amount_wan")
 
 
 @query("k05_read_back", f"""{DETAILS} SELECT notice_id, source_location, CASE WHEN notice_id % 3 = 0 THEN 'f.html' END AS source_file FROM d""")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from lotmark import registry
-from lotmark.operators import clues, scenes, scoring
+from lotmark.operators import bidders, clues, scenes, scoring
 from lotmark.sources.tables import Model
 
 
@@ -58,3 +60,51 @@ def test_roles_without_scope_or_key_match_nothing(spark):
     gold = spark.createDataFrame([(1, "r", "a"), (1, "r", "a"), (1, "r", None), (None, "r", "a"), (2, "q", "b")], schema)
     predicted = spark.createDataFrame([(1, "r", "a"), (1, "r", None), (1, "r", None), (None, "r", "a"), (2, "q", "b"), (2, "q", "b")], schema)
     assert sorted(map(tuple, scoring.roles(gold, predicted, "scope").collect())) == [("q", 1, 1, 0), ("r", 1, 3, 3)]
+
+
+def test_a_sheet_of_bidders_deals_its_rows_once(spark, small):
+    df = registry.QUERIES["a22_bidder_sheet"](spark, small)
+    assert shuffled_by(df) == ["notice_id"]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sheet_of_bidders_against_a_plain_one(spark):
+    r = random.Random(4)
+    pick = lambda *xs: r.choice(xs)
+    key = lambda: (pick(1, 2, 3, 4, 5, 6, None), pick("O", "F", "default", None), pick("A b", "ab", "C", "Ｃ", "D", None, " "))
+    people = [(*key(), pick("winner", "unknown", None)) for _ in range(25)]
+    awards = [(*key(), pick(1, 20000, None)) for _ in range(10)]
+    records = [(*key(), pick("通过", "未通过", None), pick("5", "30000", None, None), pick(["score"], ["review"], [], None, None)) for _ in range(60)]
+    frame = lambda rows, more: spark.createDataFrame(rows, f"notice_id long, package_code string, name string, {more}")
+    third = frame(records, "qualification string, bid_amount string, conflicts array<string>").selectExpr("*", "null compliance", "cast(null as string) review", "'9' score", "cast(null as string) reason")
+    third = third.withColumns({"compliance": F.col("qualification"), "source_file": F.lit("f"), "source_location": F.lit("1")})
+    out = bidders.export(frame(people, "outcome string"), frame(awards, "award_amount long").withColumn("award_amount", F.col("award_amount").cast("decimal(38,2)")), third)
+    out = out.select("notice_id", "package_code", "name_key", "category", "qualification", "review", "score", F.col("amount_wan").cast("double"))
+
+    fold = lambda s: None if s is None else s.replace("Ｃ", "C").replace(" ", "").lower() or None
+    keyed = lambda rows: [(x[0], fold(x[2]), x[1] or "default", *x[3:]) for x in rows]
+    people, awards, records = keyed(people), keyed(awards), keyed(records)
+    known = lambda k: k[0] is not None and k[1] is not None
+    base = [(k, [x for x in people if x[:3] == k], [x for x in awards if x[:3] == k]) for k in {x[:3] for x in people + awards}]
+    base = [one for k, p, a in base for one in ([(k, p, a)] if known(k) else [(k, p, []), (k, [], a)]) if one[1] or one[2]]
+    lots = {k[:2]: {j[2] for j, *_ in base if j[:2] == k[:2]} for k, *_ in base}
+    want, used = [], set()
+
+    def say(k, category, some, amount):
+        clash = {c for x in some for c in x[5] or []}
+        value = lambda f, i: min({x[i] for x in some if x[i]} or {None}) if len({x[i] for x in some if x[i]}) <= 1 and f not in clash else None
+        unsure = len({x[3] for x in some if x[3]}) > 1 or clash & {"qualification", "compliance", "review"}
+        offer = amount if amount is not None else value("bid_amount", 4)
+        score = "9" if some and "score" not in clash else None
+        want.append((k[0], k[2], k[1], category, value("qualification", 3), None if unsure else value("qualification", 3), score, None if offer is None else round(float(offer) / 10000 + 1e-9, 2)))
+
+    for k, p, a in base:
+        named = {x[2] for x in records if x[:2] == k[:2]} - {"default"}
+        some = [(i, x) for i, x in enumerate(records) if known(k) and x[:2] == k[:2] and (x[2] == k[2] or x[2] == "default" and k[2] != "default" and len(lots[k[:2]]) == 1 and named <= {k[2]})]
+        used |= {i for i, _ in some}
+        won = [x[3] == "winner" for x in p if x[3]]
+        say(k, "中标人" if not won or any(won) else "参与人", [x for _, x in some], max((x[3] for x in a if x[3] is not None), default=None))
+    rest = [x for i, x in enumerate(records) if i not in used]
+    for k in {x[:3] for x in rest}:
+        say(k, "其他", [x for x in rest if x[:3] == k], None)
+    assert Counter(map(tuple, out.collect())) == Counter(want)
