@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lotmark.operators.reviews import page
 from lotmark.sources import catalog
-from lotmark.sources.tables import Model
+from lotmark.sources.tables import Model, dealt
 
 RELATIONS = ("PURCHASES", "HAS_PACKAGE", "BID_IN", "AWARDED_TO", "HAS_ITEM")
 EDGES, NODES, PAGE, PREVIEW = 200, 100, 20, 50
@@ -19,9 +19,10 @@ def uid(kind: str, *parts: str) -> Column:
 
 
 def _items(model: Model) -> DataFrame:
-    return model.table("lineitem").select(
+    items = model.table("lineitem").select(
         F.col("l_orderkey").alias("project_id"), (2 * F.col("l_orderkey") + F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("package_id"), F.col("l_partkey").alias("part_id")
-    ).distinct()
+    )
+    return dealt(items, "project_id", model.pieces).distinct()
 
 
 def nodes(model: Model) -> DataFrame:

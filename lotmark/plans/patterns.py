@@ -20,24 +20,25 @@ SOME = ["organization:3", "organization:5"]
 
 
 def _found(m, steps, keep, **more):
-    return patterns.matches(graph.edges(m, tuple({s.relation for s in steps})), steps, keep, **more)
+    """Matches of steps that meet in projects and packages, whose edges are therefore one project's; `keep` names it as project_id."""
+    return patterns.matches(graph.edges(m, tuple({s.relation for s in steps})), steps, keep, scope="project_id", n=m.pieces, **more)
 
 
 @query("n06_buyer_awardees", f"{M} SELECT concat('organization:', buyer_id) AS buyer, concat('organization:', organization_id) AS supplier, count(DISTINCT project_id) AS projects, count(DISTINCT package_id) AS packages FROM awards GROUP BY ALL")
 def buyer_awardees(m):
-    found = _found(m, [BUYS, HAS, WON], ["buyer", "supplier", "project", "package"])
-    return patterns.counted(found, ["buyer", "supplier"], "project", "package")
+    found = _found(m, [BUYS, HAS, WON], ["buyer", "supplier", "project_id", "package"])
+    return patterns.counted(found, ["buyer", "supplier"], "project_id", "package")
 
 
 @query("n06_product_suppliers", f"{NODES} SELECT concat('organization:', buyer_id) AS buyer, concat('item:', package_id, '-', part_id) AS item, 1 AS projects FROM lots JOIN projects USING (project_id)")
 def product_suppliers(m):
     """Items of a buyer, awarded or not."""
-    return _found(m, [BUYS, HAS, Step("HAS_ITEM", "package", "item")], ["buyer", "item"]).withColumn("projects", F.lit(1))
+    return _found(m, [BUYS, HAS, Step("HAS_ITEM", "package", "item")], ["buyer", "item", "project_id"]).select("buyer", "item", F.lit(1).alias("projects"))
 
 
 @query("n06_buyer_bidders", f"{M} SELECT concat('organization:', buyer_id) AS buyer, concat('organization:', organization_id) AS bidder, count(DISTINCT project_id) AS projects FROM bids GROUP BY ALL")
 def buyer_bidders(m):
-    return _found(m, [BUYS, HAS, BIDS], ["buyer", "bidder", "project"]).groupBy("buyer", "bidder").agg(F.count("*").alias("projects"))
+    return _found(m, [BUYS, HAS, BIDS], ["buyer", "bidder", "project_id"]).groupBy("buyer", "bidder").agg(F.count("*").alias("projects"))
 
 
 @query(
@@ -47,7 +48,7 @@ FROM bids x JOIN bids y ON x.package_id = y.package_id AND concat('organization:
 )
 def buyer_pairs(m):
     steps = [BUYS, HAS, Step("BID_IN", "a", "package"), Step("BID_IN", "b", "package")]
-    return _found(m, steps, ["buyer", "a", "b", "project"], only=lambda: F.col("a") < F.col("b")).groupBy("buyer", "a", "b").agg(F.count("*").alias("projects"))
+    return _found(m, steps, ["buyer", "a", "b", "project_id"], only=lambda: F.col("a") < F.col("b")).groupBy("buyer", "a", "b").agg(F.count("*").alias("projects"))
 
 
 @query(
@@ -56,8 +57,8 @@ def buyer_pairs(m):
 FROM awards a JOIN bids b ON a.package_id = b.package_id AND a.organization_id <> b.organization_id GROUP BY ALL""",
 )
 def co_bidders(m):
-    found = _found(m, [WON, HAS, BIDS], ["supplier", "bidder", "project", "package"], only=lambda: F.col("supplier") != F.col("bidder"))
-    return patterns.counted(found, ["supplier", "bidder"], "project", "package")
+    found = _found(m, [WON, HAS, BIDS], ["supplier", "bidder", "project_id", "package"], only=lambda: F.col("supplier") != F.col("bidder"))
+    return patterns.counted(found, ["supplier", "bidder"], "project_id", "package")
 
 
 @query(
@@ -67,8 +68,8 @@ SELECT concat('organization:', buyer_id) AS buyer, concat('organization:', organ
 )
 def common_buyers(m):
     """Buyers of whom both suppliers won: of matches whose supplier is one of them, those buyers that have as many."""
-    found = _found(m, [BUYS, HAS, WON], ["buyer", "supplier", "project", "package"], where={"supplier": SOME})
-    per = patterns.counted(found, ["buyer", "supplier"], "project", "package")
+    found = _found(m, [BUYS, HAS, WON], ["buyer", "supplier", "project_id", "package"], where={"supplier": SOME})
+    per = patterns.counted(found, ["buyer", "supplier"], "project_id", "package")
     both = per.groupBy("buyer").agg(F.count("*").alias("n")).where(F.col("n") == len(SOME))
     return per.join(both.select("buyer"), "buyer", "left_semi")
 
@@ -81,7 +82,7 @@ WHERE package_id IN (SELECT package_id FROM bids WHERE organization_id IN (3, 5)
 def common_packages(m):
     """Packages that both bid for, with their project and all bidders: a star of three bids, two of them fixed."""
     steps = [Step("BID_IN", "first", "package"), Step("BID_IN", "second", "package"), HAS, BIDS]
-    return _found(m, steps, ["package", "project", "bidder"], where={"first": SOME[:1], "second": SOME[1:]})
+    return _found(m, steps, ["package", "project", "bidder", "project_id"], where={"first": SOME[:1], "second": SOME[1:]}).drop("project_id")
 
 
 TRIPLES = f"""{M}, w AS (SELECT DISTINCT buyer_id, organization_id AS o FROM awards)"""

@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime
 import random
 from collections import Counter
+from itertools import product
 
 from pyspark.sql import functions as F
 
 from lotmark import registry
-from lotmark.operators import bidders, clues, scenes, scoring
+from lotmark.operators import bidders, clues, patterns, scenes, scoring
+from lotmark.operators.patterns import Step
 from lotmark.sources.tables import Model
 
 
@@ -108,3 +110,42 @@ def test_a_sheet_of_bidders_against_a_plain_one(spark):
     for k in {x[:3] for x in rest}:
         say(k, "其他", [x for x in rest if x[:3] == k], None)
     assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
+def test_steps_of_a_pattern_meet_by_project(spark, small, monkeypatch):
+    monkeypatch.setattr("lotmark.sources.tables.PIECE", 20_000)
+    n = Model(spark, small).pieces
+    assert n > spark.sparkContext.defaultParallelism
+    for name in ("n06_buyer_awardees", "n06_product_suppliers", "n06_buyer_bidders", "n06_buyer_pairs", "n06_co_bidders", "n06_common_packages"):
+        df = registry.QUERIES[name](spark, small)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [part.split(")")[0].split(", ") for part in plan.split("hashpartitioning(")[1:]]
+        by = {key.split("#")[0] for key, *more in dealt if more == [str(n)]}
+        assert by == {"project_id"} and not {d[0].split("#")[0] for d in dealt} & {"project", "package"}, name
+
+
+def test_patterns_within_a_scope_against_all_assignments(spark):
+    r = random.Random(8)
+    edges = [(s, f"{s}-{r.randrange(4)}", f"{s}-{r.randrange(4)}", r.choice("xyz")) for s in range(5) for _ in range(25)]
+    edges += [(None, "a", "b", rel) for rel in "xyz"] + [(9, "9-0", "9-1", "x")]
+    frame = spark.createDataFrame(edges, "s long, source string, target string, relation string")
+    some = {edge for edge in edges if edge[0] is not None}
+    cases = [
+        ([Step("x", "a", "b")], ["a"], {}),
+        ([Step("x", "a", "b"), Step("y", "b", "c")], ["a", "c"], {}),
+        ([Step("x", "a", "b"), Step("y", "c", "b"), Step("y", "d", "b"), Step("z", "b", "e")], ["c", "d", "s"], {}),
+        ([Step("x", "c", "b"), Step("x", "d", "b"), Step("x", "e", "b")], ["b", "e"], {"c": ["0-1", "2-1"], "d": ["0-2", "2-2"]}),
+        ([Step("x", "a", "b"), Step("y", "b", "c"), Step("y", "b", "d"), Step("z", "d", "e")], ["a", "c", "e"], {}),
+    ]
+    for steps, keep, where in cases:
+        names = sorted({node for s in steps for node in (s.start, s.end)})
+        want = set()
+        for s in (*range(5), 9):
+            for values in product([f"{s}-{i}" for i in range(4)], repeat=len(names)):
+                at = {**dict(zip(names, values, strict=True)), "s": s}
+                if all((s, at[step.start], at[step.end], step.relation) in some for step in steps) and all(at[k] in v for k, v in where.items()):
+                    want.add(tuple(at[k] for k in keep))
+        for n in (None, 3):
+            assert Counter(map(tuple, patterns.matches(frame, steps, keep, where=where, scope="s", n=n).collect())) == Counter(want), steps
+    leads = patterns.reduced_within(frame, cases[1][0], "s", 3)
+    assert {x.b for x in leads[0].collect()} <= {x.b for x in leads[1].collect()}
