@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 if TYPE_CHECKING:
+    import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -131,6 +133,75 @@ def components_within(edges: DataFrame, scope: str) -> DataFrame:
     return out.unionByName(components(edges.join(large, scope, "left_semi"))) if some else out
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each edge's component."""
+    import numpy as np
+
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        least = np.minimum(root[u], root[v])
+        np.minimum.at(root, root[u], least)
+        np.minimum.at(root, root[v], least)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes[root[u]]
+
+
+def labelled(edges: DataFrame, scope: str, column: str, value: str) -> DataFrame:
+    """Edges (scope, a, b, ...) that lie in tasks by their scope, stored, with `component`: the least node that is reached by those edges
+    of which the column has the value; the others have none. Nodes belong to one scope each.
+
+    A task labels the edges of a scope as they pass if they are SCOPE_EDGES at most; only those of larger scopes need rounds of joins."""
+    edges = edges.sortWithinPartitions(scope)
+    schema, most = edges.withColumn("component", F.lit(None).cast("long")).schema, SCOPE_EDGES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def out(parts: list[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(parts)
+            joins = pc.equal(rows[column], value).to_numpy() & whole
+            found = np.zeros(len(joins), dtype=np.int64)
+            if joins.any():
+                found[joins] = _roots(*(rows[c].to_numpy()[joins] for c in "ab"))
+            yield from rows.append_column("component", pa.array(found, mask=~joins)).to_batches()
+
+        held, size, over, last = [], 0, False, None  # rows of the last scope, which may go on, and whether some of it has passed already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index(scope))
+            starts = (np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+            if last is not None and keys[0].as_py() != last:
+                starts.insert(0, 0)
+            if starts:
+                if size + starts[0]:
+                    yield from out([*held, batch.slice(0, starts[0])], not over and size + starts[0] <= most)
+                if starts[-1] > starts[0]:
+                    yield from out([batch.slice(starts[0], starts[-1] - starts[0])], True)
+                held, size, over, batch = [], 0, False, batch.slice(starts[-1])
+            held.append(batch)
+            size, last = size + batch.num_rows, keys[-1].as_py()
+            if size > most:
+                yield from out(held, False)
+                held, size, over = [], 0, True
+        if held:
+            yield from out(held, not over)
+
+    rows = stored(edges.mapInArrow(run, schema))
+    large = rows.where((F.col(column) == value) & F.col("component").isNull())
+    if large.isEmpty():
+        return rows
+    parts = components(large.select("a", "b"))
+    parts = stored(parts.unionByName(parts.select(F.col("component").alias("node"), "component").distinct()))
+    known = rows.where((F.col(column) != value) | F.col("component").isNotNull())
+    return known.unionByName(large.drop("component").join(parts.withColumnRenamed("node", "a"), "a").select(*rows.columns))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component) for every node but the smallest of each.
 
