@@ -38,16 +38,25 @@ def imported(batch: DataFrame, receipts: DataFrame) -> dict[str, DataFrame]:
     """The rows that a batch of notices (NOTICE) adds, by table; notices whose source_key has a receipt add none, and of equal
     keys in a batch one is taken. Within a notice the first of equal keys wins: packages by code, bidders and winners by
     package and organization, sources by name and hash. Winners who aren't listed as bidders are added to them."""
-    new = records.first_by_key(records.unseen(batch, receipts, "source_key"), ["source_key"], F.xxhash64(F.to_json(F.struct(*batch.columns))))
+    fresh = records.unseen(batch, receipts, "source_key")
+    # a notice's rows stay where it lies: whatever is taken once is taken by source_key and more. Where no key comes twice, nothing needs
+    # all columns to tell equal keys apart
+    new = fresh
+    if not fresh.groupBy("source_key").count().where("count > 1").isEmpty():
+        new = records.first_by_key(fresh, ["source_key"], F.xxhash64(*batch.columns))
     new = new.withColumn("notice_id", _id("source_key"))
-    sources = new.select("notice_id", F.explode("sources").alias("s")).select("notice_id", "s.*").dropDuplicates(["notice_id", "source_file", "sha256"])
-    lots = new.select("notice_id", F.posexplode("packages").alias("pos", "p")).withColumn("package_code", F.coalesce(F.nullif(F.trim("p.package_code"), F.lit("")), F.lit(DEFAULT)))
-    lots = records.first_by_key(lots, ["notice_id", "package_code"], "pos").withColumn("package_id", _id("notice_id", "package_code"))
-    people = lambda name: lots.select("notice_id", "package_id", F.posexplode(f"p.{name}").alias("seq", "x")).select("notice_id", "package_id", "seq", "x.*").withColumn("key", organization_key(F.col("name"))).where("key <> ''")
-    winners = records.first_by_key(people("winners"), ["package_id", "key"], "seq")
-    bidders = people("bidders").select("notice_id", "package_id", "seq", "key", "name", F.coalesce("outcome", F.lit("unknown")).alias("outcome"))
-    bidders = bidders.unionByName(winners.select("notice_id", "package_id", (F.col("seq") + 1_000_000).alias("seq"), "key", "name", F.lit("winner").alias("outcome")))
-    bidders = records.first_by_key(bidders, ["package_id", "key"], "seq")
+    sources = new.select("source_key", "notice_id", F.explode("sources").alias("s")).select("source_key", "notice_id", "s.*").dropDuplicates(["source_key", "notice_id", "source_file", "sha256"]).drop("source_key")
+    lots = new.select("source_key", "notice_id", F.posexplode("packages").alias("pos", "p")).withColumn("package_code", F.coalesce(F.nullif(F.trim("p.package_code"), F.lit("")), F.lit(DEFAULT)))
+    lots = records.first_by_key(lots, ["source_key", "package_code"], "pos").withColumn("package_id", _id("notice_id", "package_code"))
+    people = lambda name: lots.select("source_key", "notice_id", "package_id", F.posexplode(f"p.{name}").alias("seq", "x")).select("source_key", "notice_id", "package_id", "seq", "x.*").withColumn("key", organization_key(F.col("name"))).where("key <> ''")
+    winners = records.first_by_key(people("winners"), ["source_key", "package_id", "key"], "seq")
+    # winners come behind the bidders, in the same array
+    listed = F.transform("p.bidders", lambda x: F.struct(x["name"].alias("name"), F.coalesce(x["outcome"], F.lit("unknown")).alias("outcome")))
+    added = F.transform("p.winners", lambda x: F.struct(x["name"].alias("name"), F.lit("winner").alias("outcome")))
+    none = F.array().cast("array<struct<name:string,outcome:string>>")
+    bidders = lots.select("source_key", "notice_id", "package_id", F.posexplode(F.concat(F.coalesce(listed, none), F.coalesce(added, none))).alias("seq", "x"))
+    bidders = bidders.select("source_key", "notice_id", "package_id", "seq", "x.*").withColumn("key", organization_key(F.col("name"))).where("key <> ''")
+    bidders = records.first_by_key(bidders, ["source_key", "package_id", "key"], "seq")
     buyers = new.select("notice_id", organization_key(F.col("buyer")).alias("key"), F.col("buyer").alias("name")).where("key <> ''")
     names = bidders.select("notice_id", "key", "name").unionByName(buyers)
     organizations = names.groupBy("key").agg(F.min_by("name", F.struct("notice_id", "name")).alias("canonical_name")).select(_id("key").alias("organization_id"), "canonical_name", F.col("key").alias("normalized_name"))

@@ -35,25 +35,28 @@ def _batch(m):
     """A notice per order with a package per line state, bidders spelled in two ways, and one winner each."""
     name = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("Supplier "), "l_suppkey")).otherwise(F.concat(F.lit("SUPPLIER　"), "l_suppkey"))
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", name.alias("name"), "l_returnflag", F.col("l_quantity").cast("decimal(38,6)").alias("q"))
-    lots = m.table("lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.array_sort(F.collect_list(line)).alias("ls"))
+    # lines and orders are dealt once, by the key that the import goes by
+    key = lambda c: F.concat(F.lit("order-"), c).alias("source_key")
+    lines = dealt(m.table("lineitem").select(key("l_orderkey"), "l_linestatus", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"), "source_key", m.pieces)
+    lots = lines.groupBy("source_key", "l_linestatus").agg(F.array_sort(F.collect_list(line)).alias("ls"))
     null = F.lit(None).cast("string")
     dec = F.lit(None).cast("decimal(38,6)")
     item = lambda x: F.struct(F.concat(F.lit("part "), x["l_partkey"]).alias("product_name"), null.alias("category"), null.alias("brand"), null.alias("model"), x["q"].alias("quantity"), dec.alias("unit_price"), dec.alias("total_price"))
     outcome = lambda x: F.when(x["l_returnflag"] == "A", "nonwinner").otherwise("unknown")
     winners = F.transform(F.filter("ls", lambda x: x["l_returnflag"] == "R"), lambda x: F.struct(x["name"].alias("name"), x["q"].alias("amount")))
     lot = F.struct(F.col("l_linestatus").alias("package_code"), null.alias("package_name"), F.transform("ls", item).alias("items"), F.transform("ls", lambda x: F.struct(x["name"].alias("name"), outcome(x).alias("outcome"))).alias("bidders"), winners.alias("winners"))
-    per = lots.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linestatus", lot.alias("p")))).alias("ps"))
-    heads = m.table("orders").join(per, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    per = lots.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("l_linestatus", lot.alias("p")))).alias("ps"))
+    heads = dealt(m.table("orders").select(key("o_orderkey"), "o_orderkey", "o_custkey", "o_totalprice"), "source_key", m.pieces).join(per, "source_key", "left")
     source = F.array(F.struct(F.lit("n.html").alias("source_file"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"), F.lit(1).cast("long").alias("byte_size")))
     made = heads.select(
-        F.concat(F.lit("order-"), "o_orderkey").alias("source_key"), F.concat(F.lit("p "), "o_orderkey").alias("project_name"), null.alias("project_number"), F.concat(F.lit("Customer "), "o_custkey").alias("buyer"),
+        "source_key", F.concat(F.lit("p "), "o_orderkey").alias("project_name"), null.alias("project_number"), F.concat(F.lit("Customer "), "o_custkey").alias("buyer"),
         F.col("o_totalprice").cast("decimal(38,6)").alias("budget"), F.array().cast("array<string>").alias("warnings"), source.alias("sources"), F.transform("ps", lambda p: p["p"]).alias("packages"),
     )
     return datasets.conformed(made, notices.NOTICE)
 
 
 def _receipts(m):
-    return m.table("orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("order-"), "o_orderkey").alias("source_key"))
+    return dealt(m.table("orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("order-"), "o_orderkey").alias("source_key")), "source_key", m.pieces)
 
 
 IMPORT = """WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 10 <> 0), b AS (SELECT l_orderkey, l_linestatus, l_suppkey, arg_min(CASE WHEN l_returnflag = 'A' THEN 'nonwinner' ELSE 'unknown' END, (l_linenumber, l_partkey, l_suppkey)) AS outcome FROM l GROUP BY ALL)"""
