@@ -45,7 +45,12 @@ def _blank(c: Column) -> Column:
 
 
 def with_reasons(found: DataFrame) -> DataFrame:
-    """The candidates with `reasons`, sorted `code` or `code:field`, and `priority`, the least; those without any go.
+    """The candidates with reasons, see reasoned(); those without any go."""
+    return reasoned(found).where("size(reasons) > 0")
+
+
+def reasoned(found: DataFrame) -> DataFrame:
+    """The candidates with `reasons`, sorted `code` or `code:field`, and `priority`, the least.
 
     An empty field is missing if its state is unknown or unverified; a filled one lacks evidence if it isn't present.
     Amounts conflict if quantity times unit price isn't the total exactly. saved_states and backed map fields to their
@@ -66,7 +71,7 @@ def with_reasons(found: DataFrame) -> DataFrame:
     hits.append(("parsing_warning", F.lit(None).cast("string"), loud))
     codes = F.array_compact(F.array(*[F.when(hit, F.concat_ws(":", F.lit(code), field)) for code, field, hit in hits]))
     least = F.array_min(F.array_compact(F.array(*[F.when(hit, F.lit(PRIORITY[code])) for code, _, hit in hits])))
-    return found.withColumn("reasons", F.array_sort(codes)).withColumn("priority", least.cast("long")).where("size(reasons) > 0")
+    return found.withColumn("reasons", F.array_sort(codes)).withColumn("priority", least.cast("long"))
 
 
 def latest_decisions(events: DataFrame) -> DataFrame:
@@ -128,12 +133,16 @@ def decide(decisions: DataFrame, found: DataFrame, epochs: DataFrame, events: Da
     made = corrections(decisions).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("seq")))
     every = sorted({f for fields in EDITABLE.values() for f in fields})
     have = [f for f in every if f in found.columns]
-    values = F.map_from_arrays(F.array(*[F.lit(f) for f in have]), F.array(*[F.when(F.col(f).isNotNull(), money.canonical(F.col(f)) if f in NUMBERS else F.col(f).cast("string")) for f in have]))
+    values = F.map_from_arrays(F.array(*[F.lit(f) for f in have]), F.array(*[F.when(F.col(f"now.{f}").isNotNull(), money.canonical(F.col(f"now.{f}")) if f in NUMBERS else F.col(f"now.{f}").cast("string")) for f in have]))
     mine = F.create_map(*[x for kind, fields in EDITABLE.items() for x in (F.lit(kind), F.array(*[F.lit(f) for f in fields]))])[F.col("candidate_type")]
-    current = with_epochs(found, epochs).select(*KEY, F.col("candidate_epoch").alias("epoch"), F.map_filter(values, lambda k, v: F.array_contains(mine, k)).alias("values"))
-    queued = with_reasons(found).select(*KEY, F.lit(True).alias("queued"))
-    last = latest_decisions(events).select(*KEY, F.col("candidate_epoch").alias("epoch"), F.col("action").alias("last_action"), F.col("reason").alias("last_reason"), F.col("after_values").alias("last_values"))
-    rows = made.join(current, list(KEY), "left").join(queued, list(KEY), "left").join(last, [*KEY, "epoch"], "left")
+    # each side is dealt once, by candidate, and a candidate's fields as they are: they become a map where its decision has met them
+    current = with_epochs(reasoned(found).select(*KEY, (F.size("reasons") > 0).alias("queued"), F.struct(*have).alias("now")), epochs).withColumnRenamed("candidate_epoch", "epoch")
+    last = latest_decisions(events).select(*[F.col(c).alias(f"of_{c}") for c in (*KEY, "candidate_epoch")], F.col("action").alias("last_action"), F.col("reason").alias("last_reason"), F.col("after_values").alias("last_values"))
+    same_key = [F.col(c) == F.col(f"of_{c}") for c in KEY]
+    # the epoch isn't written as an equality, as rows would be dealt by it as well
+    same_epoch = (F.col("epoch") <= F.col("of_candidate_epoch")) & (F.col("epoch") >= F.col("of_candidate_epoch"))
+    rows = made.join(current, list(KEY), "left").join(last, same_key[0] & same_key[1] & same_epoch, "left")
+    rows = rows.withColumn("values", F.when(F.col("queued").isNotNull(), F.map_filter(values, lambda k, v: F.array_contains(mine, k))))
     before = F.coalesce("last_values", "values")
     given = F.size(F.col("corrected")) > 0
     after = F.map_from_entries(F.concat(F.map_entries(F.map_filter(before, lambda k, v: ~F.map_contains_key(F.col("corrected"), k))), F.map_entries(F.col("corrected"))))
@@ -146,7 +155,7 @@ def decide(decisions: DataFrame, found: DataFrame, epochs: DataFrame, events: Da
         .when(corrected & ~given, "missing_values")
         .when(~corrected & given, "values_not_allowed")
         .when(F.col("values").isNull(), "not_found")
-        .when(F.col("queued").isNull(), "not_queued")
+        .when(~F.col("queued"), "not_queued")
         .when(F.col("candidate_epoch") != F.col("epoch"), "stale_epoch")
         .when(F.col("nth") > 1, "superseded")
         .when(corrected & (F.size(changes) == 0), "unchanged")

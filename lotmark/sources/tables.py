@@ -64,9 +64,10 @@ def bids(lineitem: DataFrame, orders: DataFrame, n: int | None = None) -> DataFr
     )
 
 
-def items(lineitem: DataFrame, orders: DataFrame, part: DataFrame, n: int | None = None) -> DataFrame:
+def items(lineitem: DataFrame, orders: DataFrame, part: DataFrame, n: int | None = None, packages: DataFrame | None = None) -> DataFrame:
     """One row per line: project_id, buyer_id, package_id, part_id, supplier_id, line_no, brand, product_name, category,
-    model, quantity, unit_price, total_price (null where the line has no tax)."""
+    model, quantity, unit_price, total_price (null where the line has no tax); with packages (project_id, package_id, package_code), which
+    lie as the lines do, package_code too."""
     heads = orders.select(F.col("o_orderkey").alias("project_id"), (2 * F.col("o_custkey")).alias("buyer_id"))
     lines = lineitem.select(
         F.col("l_orderkey").alias("project_id"),
@@ -85,7 +86,12 @@ def items(lineitem: DataFrame, orders: DataFrame, part: DataFrame, n: int | None
         F.col("p_size").cast("string").alias("model"),
         F.col("p_retailprice").cast(MONEY).alias("unit_price"),
     )
-    return dealt(lines, "project_id", n).join(dealt(heads, "project_id", n), "project_id").join(parts, "part_id")
+    met = dealt(lines, "project_id", n).join(dealt(heads, "project_id", n), "project_id")
+    if packages is not None:
+        of = packages.select(F.col("project_id").alias("_project"), F.col("package_id").alias("_package"), "package_code")
+        # as an equality, the package would be a key by which both sides are dealt anew
+        met = met.join(of, (F.col("project_id") == F.col("_project")) & (F.col("package_id") <= F.col("_package")) & (F.col("package_id") >= F.col("_package"))).drop("_project", "_package")
+    return met.join(parts, "part_id")
 
 
 def organizations(customer: DataFrame, supplier: DataFrame) -> DataFrame:
@@ -115,6 +121,11 @@ class Model:
     def items(self) -> DataFrame:
         return items(self.table("lineitem"), self.table("orders"), self.table("part"), self.pieces)
 
+    @cached_property
+    def coded_items(self) -> DataFrame:
+        """items with package_code."""
+        return items(self.table("lineitem"), self.table("orders"), self.table("part"), self.pieces, self.packages)
+
     @cached_property
     def organizations(self) -> DataFrame:
         return organizations(self.table("customer"), self.table("supplier"))
